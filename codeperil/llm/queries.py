@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, packing, pii, quality, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,39 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge_quality(docs, rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+#: Fixed values of the query on pages.
+URL_RULES = (
+    url_filter.UrlRule("com/en/", "block"),
+    url_filter.UrlRule("example.com/en/7", "allow"),
+    url_filter.UrlRule("net/de/", "allow"),
+    url_filter.UrlRule("example.net/de/8", "block"),
+    url_filter.UrlRule("org/es/", "block"),
+)
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url and bad of the pages whose document is labelled: the number in a page's path is its document's."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "^/[a-z]+/([0-9]{1,18})", 1)
+    marked = labels.where("quality is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    return pages.select("url", number.try_cast("long").alias("doc_id")).join(marked, "doc_id").select("url", "bad")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key="corpus-key").select("doc_id", "text", "n_entities")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -36,6 +70,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
