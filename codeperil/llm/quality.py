@@ -54,19 +54,25 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")), lambda acc: acc["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     per_char, per_word = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
-    return rows.withColumns(
-        {
-            "mean_word": F.col("word_chars") / per_word,
-            "symbol_share": F.col("n_symbols") / per_char,
-            "dup_line_share": F.col("n_dup_lines") / F.greatest("__n_lines", F.lit(1)),
-            "repeat_share": F.col("n_repeat_words") / per_word,
-            "upper_share": F.col("__upper") / per_char,
-            "bang_share": F.col("__bangs") / per_char,
-            "digit_share": F.col("__digits") / per_char,
-            "distinct_share": F.col("__distinct") / per_word,
-            "line_words": F.col("n_words") / F.greatest("__n_lines", F.lit(1)),
-        }
-    ).drop("__text", "__words", "__lines", "__windows", "__upper", "__digits", "__bangs", "__distinct", "__placed", "__n_lines")
+    measures = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.col("word_chars"),
+        "n_symbols": F.col("n_symbols"),
+        "n_dup_lines": F.col("n_dup_lines"),
+        "n_repeat_words": F.col("n_repeat_words"),
+        "mean_word": F.col("word_chars") / per_word,
+        "symbol_share": F.col("n_symbols") / per_char,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest("__n_lines", F.lit(1)),
+        "repeat_share": F.col("n_repeat_words") / per_word,
+        "upper_share": F.col("__upper") / per_char,
+        "bang_share": F.col("__bangs") / per_char,
+        "digit_share": F.col("__digits") / per_char,
+        "distinct_share": F.col("__distinct") / per_word,
+        "line_words": F.col("n_words") / F.greatest("__n_lines", F.lit(1)),
+    }
+    # A generator of one row: filters on the measures stay above it. Pushed down, they would hold the whole expressions,
+    # and the word array would be made anew for every word.
+    return rows.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in measures.items()]))))
 
 
 def base_failed() -> Column:
