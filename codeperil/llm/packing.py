@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ship, written
 from .token_files import encoded_batches
-from .words import WordEncoder
+from .words import encoder_of
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
 #: Spans up to this many are broadcast (40 bytes each); more are joined by shuffle.
@@ -35,10 +35,11 @@ SLOT_ROWS, LEAST_SLOTS = 100_000, 64
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: ids with `end_id` behind them, cut at `capacity`. A null text counts as empty."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(held.value)
+        encoder = encoder_of(held.value)
         end = np.array([end_id], np.uint32)
         for batch, ids in encoded_batches(batches, encoder):
             rows = []

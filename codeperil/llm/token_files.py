@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
-from .words import WordEncoder
+from .common import shared_path, ship
+from .words import WordEncoder, encoder_of
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 #: Sequences in a record batch.
 BATCH = 512
-#: Characters that are encoded at once.
-CHUNK = 3_000_000
+#: Bytes of text that are encoded at once.
+CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class TokenSet:
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches with the ids of their column "text", CHUNK characters or one text at a time."""
+    """Slices of the batches with the ids of their column "text", CHUNK bytes or one text at a time."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
@@ -59,7 +59,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) ->
             if n == len(texts) or (held and held + sizes[n] > CHUNK):
                 if n > first:
                     part = batch.slice(first, n - first)
-                    yield part, encoder.encode([t or "" for t in texts.slice(first, n - first).to_pylist()])
+                    yield part, encoder.encode_arrow(texts.slice(first, n - first))
                 first, held = n, 0
             if n < len(texts):
                 held += sizes[n]
@@ -133,6 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str | None =
     in the order of their texts. An empty table gives a set without files. Other columns are not looked at.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or shared_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -140,7 +141,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str | None =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part = None, TaskContext.get().partitionId()
-        encoder = WordEncoder(held.value)
+        encoder = encoder_of(held.value)
         end = np.array([end_id], np.uint32)
         for batch, ids in encoded_batches(batches, encoder):
             if writer is None:
@@ -205,6 +206,7 @@ def read_documents(spark: SparkSession, tokens: TokenSet) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not tokens.parts:
         return spark.createDataFrame([], schema)
+    ship(spark)
     folder, length = tokens.folder, tokens.length
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
