@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, quality, token_files, url_filter
+from . import exact_dedup, packing, pii, quality, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, lexicon, threshold=0.3)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
     return token_files.read_documents(spark, tokens)
@@ -74,6 +81,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
