@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup, packing, pii, quality, token_files, toxicity, url_filter
+from . import exact_dedup, near_dup, packing, pii, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), substring_dedup.Spans())
+
+
 def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(table(spark, sf_dir, "documents"), near_dup.NearDup())
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
