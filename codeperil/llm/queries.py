@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup, packing, pii, quality, substring_dedup, token_files, toxicity, url_filter
+from . import exact_dedup, near_dup, packing, piece_sampling, pii, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,19 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+@cache
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public SentencePiece model's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), piece_model(), piece_sampling.Sampling(k=3), with_ids=False)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -85,6 +98,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_piece_sampling": op1_piece_sampling,
     "op2_quality_rules": op2_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op9_pii_surrogates": op9_pii_surrogates,
