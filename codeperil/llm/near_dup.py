@@ -303,6 +303,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
+def drop_near_copies(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each class, all columns as they were: of the class's smallest identifier and, of rows that repeat it, one."""
+    names = docs.columns
+    rows = written(docs.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("__uid")), "rows")
+    kept = near_classes(rows.select(F.struct(F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.col("__uid").alias("uid")).alias("__id"), F.col(f"row.{text_col}").alias("__text")), how, "__id", "__text")
+    return rows.join(kept.where("kept").select(F.col("__id.uid").alias("__uid")), "__uid", "left_semi").select("row.*")
+
+
 def near_classes(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, class_id, class_size, n_links, kept.
 
