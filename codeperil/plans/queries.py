@@ -246,7 +246,7 @@ def lcov_files(spark, d):
 
 def _istanbul(spark, d) -> istanbul.Coverage:
     """A report for each supplier: statements and branches from its rows of lineitem, every fifth branch without an entry."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("id", F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("id", F.monotonically_increasing_id().cast("string"))
     loc = F.struct(F.struct((F.col("l_partkey") % 450 + 1).alias("line")).alias("start"))
     hits = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long")
     own = rows.groupBy("l_suppkey").agg(
