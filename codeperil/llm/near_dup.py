@@ -6,15 +6,17 @@ all shingles at any scale, and a shingle rarer than that share has the full weig
 shingle (and level of its weight) with the smallest of Ioffe's values; `rows` samples make a band, equal bands a bucket.
 
 Texts of equal words are one node. In every bucket the most central node (the one whose buckets are largest) leads, and
-the others are compared with it by exact weighted Jaccard; verified links are contracted to components. Buckets that
-still hold several components go on with the most central of the rest, and after `rounds` rounds all pairs between the
-components left in a bucket are compared, so no pair that shares a bucket stays undecided unless it is connected
-already. Components, links and buckets stay distributed.
+the others are compared with it by exact weighted Jaccard; verified links are contracted to components. In buckets that
+still hold several components all pairs of different components are looked at block by block, in the first band that they
+share, by how many of their samples agree; those whose samples could be of a similar pair (a pair at the limit fails that
+by chance once in 10,000) are compared exactly, in place, unless found links connect them by then. So no pair that shares a bucket stays undecided unless it is connected already. Components, links
+and buckets stay distributed; a bucket of any size is cut into blocks of `block` nodes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,17 +38,26 @@ class NearDup:
     rows: int = 4
     sketch_bits: int = 18
     seed: int = 20_240_501
-    rounds: int = 5
-    #: Comparisons with one leader that a task gets at once.
+    #: Comparisons with one leader that a task gets at once, and nodes in a block of a bucket.
     leader_share: int = 200
+    block: int = 512
+
+    @property
+    def least_agreeing(self) -> int:
+        """Samples that agree in all but one in 10,000 pairs at the limit of similarity."""
+        n = self.bands * self.rows
+        below, k = 0.0, 0
+        while True:
+            below += math.comb(n, k) * self.similarity**k * (1 - self.similarity) ** (n - k)
+            if below > 1e-4:
+                return k
+            k += 1
 
 
 SKETCH_ROWS = 2
 BLOCK = 4096
-#: Words whose hashes a worker remembers (memory only).
-REMEMBERED = 400_000
-#: Shingles that are sampled at once.
-SAMPLED = 60_000
+#: Bytes of text that are shingled at once.
+CHUNK = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,37 +68,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        n = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) < REMEMBERED:
-            self[word] = n
-        return n
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class Shingler:
-    """Hashes of a text's shingles."""
+    """Hashes of shingles, many texts at once."""
 
     def __init__(self, width: int):
         self.width = width
-        self.words = _Words()
-        self.factors = [np.uint64(pow(0x9E3779B97F4A7C15, n + 1, 1 << 64)) for n in range(width)]
-
-    def words_of(self, text: str) -> list[str]:
-        return text.lower().split()
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        """One hash for every run of `width` words; of fewer words, one for them all; of none, none."""
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        if len(h) < self.width:
-            h = np.concatenate([h, np.full(self.width - len(h), len(h), np.uint64)])
-        n = len(h) - self.width + 1
-        out = np.zeros(n, np.uint64)
+        self.factors = [np.uint64(pow(_BASE, n + 1, 1 << 64)) for n in range(width)]
+        self.powers = self.inverses = np.zeros(0, np.uint64)
+
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], list[bytes | None]]]:
+        """The number of the first text, each text's shingles in order, and a digest of its words (None: no words); CHUNK bytes or one text at a time."""
+        own, size, first = [], 0, 0
+        for n in range(len(texts)):
+            own.append((texts[n].as_py() or "").lower().encode("utf-8", "surrogatepass"))
+            size += len(own[-1])
+            if size >= CHUNK or n + 1 == len(texts):
+                yield first, *self.shingles(own)
+                own, size, first = [], 0, n + 1
+
+    def shingles(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes | None]]:
+        """A hash for every run of `width` words between ASCII blanks; of fewer words, one for them all; of none, none."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        if len(self.powers) < len(data) + 1:
+            self.powers, self.inverses = _powers(_BASE, len(data) + 1), _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+        blank = _BLANK[data]
+        before = np.concatenate([[True], blank[:-1]])
+        starts = np.flatnonzero(~blank & before)
+        ends = np.flatnonzero(blank & ~before)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
+        words = _mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        at = np.searchsorted(starts, bounds)
+        padded = np.concatenate([words, np.zeros(self.width, np.uint64)])
+        runs = np.zeros(len(words), np.uint64)
         for k, f in enumerate(self.factors):
-            out += h[k : k + n] * f
-        return _mix(out)
+            runs += padded[k : k + len(words)] * f
+        runs = _mix(runs)
+        keep = data.copy()
+        keep[blank] = 32
+        kept = ~blank | np.concatenate([~blank[1:], [False]])  # the words with one blank before each
+        flat = keep[kept].tobytes()
+        upto = np.concatenate([[0], np.cumsum(kept)])[bounds].tolist()
+        out: list[np.ndarray] = []
+        digests: list[bytes | None] = []
+        for n, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            count = b - a
+            if count >= self.width:
+                out.append(runs[a : b - self.width + 1])
+            elif count:
+                short = np.concatenate([words[a:b], np.full(self.width - count, count, np.uint64)])
+                out.append(_mix((short * np.array(self.factors)).sum(keepdims=True, dtype=np.uint64)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            digests.append(hashlib.blake2b(flat[upto[n] : upto[n + 1]].strip(b" "), digest_size=16).digest() if count else None)
+        return out, digests
 
 
 def document_frequency(docs: DataFrame, how: NearDup, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -101,11 +147,11 @@ def document_frequency(docs: DataFrame, how: NearDup, text_col: str = "text") ->
         held = np.zeros((SKETCH_ROWS, cells), np.int64)
         n = 0
         for batch in batches:
-            for text in batch.column(0):
-                own = np.unique(shingler.hashes(shingler.words_of(text.as_py() or "")))
-                n += 1
+            for _, lists, _ in shingler.chunks(batch.column(0)):
+                n += len(lists)
+                own = np.concatenate([np.unique(x) for x in lists])
                 for r in range(SKETCH_ROWS):
-                    held[r][(own >> np.uint64(20 * r) & mask).astype(np.int64)] += 1  # cells that two shingles of a text share count once
+                    held[r] += np.bincount((own >> np.uint64(20 * r) & mask).astype(np.int64), minlength=cells)
         if n:
             yield _blocks(held, n)
 
@@ -164,8 +210,8 @@ class Sampler:
             out = np.maximum(out, self.levels[r][(hashes >> np.uint64(20 * r) & self.mask).astype(np.int64)])
         return out
 
-    def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The bands of texts whose shingles begin at `starts`: one row of int64 for each."""
+    def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bands (int64) of texts whose shingles begin at `starts`, and 16 bits of each sample: a row for each text."""
         log_w = np.log(weights).astype(np.float32)
         picked = np.empty((len(self.seeds), len(starts)), np.uint64)
         place = np.arange(len(hashes), dtype=np.int64)
@@ -186,51 +232,47 @@ class Sampler:
         for b in range(self.how.bands):
             for k in range(b * self.how.rows, (b + 1) * self.how.rows):
                 out[b] = _mix(out[b] * np.uint64(0x9E3779B97F4A7C15) + picked[k] + np.uint64(b + 1))
-        return out.T.astype(np.int64)
+        return out.T.astype(np.int64), np.ascontiguousarray((_mix(picked) & low).T.astype(np.uint16))
 
 
-SKETCHED = "uid long, words binary, n_shingles int, bands array<long>, shingles binary, levels binary"
+SKETCHED = "uid long, words binary, n_shingles int, bands array<long>, samples binary, shingles binary, levels binary"
 
 
 def sketched(docs: DataFrame, how: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """id, uid, words (a digest of the words), n_shingles, bands, and the shingles in order: four bytes and a level each."""
+    """id, uid, words (a digest of the words), n_shingles, bands, samples (two bytes each), and the shingles in order: four bytes and a level each."""
     sketch, n_docs = document_frequency(docs, how, text_col)
     held = docs.sparkSession.sparkContext.broadcast(idf_levels(sketch, n_docs))  # SKETCH_ROWS << sketch_bits bytes
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler = Shingler(how.width), Sampler(held.value, how)
 
-        def flush(ids: list, uids: list, digests: list, lists: list[np.ndarray]) -> pa.RecordBatch:
+        def sampled(ids: pa.Array, uids: list, digests: list, lists: list[np.ndarray]) -> pa.RecordBatch:
             bands: list[list[int] | None] = [None] * len(lists)
+            samples: list[bytes | None] = [None] * len(lists)
             unique = [np.unique(x, return_counts=True) for x in lists]
             full = [n for n, x in enumerate(lists) if len(x)]
             if full:
                 hashes = np.concatenate([unique[n][0] for n in full])
                 tf = np.concatenate([unique[n][1] for n in full])
                 sizes = np.array([len(unique[n][0]) for n in full])
-                got = sampler.bands(hashes, tf * (sampler.level(hashes) / 16.0), np.cumsum(sizes) - sizes)
-                for n, row in zip(full, got.tolist(), strict=True):
-                    bands[n] = row
-            shingles, levels = [], []
+                own, picked = sampler.bands(hashes, tf * (sampler.level(hashes) / 16.0), np.cumsum(sizes) - sizes)
+                for n, row, some in zip(full, own.tolist(), picked, strict=True):
+                    bands[n], samples[n] = row, some.tobytes()
+            flat = np.concatenate(lists)
+            shown, weights = (flat >> np.uint64(32)).astype(np.uint32), sampler.level(flat)
+            shingles, levels, at = [], [], 0
             for x in lists:
-                short = (x >> np.uint64(32)).astype(np.uint32)
-                order = np.argsort(short, kind="stable")
-                shingles.append(short[order].tobytes())
-                levels.append(sampler.level(x)[order].tobytes())
-            kinds = {"id": ids, "uid": pa.array(uids, pa.int64()), "words": pa.array(digests, pa.binary()), "n_shingles": pa.array([len(x) for x in lists], pa.int32()), "bands": pa.array(bands, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.binary()), "levels": pa.array(levels, pa.binary())}
+                order = np.argsort(shown[at : at + len(x)], kind="stable")
+                shingles.append(shown[at : at + len(x)][order].tobytes())
+                levels.append(weights[at : at + len(x)][order].tobytes())
+                at += len(x)
+            kinds = {"id": ids, "uid": pa.array(uids, pa.int64()), "words": pa.array(digests, pa.binary()), "n_shingles": pa.array([len(x) for x in lists], pa.int32()), "bands": pa.array(bands, pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "shingles": pa.array(shingles, pa.binary()), "levels": pa.array(levels, pa.binary())}
             return pa.RecordBatch.from_arrays(list(kinds.values()), list(kinds))
 
         for batch in batches:
-            first, digests, lists, held_now = 0, [], [], 0
-            texts, uids = batch.column(2), batch.column(1).to_pylist()
-            for n in range(len(texts)):
-                words = shingler.words_of(texts[n].as_py() or "")
-                digests.append(hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
-                lists.append(shingler.hashes(words))
-                held_now += len(lists[-1])
-                if held_now >= SAMPLED or n + 1 == len(texts):
-                    yield flush(batch.column(0).slice(first, n + 1 - first), uids[first : n + 1], digests, lists)
-                    first, digests, lists, held_now = n + 1, [], [], 0
+            uids = batch.column(1).to_pylist()
+            for first, lists, digests in shingler.chunks(batch.column(2)):
+                yield sampled(batch.column(0).slice(first, len(lists)), uids[first : first + len(lists)], digests, lists)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
@@ -322,33 +364,22 @@ def near_classes(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     rows = sketched(docs, how, id_col, text_col)
     full = rows.where("n_shingles > 0")
     groups = written(full.groupBy("words").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n_rows")), "nodes")
-    nodes = written(full.join(groups.select("node"), full["uid"] == groups["node"]).select("node", "bands", "shingles", "levels"), "node-shingles")
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    own = full.join(groups.select("node"), full["uid"] == groups["node"])
+    placed = own.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes, "buckets")
     placed = written(hot_aware_join(placed, sizes, ["band", "value"], "size", F.xxhash64("node")).where("size > 1"), "placed")
-    central = written(placed.groupBy("node").agg(F.sum("size").alias("centre"), F.count(F.lit(1)).alias("k")), "central")
-    placed = written(placed.join(central.drop("k"), "node"), "placed")
+    central = placed.groupBy("node").agg(F.sum("size").alias("centre"))
+    # what is compared: nodes that share a bucket with another
+    nodes = written(own.join(central, "node").select("node", "centre", "bands", "samples", "shingles", "levels"), "nodes")
+    placed = written(placed.join(nodes.select("node", "centre"), "node"), "members")
+    edges = written(_led(placed), "edges")
     links = None
-    tested = None
-    parts = placed.withColumn("component", F.col("node"))
-    for n in range(how.rounds + 1):
-        parts = written(parts, "parts")
-        if n < how.rounds:
-            edges = _led(parts, n)
-        else:
-            edges = _all_pairs(parts)
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = written(edges, "edges")
-        if edges.isEmpty():
-            break
+    if not edges.isEmpty():
         checked = written(verified(edges, nodes, how), "checked")
-        good = checked.where(F.col("similarity") >= how.similarity)
-        links = good if links is None else written(links.unionByName(good), "all-links")
-        tested = edges if tested is None else written(tested.unionByName(edges), "tested")
-        found = components(links)
-        parts = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = checked.where(F.col("similarity") >= how.similarity)
+        parts = placed.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = written(links.unionByName(_rest(written(parts, "parts"), nodes, how)), "links")
     if links is None:
         spark = docs.sparkSession
         links = spark.createDataFrame([], "a long, b long, similarity double")
@@ -363,18 +394,106 @@ def near_classes(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     return out.select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "class_size", "n_links", (F.col("uid") == F.col("top.uid")).alias("kept"))
 
 
-def _led(parts: DataFrame, n: int) -> DataFrame:
-    """Pairs of each bucket's leader of round n with the members of other components: first the most central node leads,
-    then the most central one of the component that a hash of the round puts first."""
-    turn = F.xxhash64(F.lit(n), "component") if n else F.lit(0).cast("long")
-    ranked = parts.withColumn("rank", F.struct(turn.alias("turn"), (-F.col("centre")).alias("centre"), "node", "component"))
-    heads = ranked.groupBy("band", "value").agg(F.min("rank").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_rows")).where("low <> high")
-    heads = written(heads.select("band", "value", F.col("head.node").alias("leader"), F.col("head.component").alias("own"), "n_rows"), "heads")
-    met = hot_aware_join(parts, heads, ["band", "value"], "n_rows", F.xxhash64("node")).where("leader IS NOT NULL AND own <> component")
+def _led(placed: DataFrame) -> DataFrame:
+    """Pairs of each bucket's most central node with its others."""
+    heads = placed.groupBy("band", "value").agg(F.min(F.struct((-F.col("centre")).alias("centre"), "node")).alias("head"), F.count(F.lit(1)).alias("n_rows"))
+    heads = written(heads.select("band", "value", F.col("head.node").alias("leader"), "n_rows"), "heads")
+    met = hot_aware_join(placed, heads, ["band", "value"], "n_rows", F.xxhash64("node")).where("leader <> node")
     return met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _all_pairs(parts: DataFrame) -> DataFrame:
-    """All pairs of nodes of different components that share a bucket, the larger component's node first."""
-    a, b = parts.select("band", "value", F.col("node").alias("a"), F.col("component").alias("ca")), parts.select("band", "value", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, ["band", "value"]).where("ca < cb").select("a", "b").distinct()
+def _rest(parts: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
+    """Verified links (a, b, similarity) between different components in a bucket, as many as it takes to connect what is connected.
+
+    A bucket of n nodes is cut into c blocks by a hash of the node; each pair of blocks is one piece of work, of about
+    2 * block nodes. First the samples are compared, which finds the nodes that need an exact look; only their shingles
+    are sent to the second pass.
+    """
+    open_ = parts.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_rows")).where("low <> high")
+    open_ = written(open_.select("band", "value", "n_rows", F.ceil(F.col("n_rows") / how.block).cast("int").alias("blocks")), "open")
+    rows = hot_aware_join(parts.select("band", "value", "node", "component"), open_, ["band", "value"], "n_rows", F.xxhash64("node")).where("blocks IS NOT NULL")
+    own = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
+    least, limit, n_bands = how.least_agreeing, how.similarity, how.bands
+
+    def candidates(table: pa.Table, a: int, b: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Row i, the rows whose samples agree with it often enough, and how often, in the piece of rows a to b."""
+        x, y, band = table.column(2)[a].as_py(), table.column(3)[a].as_py(), table.column(0)[a].as_py()
+        own, component = table.column(4).to_numpy()[a:b], table.column(6).to_numpy()[a:b]
+        samples = np.frombuffer(b"".join(table.column(7).slice(a, b - a).to_pylist()), np.uint16).reshape(b - a, -1)
+        bands = np.array(table.column(8).slice(a, b - a).combine_chunks().flatten()).reshape(-1, n_bands)[:, :band]
+        left = np.arange(b - a) if x == y else np.flatnonzero(own == x)
+        right = left if x == y else np.flatnonzero(own == y)
+        for n, i in enumerate(left):
+            others = right[n + 1 :] if x == y else right
+            others = others[component[others] != component[i]]
+            agree = np.count_nonzero(samples[others] == samples[i], axis=1)
+            fits = agree >= least
+            others, agree = others[fits], agree[fits]
+            first = ~(bands[others] == bands[i]).any(axis=1)
+            if first.any():
+                yield int(i), others[first], agree[first]
+
+    def look(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        needed = np.zeros(table.num_rows, bool)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for i, others, _ in candidates(table, a, b):
+                needed[a + i] = True
+                needed[a + others] = True
+        return table.select(range(6)).filter(pa.array(needed)).combine_chunks()
+
+    def compare(table: pa.Table, bounds: list[int]) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        node, component = table.column(5).to_numpy(), table.column(6).to_numpy()
+        shingles, levels = table.column(9), table.column(10)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            pairs = sorted(((-int(k), a + i, a + int(j)) for i, others, agree in candidates(table, a, b) for j, k in zip(others, agree, strict=True)))
+            top: dict[int, int] = {}
+
+            def root(c: int, top: dict[int, int] = top) -> int:
+                while top.get(c, c) != c:
+                    top[c] = c = top.get(top[c], top[c])
+                return c
+
+            for _, i, j in pairs:
+                ci, cj = root(int(component[i])), root(int(component[j]))
+                if ci == cj:
+                    continue
+                sim = weighted_jaccard((shingles[i].as_py(), levels[i].as_py()), (shingles[j].as_py(), levels[j].as_py()))
+                if sim >= limit:
+                    top[ci] = cj
+                    found.append((int(node[i]), int(node[j]), sim))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    keys = ["band", "value", "x", "y"]
+    first = rows.join(nodes.select("node", "samples", "bands"), "node").select(*keys, "own", "node", "component", "samples", "bands")
+    needed = _by_piece(first, keys, look, "band int, value long, x int, y int, own int, node long")
+    needed = written(needed, "needed")
+    second = needed.join(nodes.select("node", "samples", "bands", "shingles", "levels"), "node").join(parts.select("node", "component").distinct(), "node")
+    second = second.select(*keys, "own", "node", "component", "samples", "bands", "shingles", "levels")
+    return _by_piece(second, keys, compare, "a long, b long, similarity double")
+
+
+def _by_piece(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """work(table, bounds) on tables of whole pieces: the rows of equal `keys`, the first columns, lie together, between bounds."""
+
+    def bounds_of(table: pa.Table) -> list[int]:
+        marks = [table.column(n).to_numpy() for n in range(len(keys))]
+        return (np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                table = pa.Table.from_batches(held)
+                change = bounds_of(table)
+                if change:  # the last piece may go on
+                    yield from work(table.slice(0, change[-1]).combine_chunks(), [0, *change]).to_batches()
+                    held = table.slice(change[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from work(table, [0, *bounds_of(table), table.num_rows]).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
