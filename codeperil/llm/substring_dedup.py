@@ -6,7 +6,7 @@ alike wherever it stands. Every run of `run` consecutive sentences with at least
 over its lower-case words. Spans meet in one global join on the hash. The first occurrence of a span, by identifier, then
 by place, keeps its text; sentences that any other occurrence covers are removed.
 
-Within a text the rows of spans are 20 bytes; a span that occurs once leaves after the first aggregation, one of a
+A span is a row of 24 bytes, written once; one that occurs once leaves after the first aggregation, one of a
 passage that a third of all texts share is pre-aggregated and joined as a hot key.
 """
 
@@ -29,9 +29,9 @@ from .common import hot_aware_join, ship, written
 class Spans:
     """Parameters."""
 
-    run: int = 3
-    least_words: int = 10
-    long_words: int = 24
+    run: int = 2
+    least_words: int = 20
+    long_words: int = 16
     cut_every: int = 8
 
 
@@ -98,12 +98,12 @@ class Splitter:
                 out.append((begin, y))
         return out
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Hash and first sentence of every span, and the number of sentences."""
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first sentence and number of sentences of every span."""
         parts = self.sentences(text)
         run = self.how.run
         if len(parts) < run:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int32), len(parts)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         lower = text.lower()
         if len(lower) != len(text):
             lower = text
@@ -121,7 +121,12 @@ class Splitter:
             powers[1:] = np.uint64(_FACTOR)
             powers = np.multiply.accumulate(powers)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])])
-        first, last = begins[: len(parts) - run + 1], ends[run - 1 :]
+        # the last sentence of each span: at least run - 1 further on, and where the words suffice
+        enough = np.searchsorted(ends, begins + self.how.least_words)
+        stop = np.maximum(np.arange(len(parts)) + run - 1, enough)
+        keep = np.flatnonzero(stop < len(parts))
+        stop = stop[keep]
+        first, last = begins[keep], ends[stop]
         inverse = np.uint64(pow(_FACTOR, -1, 1 << 64))
         back = np.ones(len(h) + 1, np.uint64)
         back[1:] = inverse
@@ -130,12 +135,11 @@ class Splitter:
         span ^= span >> np.uint64(32)
         span *= np.uint64(0xD6E8FEB86659FD93)
         span ^= span >> np.uint64(29)
-        keep = np.flatnonzero(last - first >= self.how.least_words)
-        return span[keep], keep.astype(np.int32), len(parts)
+        return span, keep.astype(np.int32), (stop - keep + 1).astype(np.int32)
 
 
 def remove_repeated_spans(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, text (without the sentences of non-first repeated spans), n_sentences, n_removed, removed (places and lengths of the stretches removed, in characters).
+    """One row per input row: id_col, text (without the sentences of non-first repeated spans), n_removed (sentences), removed (places and lengths of the stretches removed, in characters).
 
     First is the smallest identifier (null before others), then the row, then the place. Null and empty texts stay as they
     are; a text that is removed whole becomes empty. Repeated rows are texts like others: the later one loses what it
@@ -147,45 +151,46 @@ def remove_repeated_spans(docs: DataFrame, how: Spans = Spans(), id_col: str = "
         splitter = Splitter(how)
         for batch in batches:
             texts, uids = batch.column(1), batch.column(0).to_pylist()
-            hashes, places, owners = [], [], []
+            hashes, places, sizes, owners = [], [], [], []
             held = 0
             for n in range(len(texts)):
-                h, p, _ = splitter.spans(texts[n].as_py() or "")
+                h, p, z = splitter.spans(texts[n].as_py() or "")
                 hashes.append(h.view(np.int64))
                 places.append(p)
+                sizes.append(z)
                 owners.append(np.full(len(h), uids[n], np.int64))
                 held += len(h)
                 if held > 100_000 or n + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["span", "uid", "place"])
-                    hashes, places, owners, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], ["span", "uid", "place", "size"])
+                    hashes, places, sizes, owners, held = [], [], [], [], 0
 
     kind = docs.schema[id_col].dataType
     rows = written(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text")), "texts")
     ranks = rows.select("uid", "id")
-    spans = rows.select("uid", "text").mapInArrow(cut, "span long, uid long, place int")
+    spans = written(rows.select("uid", "text").mapInArrow(cut, "span long, uid long, place int, size int"), "all-spans")
     # an identifier's order: only spans that occur more than once need it, so it joins after the first aggregation
     counted = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("low")).where("n > 1")
     counted = written(counted, "spans")
-    met = hot_aware_join(spans, counted.select("span", "n"), ["span"], "n", F.xxhash64("uid", "place")).where("n IS NOT NULL").select("span", "uid", "place", "n")
+    met = hot_aware_join(spans, counted.select("span", "n"), ["span"], "n", F.xxhash64("uid", "place")).where("n IS NOT NULL").select("span", "uid", "place", "size", "n")
     met = written(met.join(ranks, "uid"), "repeated")
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "uid", "place")
     firsts = written(met.groupBy("span").agg(F.min(order).alias("first"), F.first("n").alias("n")).select("span", F.col("first.uid").alias("first_uid"), F.col("first.place").alias("first_place"), "n"), "firsts")
-    again = hot_aware_join(met.select("span", "uid", "place"), firsts, ["span"], "n", F.xxhash64("uid", "place"))
+    again = hot_aware_join(met.select("span", "uid", "place", "size"), firsts, ["span"], "n", F.xxhash64("uid", "place"))
     again = again.where(~((F.col("uid") == F.col("first_uid")) & (F.col("place") == F.col("first_place"))))
-    covered = again.groupBy("uid").agg(F.collect_set("place").alias("places"))  # a text's own places
+    covered = again.groupBy("uid").agg(F.collect_list(F.struct("place", "size")).alias("places"))  # a text's own places
     both = rows.join(covered, "uid", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(how)
         for batch in batches:
             texts, places = batch.column(1), batch.column(2).to_pylist()
-            new, total, gone, stretches = [], [], [], []
+            new, gone, stretches = [], [], []
             for n in range(len(texts)):
                 text = texts[n].as_py()
-                parts = splitter.sentences(text or "")
+                parts = splitter.sentences(text or "") if places[n] else []
                 dropped = np.zeros(len(parts), bool)
                 for p in places[n] or ():
-                    dropped[p : p + how.run] = True
+                    dropped[p["place"] : p["place"] + p["size"]] = True
                 runs = _runs(dropped)
                 spots = [(parts[a][0], parts[b - 1][1] - parts[a][0]) for a, b in runs]
                 if spots:
@@ -195,13 +200,12 @@ def remove_repeated_spans(docs: DataFrame, how: Spans = Spans(), id_col: str = "
                         at = s + size
                     text = "".join([*kept, text[at:]])
                 new.append(text)
-                total.append(len(parts))
                 gone.append(int(dropped.sum()))
                 stretches.append([{"at": s, "size": z} for s, z in spots])
             spot = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(stretches, spot)], [id_col, "text", "n_sentences", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(gone, pa.int64()), pa.array(stretches, spot)], [id_col, "text", "n_removed", "removed"])
 
-    out = f"`{id_col}` {kind.simpleString()}, text string, n_sentences long, n_removed long, removed array<struct<at: long, size: long>>"
+    out = f"`{id_col}` {kind.simpleString()}, text string, n_removed long, removed array<struct<at: long, size: long>>"
     return both.select("id", "text", "places").mapInArrow(remove, out)
 
 
