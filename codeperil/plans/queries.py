@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score
 from ..operators import changes, delta, diagnose, match, multilang, summary, verdicts, view
-from ..sources import gitdiff, istanbul, lcov
+from ..sources import files, gitdiff, istanbul, lcov
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,3 +489,35 @@ def html_buckets(spark, d):
         "ordinal", score.coverage_bucket(F.col("coverage_percent")).alias("coverage_bucket"), score.complexity_bucket(F.col("complexity")).alias("complexity_bucket"),
         score.bar_width(F.col("complexity")).alias("bar"), score.lines_of_code(F.col("start_line"), F.col("end_line")).alias("loc"), F.round(score.over_by(F.col("crap"), F.col("threshold")), 6).alias("over_by"),
     )
+
+
+# complexity of generated sources
+
+
+def _sources(spark, d, text) -> DataFrame:
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("f"), k.cast("string"), F.lit(".ts")).alias("file_path"), k.alias("place"), text(k, F.col("p_size")).alias("text"))
+
+
+def _times(text: str, n):
+    return F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.when(i > 0, F.lit(text)).otherwise(F.lit(""))), "")
+
+
+@query("SELECT 'm::f_' || CAST(p_partkey AS VARCHAR) AS qualified_name, CAST(1 + p_size % 5 + 3 * (p_size % 3) + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS complexity, CAST(1 AS BIGINT) + 2 AS start_line FROM part")
+def rust_complexity(spark, d):
+    body = lambda k, n: F.concat(F.lit("// if\nmod m {\nfn f_"), k.cast("string"), F.lit("(x: bool) { let s = \"if\";\n"), _times("if x { } ", n % 5), _times("while x { if x { } } ", n % 3), F.when(k % 2 == 0, F.lit("x && x && x;")).otherwise(F.lit("'a';")), F.lit("}}\n"))
+    functions, _ = files.extract(_sources(spark, d, body), "rust", "cognitive")
+    return functions.select("qualified_name", "complexity", "start_line")
+
+
+@query("SELECT 'C.f' || CAST(p_partkey AS VARCHAR) AS qualified_name, CAST(1 + p_size % 5 + 2 * (p_size % 3) AS BIGINT) AS complexity, CAST(1 AS BIGINT) AS start_line FROM part WHERE p_partkey % 10 <> 3")
+def typescript_complexity(spark, d):
+    body = lambda k, n: F.when(k % 10 == 3, F.lit("class {{")).otherwise(F.concat(F.lit("class C { f"), k.cast("string"), F.lit("(x?: boolean): void { /if/.test('if');"), _times("x?.y; ", n % 5), _times("for (;;) { x ??= a ? 1 : 2 } ", n % 3), F.lit("} }")))
+    functions, _ = files.extract(_sources(spark, d, body), "typescript", "cyclomatic")
+    return functions.select("qualified_name", "complexity", "start_line")
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) || '.ts' AS file_path FROM part WHERE p_partkey % 10 = 3")
+def unparseable_sources(spark, d):
+    body = lambda k, n: F.when(k % 10 == 3, F.lit("function (")).otherwise(F.lit("let x = 1;"))
+    return files.extract(_sources(spark, d, body), "typescript", "cyclomatic")[1].select("file_path")

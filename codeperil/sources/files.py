@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FUNCTIONS
+from ..shipping import ship
 
 EXTENSIONS = {"rust": ("rs",), "typescript": ("ts", "tsx", "js", "jsx", "mjs", "cjs")}
 
@@ -123,7 +124,7 @@ def extract(sources: DataFrame, language: str, metric: str) -> tuple[DataFrame,
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sys
 
-        from . import rust, typescript
+        from codeperil.sources import rust, typescript
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
         for batch in batches:
@@ -137,6 +138,7 @@ def extract(sources: DataFrame, language: str, metric: str) -> tuple[DataFrame,
                     rows.append({**key, "n": 0, "error": str(error) or type(error).__name__})
             yield from pa.Table.from_pylist(rows, ARROW).to_batches()
 
+    ship(sources.sparkSession)
     rows = sources.select("file_path", "place", "text").mapInArrow(parse, EXTRACTED)
     functions = rows.where("error IS NULL").withColumn("ordinal", F.col("place") * F.lit(1 << 24) + F.col("n")).select(*FUNCTIONS.fieldNames())
     return functions, rows.where("error IS NOT NULL").select("file_path", "error")
