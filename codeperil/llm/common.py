@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship  # noqa: PLC0414  operators take it from here
+
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_ASCII = "abcdefghijklmnopqrstuvwxyz"
 #: Word separators: space and the ASCII controls from tab to carriage return.
@@ -30,22 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application: executors need no copy of their own."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="codeperil-")) / f"{package.name}.zip"  # the driver serves it
-        with zipfile.ZipFile(target, "w") as file:
-            for path in sorted(package.rglob("*.py")):
-                file.write(path, path.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(app)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for `name` in the shared folder."""
     return f"{shared_folder(spark)}/codeperil/{name}-{uuid.uuid4().hex}"
