@@ -52,12 +52,12 @@ def changes_of(baseline: DataFrame, current: DataFrame) -> DataFrame:
     new = _side(current, "current").withColumn("k", F.row_number().over(same.orderBy("o")))
     first, rest = new.where("k = 1").drop("k"), new.where("k > 1").drop("k")
     olds = old.select("f", "q", "baseline", F.col("s").alias("bs"), F.col("c").alias("bc"), F.col("o").alias("bo"))
-    both = first.join(olds, ["f", "q"], "full_outer")
+    both = first.join(olds, ["f", "q"], "full_outer").persist()  # read by every tier; recomputed where an executor is lost
     paired = both.where("baseline IS NOT NULL AND current IS NOT NULL").select(F.lit("modified").alias("kind"), F.lit("identity").alias("tier"), "baseline", "current")
     left_old = both.where("current IS NULL").select("f", "q", F.col("bs").alias("s"), F.col("bc").alias("c"), F.col("bo").alias("o"), "baseline")
     left_new = both.where("baseline IS NULL").select("f", "q", "s", "c", "o", "current").unionByName(rest.select("f", "q", "s", "c", "o", "current"))
     tier_a = _unique_pairs(left_old, left_new, ["q", "s"], "a")
-    left_old, left_new = _without(left_old, left_new, tier_a)
+    left_old, left_new = (x.persist() for x in _without(left_old, left_new, tier_a))
     tier_b = _unique_pairs(left_old.where("c > 1"), left_new.where("c > 1"), ["s"], "b")
     left_old, left_new = _without(left_old, left_new, tier_b)
     moved = tier_a.unionByName(tier_b)

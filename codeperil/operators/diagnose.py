@@ -61,14 +61,18 @@ def _picked(all_: Column, eligible, key, kind: str, start: Column, end: Column,
     return F.when(viable, F.array(split.cast(SPLIT))).otherwise(F.array().cast(f"array<{SPLIT}>"))
 
 
-def splits(contributors: Column, start: Column, end: Column) -> Column:
-    """Candidates for extraction: deepest nesting, most branches, largest block; of one range the first rule counts; the first candidate is recommended."""
+def picks(contributors: Column, start: Column, end: Column) -> Column:
+    """What the three rules pick, in order: deepest nesting, most branches, largest block."""
     compound = lambda c: _end(c) > c["line"]
-    found = F.concat(
+    return F.concat(
         _picked(contributors, lambda c: compound(c) & (c["nesting_depth"] > 0), lambda c: c["nesting_depth"], "deepest_nesting", start, end),
         _picked(contributors, compound, lambda c: _inner(contributors, c), "highest_branch_count", start, end, True),
         _picked(contributors, compound, lambda c: _end(c) - c["line"], "largest_subblock", start, end),
     )
+
+
+def distinct_splits(found: Column) -> Column:
+    """Candidates for extraction from picks: of one range the first counts; the first candidate is recommended."""
     first = F.filter(found, lambda s, i: ~F.exists(F.slice(found, 1, i), lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"])))
     return F.transform(first, lambda s, i: F.struct(s["start"], s["end"], s["complexity_contribution"], s["branch_path"], s["kind"], (i == 0).alias("recommended")).cast(SPLIT))
 
@@ -79,7 +83,8 @@ def diagnostics(verdicts: DataFrame, lines: DataFrame) -> DataFrame:
     gaps = coverage_gaps(over, lines).groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("coverage_gaps"))  # at most a span's lines
     rows = over.select("ordinal", "start_line", "end_line", "contributors").withColumn("contributors", F.coalesce("contributors", F.array().cast(verdicts.schema["contributors"].dataType)))
     dominant = dominant_kinds(rows).select("ordinal", F.col("kind").alias("dominant"))
-    rows = rows.withColumn("splits", splits(F.col("contributors"), F.col("start_line"), F.col("end_line")))
+    rows = rows.withColumn("picks", picks(F.col("contributors"), F.col("start_line"), F.col("end_line")))
+    rows = rows.withColumn("splits", distinct_splits(F.col("picks"))).drop("picks")
     rows = rows.join(gaps, "ordinal", "left").join(dominant, "ordinal", "left")
     rows = rows.withColumn("coverage_gaps", F.coalesce("coverage_gaps", F.array().cast("array<struct<start: bigint, end: bigint>>")))
     has_gaps, has_splits = F.size("coverage_gaps") > 0, F.size("splits") > 0
