@@ -34,7 +34,9 @@ _BASE = 0x9E3779B97F4A7C15
 #: The largest Gumbel draw from 53 random bits is below this.
 MOST_NOISE = 37.0
 #: Characters in a chunk.
-CHUNK = 1_000_000
+CHUNK = 200_000
+#: Characters of a task's first batch from which its frequent words are taken, and how often such a word must occur in them.
+LOOK_AHEAD, FREQUENT = 1_500_000, 3
 
 
 @dataclass(frozen=True)
@@ -62,10 +64,20 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2**64; the longest table so far is kept, up to 8 MB."""
+    held = _tables.get(base)
+    if held is not None and len(held) >= n:
+        return held[:n]
     out = np.full(n, base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= 1 << 20:
+        _tables[base] = out
+    return out
 
 
 class Pieces:
@@ -92,37 +104,51 @@ class Pieces:
         #: Whether a word may be cut off before every blank behind another character.
         self.words_apart = not any(chr(SPACE) in t.lstrip(chr(SPACE)) for t in self.texts.values())
         self.longest = max(map(len, self.texts.values()), default=1)
+        # the table holds all beginnings of pieces; those that are no piece have number -1
+        self.known = {t: i for i, t in self.texts.items()}
+        for t in list(self.known):
+            for n in range(1, len(t)):
+                self.known.setdefault(t[:n], -1)
         powers = _powers(_BASE, self.longest + 1)
-        size = 1 << max(4, (4 * len(ids)).bit_length())
+        self.bits = max(4, (4 * len(self.known)).bit_length())
+        size = 1 << self.bits
         self.mask = size - 1
         self.keys = np.zeros(size, np.uint64)
-        self.ids = np.zeros(size, np.int32)
-        self.probes = 1
-        for i, t in self.texts.items():
+        self.ids = np.full(size, -1, np.int64)
+        for t, i in self.known.items():
             codes = np.array([ord(c) for c in t], np.uint64)
-            h = self._final(np.array([(codes * powers[: len(codes)]).sum()], np.uint64), len(codes))[0]
-            slot, probe = int(h) & self.mask, 1
+            h = self._final(np.array([(codes * powers[: len(codes)]).sum()], np.uint64), len(codes))
+            slot = int(self._slot(h)[0])
             while self.keys[slot]:
-                slot, probe = (slot + 1) & self.mask, probe + 1
-            self.keys[slot], self.ids[slot] = h, i
-            self.probes = max(self.probes, probe)
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.ids[slot] = h[0], i
+        del self.known
 
     @staticmethod
     def _final(h: np.ndarray, length: int) -> np.ndarray:
-        out = mix(h + np.uint64(length) * np.uint64(0xD6E8FEB86659FD93))
+        """A polynomial hash with its length mixed in; 0 is no key."""
+        out = h ^ np.uint64(length * 0xD6E8FEB86659FD93 % (1 << 64))
         out[out == 0] = 1
         return out
 
-    def find(self, h: np.ndarray, length: int) -> np.ndarray:
-        """The pieces of `length` characters with the polynomial hashes h, or -1."""
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(_BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the polynomial hashes h are beginnings of pieces, of `length` characters, and the pieces that they are or -1."""
         h = self._final(h, length)
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        out = np.where(self.keys[slot] == h, self.ids[slot], -1)
-        for _ in range(1, self.probes):
-            slot = (slot + 1) & self.mask
-            hit = self.keys[slot] == h
-            out[hit] = self.ids[slot[hit]]
-        return out
+        slot = self._slot(h)
+        key = self.keys[slot]
+        hit = key == h
+        open_ = np.flatnonzero(~hit & (key != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            key = self.keys[slot[open_]]
+            found = key == h[open_]
+            hit[open_[found]] = True
+            open_ = open_[~found & (key != 0)]
+        at = np.flatnonzero(hit)
+        return at, self.ids[slot[at]]
 
     def normal(self, text: str) -> str:
         """The text as the model sees it, with blanks marked."""
@@ -130,11 +156,12 @@ class Pieces:
 
 
 class Lattice:
-    """The lattices of words laid end to end: places, edges sorted by place, backward sums and conditional shares."""
+    """The lattices of words, one after the other: places, edges sorted by place, backward sums and conditional shares."""
 
     def __init__(self, pieces: Pieces, codes: np.ndarray, ends: np.ndarray):
-        """codes: the words' characters; ends: for each character its word's end. A word's end is no place of its own."""
+        """codes: the words' characters, a 0 behind each word; ends: for each place that of its word's 0."""
         n = len(codes)
+        left = ends - np.arange(n)  # characters to the word's end
         powers = _powers(_BASE, n + 1)
         inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
         sums = np.zeros(n + 1, np.uint64)
@@ -145,16 +172,20 @@ class Lattice:
         ranks = []
         at = np.arange(n)
         for length in range(1, pieces.longest + 1):
-            at = at[at + length <= ends[at]]
+            at = at[left[at] >= length]
             if not len(at):
                 break
-            found = pieces.find((sums[at + length] - sums[at]) * inverse[at], length)
-            hit = np.flatnonzero(found >= 0)
-            own, ids = at[hit], found[hit].astype(np.int64)
+            hit, ids = pieces.find((sums[at + length] - sums[at]) * inverse[at], length)
             if length == 1:  # characters outside the vocabulary: their bytes, or the unknown piece
+                own = at
+                at = at[hit]
                 whole = np.full(n, -1, np.int64)
-                whole[own] = ids
-                own, ids = np.arange(n), whole
+                whole[at] = ids
+                ids = whole[own]
+            else:
+                at = at[hit]  # no piece goes on from where none begins
+                own = at[ids >= 0]
+                ids = ids[ids >= 0]
             found_at.append(own)
             found_ids.append(ids)
             ranks.append(number[own])
@@ -174,33 +205,103 @@ class Lattice:
                 self.more[-2 - len(self.more)] = own
             score[k] = pieces.fallback * len(own)
         self.ends = ends
-        # backward sums, from the words' last places to their first
+        # backward sums, from the words' last places to their first; 0 at a word's end
         beta = np.zeros(n + 1)
-        left = ends - np.arange(n)  # characters to the word's end
-        by_left = np.argsort(left[self.src], kind="stable")
-        steps = left[self.src[by_left]]
-        bounds = np.searchsorted(steps, np.arange(1, (int(left.max()) if n else 0) + 2))
-        word_end = np.zeros(n + 1, bool)
-        word_end[ends] = True
-        value = np.empty(len(score))
+        longest = int(left.max()) if n else 0
+        left = left.astype(np.uint16 if longest < 1 << 16 else np.int64)[self.src]  # 16 bits sort by radix
+        by_left = np.argsort(left, kind="stable")
+        bounds = np.searchsorted(left[by_left], np.arange(1, longest + 2))
+        value = np.empty(n_edges)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if a == b:
                 continue
             edges = by_left[a:b]
-            own_dst = self.dst[edges]
-            value[edges] = v = score[edges] + np.where(own_dst == ends[self.src[edges]], 0.0, beta[np.minimum(own_dst, n)])
+            v = score[edges] + beta[self.dst[edges]]
+            value[edges] = v
             places = self.src[edges]
             heads = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
             beta[places[heads]] = np.logaddexp.reduceat(v, heads)
         self.log_share = value - beta[self.src]
         share = np.exp(self.log_share)
-        total = np.concatenate([[0.0], np.cumsum(share)])
-        self.upto = total[1:] - total[self.first[self.src]]
-        last = np.zeros(len(share), bool)
-        last[self.first[1:] - 1] = True
+        self.upto = np.empty(n_edges)  # summed place by place, so it doesn't depend on other words
+        edge, so_far = self.first[:-1][number > 0], 0.0
+        end = self.first[1:][number > 0]
+        while len(edge):
+            so_far = so_far + share[edge]
+            self.upto[edge] = so_far
+            edge = edge + 1
+            more = edge < end
+            edge, end, so_far = edge[more], end[more], so_far[more]
+        filled = self.first[1:] > self.first[:-1]
+        last = self.first[1:][filled] - 1
         self.upto[last] = 2.0
         with np.errstate(divide="ignore"):
-            self.log_rest = np.where(last & (self.first[self.src] == np.arange(len(share))), -np.inf, np.log(np.maximum(-np.expm1(np.minimum(self.log_share, 0.0)), 0.0)))
+            self.log_rest = np.log(np.maximum(1.0 - share, 0.0))
+        self.log_rest[last[self.first[:-1][filled] == last]] = -np.inf  # the only edge of its place
+
+
+class Board:
+    """A worker's lattice: that of frequent words, which stays, and behind it that of a chunk's other words."""
+
+    NAMES = ("src", "dst", "ids", "log_share", "upto", "log_rest")
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.places = self.edges = 0
+        self.more: dict[int, list[int]] = {}
+        self.fixed_more: dict[int, list[int]] = {}
+        self.first, self.ends = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        for name in self.NAMES:
+            setattr(self, name, np.zeros(0, np.float64 if name in ("log_share", "upto", "log_rest") else np.int64))
+
+    def _room(self, places: int, edges: int) -> None:
+        def grown(x: np.ndarray, n: int) -> np.ndarray:
+            return x if len(x) >= n else np.concatenate([x, np.zeros(n + n // 2 - len(x), x.dtype)])
+
+        self.first, self.ends = grown(self.first, places + 1), grown(self.ends, places)
+        for name in self.NAMES:
+            setattr(self, name, grown(getattr(self, name), edges))
+
+    def _put(self, words: Words, chosen: np.ndarray) -> np.ndarray:
+        """Lay the lattices of the chosen words behind the frequent ones'; the place of each."""
+        lattice, starts = words.lattice(self.pieces, chosen)
+        p, e = self.places, self.edges
+        n_places, n_edges = len(lattice.ends), len(lattice.src)
+        self._room(p + n_places, e + n_edges)
+        self.first[p : p + n_places + 1] = lattice.first + e
+        self.ends[p : p + n_places] = lattice.ends + p
+        self.src[e : e + n_edges] = lattice.src + p
+        self.dst[e : e + n_edges] = lattice.dst + p
+        for name in self.NAMES[2:]:
+            getattr(self, name)[e : e + n_edges] = getattr(lattice, name)
+        self.more = dict(self.fixed_more)
+        if lattice.more:  # their numbers go on behind those that are there
+            own = self.ids[e : e + n_edges]
+            own[own < -1] -= len(self.fixed_more)
+            self.more |= {k - len(self.fixed_more): v for k, v in lattice.more.items()}
+        self.tail = (n_places, n_edges)
+        return starts + p
+
+    def keep(self, words: Words) -> None:
+        """Keep the frequent words' lattices."""
+        chosen = np.flatnonzero(words.counts >= FREQUENT)
+        if len(chosen) and not self.places:
+            self.starts = self._put(words, chosen)
+            self.hashes = words.hashes[chosen]
+            self.places, self.edges, self.fixed_more = *self.tail, dict(self.more)
+
+    def lay(self, words: Words) -> np.ndarray:
+        """The place of every word of a chunk."""
+        at = np.searchsorted(self.hashes, words.hashes)
+        known = np.zeros(len(at), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == words.hashes[inside]
+        out = np.empty(len(at), np.int64)
+        out[known] = self.starts[at[known]]
+        out[~known] = self._put(words, np.flatnonzero(~known))
+        return out
 
     def draw(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one path from each of `starts` to its word's end, one after the other, and their numbers; drawn with hashes of `keys`."""
@@ -234,6 +335,37 @@ class Lattice:
         return out, counts
 
 
+class Words:
+    """The words of some texts: `unit` numbers each word in order, among the distinct ones by hash; text n has the units first[n] to first[n + 1]."""
+
+    def __init__(self, pieces: Pieces, texts: list[str]):
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.cumsum([0, *map(len, texts)])
+        n = len(self.codes)
+        cut = np.zeros(n + 1, bool)
+        cut[bounds] = True
+        if pieces.words_apart and n:
+            cut[1:-1] |= (self.codes[1:] == SPACE) & (self.codes[:-1] != SPACE)
+        begins = np.flatnonzero(cut[:-1])
+        sizes = np.append(begins[1:], n) - begins if len(begins) else np.zeros(0, np.int64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n + 1)[:-1], out=sums[1:])
+        hashes = (sums[begins + sizes] - sums[begins]) * _powers(pow(_BASE, -1, 1 << 64), n + 1)[begins]
+        self.hashes, seen, self.unit, self.counts = np.unique(mix(hashes + sizes.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+        self.begins, self.sizes = begins[seen], sizes[seen]
+        self.first = np.searchsorted(begins, bounds)
+
+    def lattice(self, pieces: Pieces, chosen: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """The lattices of the chosen distinct words, and the place of each."""
+        sizes = self.sizes[chosen]
+        tops = np.cumsum(sizes + 1) - 1  # a word's 0
+        letters = np.zeros(int(tops[-1]) + 1 if len(tops) else 0, np.uint32)
+        filled = np.ones(len(letters), bool)
+        filled[tops] = False
+        letters[filled] = self.codes[np.repeat(self.begins[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        return Lattice(pieces, letters, np.repeat(tops, sizes + 1)), tops - sizes
+
+
 def _mix_int(x: int) -> int:
     return int(mix(np.array([x % (1 << 64)], np.uint64))[0])
 
@@ -253,29 +385,12 @@ class _Text:
         self.leaves: list[tuple[np.ndarray, float, float]] = []  # edges, log p, perturbed value
 
 
-def sample_chunk(pieces: Pieces, how: Sampling, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_chunk(pieces: Pieces, how: Sampling, keys: list[int], texts: list[str], board: Board | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its leaves in order: ids, log p, perturbed value, log of the inclusion probability."""
-    lengths = [len(t) for t in texts]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    edges_at = np.cumsum([0, *lengths])
-    cut = np.zeros(len(codes) + 1, bool)
-    cut[edges_at] = True
-    if pieces.words_apart and len(codes):
-        cut[1:-1] |= (codes[1:] == SPACE) & (codes[:-1] != SPACE)
-    begins = np.flatnonzero(cut[:-1])
-    stops = np.append(begins[1:], len(codes))
-    # distinct words, by a 64-bit hash of their characters
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes) + 1)[:-1], out=sums[1:])
-    hashes = (sums[stops] - sums[begins]) * _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)[begins] if len(begins) else np.zeros(0, np.uint64)
-    _, seen, unit = np.unique(mix(hashes + (stops - begins).astype(np.uint64)), return_index=True, return_inverse=True)
-    sizes = (stops - begins)[seen]
-    tops = np.cumsum(sizes)
-    word_start = tops - sizes
-    letters = np.repeat(begins[seen] - word_start, sizes) + np.arange(int(sizes.sum()))
-    lattice = Lattice(pieces, codes[letters], np.repeat(tops, sizes))
-    unit_first = np.searchsorted(begins, edges_at)
-    states = [_Text(k, int(unit_first[n]), int(unit_first[n + 1] - unit_first[n])) for n, k in enumerate(keys)]
+    words = Words(pieces, texts)
+    lattice = board or Board(pieces)
+    word_start, unit = lattice.lay(words), words.unit
+    states = [_Text(k, int(words.first[n]), int(words.first[n + 1] - words.first[n])) for n, k in enumerate(keys)]
     # the first leaves
     for s in states:
         s.key = _mix_int(s.key * 0x9E3779B97F4A7C15 + how.seed)
@@ -297,14 +412,14 @@ def sample_chunk(pieces: Pieces, how: Sampling, keys: list[int], texts: list[str
     return out
 
 
-def _ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
+def _ids(lattice: Board, edges: np.ndarray) -> np.ndarray:
     ids = lattice.ids[edges]
     if len(lattice.more) and (ids < -1).any():
         return np.array([i for x in ids.tolist() for i in (lattice.more[x] if x < -1 else (x,))], np.uint32)
     return ids.astype(np.uint32)
 
 
-def _extend(lattice: Lattice, how: Sampling, wanted: list[tuple], unit: np.ndarray, word_start: np.ndarray, leaf: int) -> None:
+def _extend(lattice: Board, how: Sampling, wanted: list[tuple], unit: np.ndarray, word_start: np.ndarray, leaf: int) -> None:
     """Draw the rest of each path: (text, value, edges so far, words passed, place in the next word or None), and queue the groups beside it."""
     keys, starts, spans = [], [], []
     for s, _, _, done, place in wanted:
@@ -328,9 +443,9 @@ def _extend(lattice: Lattice, how: Sampling, wanted: list[tuple], unit: np.ndarr
         _queue(lattice, s, value, path, len(prefix), log_p, need, leaf)
 
 
-def _queue(lattice: Lattice, s: _Text, value: float, path: np.ndarray, fresh: int, log_p: np.ndarray, need: int, leaf: int) -> None:
+def _queue(lattice: Board, s: _Text, value: float, path: np.ndarray, fresh: int, log_p: np.ndarray, need: int, leaf: int) -> None:
     """Queue the `need` best groups beside the path's edges from number `fresh` on."""
-    size = 64
+    size = len(path) if len(path) - fresh <= 1500 else 64  # a long path is first looked at where values are large
     at = fresh
     best: list[tuple[float, int]] = []
     while at < len(path):
@@ -340,16 +455,21 @@ def _queue(lattice: Lattice, s: _Text, value: float, path: np.ndarray, fresh: in
         some = path[at : at + size]
         loc = log_p[at : at + size] - lattice.log_share[some] + lattice.log_rest[some]
         u = uniform(mix(np.uint64((s.key + (leaf + 1) * 0x589965CC75374CC3) % (1 << 64)) + np.arange(at, at + len(some), dtype=np.uint64) * np.uint64(0x1D8E4E27C47D124F)))
-        got = _below(loc, value, u)
-        top = np.argsort(-got)[:need]
-        best = sorted([*best, *((float(got[k]), at + int(k)) for k in top if got[k] > -np.inf)], reverse=True)[:need]
+        if len(best) >= need:
+            # a value above the best needs -log u < exp(loc - best), so u > 1 - exp(loc - best)
+            near = np.flatnonzero(u > 1.0 - np.exp(np.minimum(loc - best[need - 1][0], 0.0)))
+        else:
+            near = np.flatnonzero(loc > -np.inf)
+        if len(near):
+            got = _below(loc[near], value, u[near])
+            best = sorted([*best, *zip(got.tolist(), (near + at).tolist(), strict=True)], reverse=True)[:need]
         at += size
-        size *= 2
+        size = 1 << 14
     for v, k in best:
         heappush(s.queue, (-v, len(s.leaves) - 1, k, (int(path[k]),)))
 
 
-def _open(lattice: Lattice, s: _Text, leaf: int, unit: np.ndarray, word_start: np.ndarray) -> tuple | None:
+def _open(lattice: Board, s: _Text, leaf: int, unit: np.ndarray, word_start: np.ndarray) -> tuple | None:
     """Open the best group: its new child, and the smaller group that is left."""
     if not s.queue:
         return None
@@ -391,14 +511,18 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value, how)
+        board = None
         for batch in batches:
+            if board is None:
+                board = Board(pieces)
+                board.keep(Words(pieces, _first_texts(pieces, batch.column(2))))
             ids, keys, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             first, size, own = 0, 0, []
             for n in range(len(texts)):
                 own.append(pieces.normal(texts[n].as_py() or ""))
                 size += len(own[-1])
                 if size >= CHUNK or n + 1 == len(texts):
-                    yield rows(ids.slice(first, len(own)), sample_chunk(pieces, how, keys[first : n + 1], own))
+                    yield rows(ids.slice(first, len(own)), sample_chunk(pieces, how, keys[first : n + 1], own, board))
                     first, size, own = n + 1, 0, []
 
     def rows(ids: pa.Array, sampled: list) -> pa.RecordBatch:
@@ -421,6 +545,17 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
     return docs.select(F.col(id_col), F.xxhash64(id_col).alias("__key"), F.col(text_col)).mapInArrow(sample, schema)
 
 
+def _first_texts(pieces: Pieces, texts: pa.Array) -> list[str]:
+    """Texts of a batch, LOOK_AHEAD characters or one text."""
+    out, size = [], 0
+    for t in texts:
+        out.append(pieces.normal(t.as_py() or ""))
+        size += len(out[-1])
+        if size >= LOOK_AHEAD:
+            break
+    return out
+
+
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """`rows` with the column decoded: the text of the pieces in `ids_col` (null: null)."""
     ship(rows.sparkSession)
