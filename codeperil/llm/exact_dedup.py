@@ -71,7 +71,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tagged = docs.withColumn("__sha", F.sha2(normal.cast("binary"), 256))
     same = tagged[id_col].eqNullSafe(F.col("__id")) & (tagged["__sha"] == F.col("__sha_d"))
     gone = dropped.select("__id", F.col("__sha").alias("__sha_d"))
-    out = tagged.join(gone, same, "left_anti")
+    out = tagged.join(gone.hint("merge"), same, "left_anti")  # by shuffle at every size: the dropped rows grow with the input
     if not copies.isEmpty():  # the same identifier and text more than once: one row of each comes back
         pairs = copies.select("__id", F.col("__sha").alias("__sha_d"))
         again = tagged.join(pairs, same, "left_semi").dropDuplicates([id_col, "__sha"])

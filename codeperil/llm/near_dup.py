@@ -350,7 +350,8 @@ def drop_near_copies(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "d
     names = docs.columns
     rows = written(docs.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("__uid")), "rows")
     kept = near_classes(rows.select(F.struct(F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.col("__uid").alias("uid")).alias("__id"), F.col(f"row.{text_col}").alias("__text")), how, "__id", "__text")
-    return rows.join(kept.where("kept").select(F.col("__id.uid").alias("__uid")), "__uid", "left_semi").select("row.*")
+    stay = kept.where("kept").select(F.col("__id.uid").alias("__uid"))
+    return rows.join(stay.hint("merge"), "__uid", "left_semi").select("row.*")  # by shuffle at every size
 
 
 def near_classes(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
