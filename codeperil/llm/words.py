@@ -21,6 +21,8 @@ _MARK = np.zeros(256, bool)
 _MARK[[44, 46]] = True  # comma and full stop
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True  # ASCII digits and letters
+#: Pieces that the library encodes at once: an encoding takes about a kilobyte until its ids are read.
+LEARNT = 4096
 
 
 class WordEncoder:
@@ -36,7 +38,7 @@ class WordEncoder:
     bounds the pieces that are remembered (memory), not what is encoded.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         config = json.loads(tokenizer_json)
@@ -89,7 +91,9 @@ class WordEncoder:
             slot[left] = (slot[left] + 1) & self.mask
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lists: list[list[int]] = []
+        for a in range(0, len(words), LEARNT):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + LEARNT], add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
