@@ -53,15 +53,19 @@ class Sampling:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), from hashes."""
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    out = (x >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 _tables: dict[int, np.ndarray] = {}
@@ -162,20 +166,22 @@ class Lattice:
         """codes: the words' characters, a 0 behind each word; ends: for each place that of its word's 0."""
         n = len(codes)
         left = ends - np.arange(n)  # characters to the word's end
-        powers = _powers(_BASE, n + 1)
-        inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes.astype(np.uint64) * powers[:n], out=sums[1:])
+        wide = codes.astype(np.uint64)
+        powers = _powers(_BASE, pieces.longest + 1)
         # edges by place, then by length; a place's edges are counted length by length
         found_at, found_ids = [], []
         number = np.zeros(n, np.int64)
         ranks = []
         at = np.arange(n)
+        hashes = np.zeros(n, np.uint64)  # of the characters from each place on
         for length in range(1, pieces.longest + 1):
-            at = at[left[at] >= length]
+            inside = left[at] >= length
+            at, hashes = at[inside], hashes[inside]
             if not len(at):
                 break
-            hit, ids = pieces.find((sums[at + length] - sums[at]) * inverse[at], length)
+            hashes += wide[at + (length - 1)] * powers[length - 1]
+            hit, ids = pieces.find(hashes, length)
+            hashes = hashes[hit]
             if length == 1:  # characters outside the vocabulary: their bytes, or the unknown piece
                 own = at
                 at = at[hit]
@@ -316,7 +322,7 @@ class Board:
         active, at = active[live], at[live]
         while len(active):
             u = uniform(mix(keys[active] + np.uint64((step + 1) * 0xA0761D6478BD642F % (1 << 64))))
-            edge = self.first[at].copy()
+            edge = self.first[at]
             open_ = np.flatnonzero(u >= self.upto[edge])
             while len(open_):
                 edge[open_] += 1
@@ -421,18 +427,15 @@ def _ids(lattice: Board, edges: np.ndarray) -> np.ndarray:
 
 def _extend(lattice: Board, how: Sampling, wanted: list[tuple], unit: np.ndarray, word_start: np.ndarray, leaf: int) -> None:
     """Draw the rest of each path: (text, value, edges so far, words passed, place in the next word or None), and queue the groups beside it."""
-    keys, starts, spans = [], [], []
-    for s, _, _, done, place in wanted:
-        n = s.n_units - done
-        own = word_start[unit[s.first_unit + done : s.first_unit + s.n_units]]
-        if place is not None and n:
-            own = own.copy()
-            own[0] = place
-        starts.append(own)
-        keys.append(np.uint64((s.key + (leaf + 1) * 0xE7037ED1A0B428DB) % (1 << 64)) + np.arange(done, s.n_units, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-        spans.append(n)
-    starts_all = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    edges, counts = lattice.draw(mix(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), starts_all)
+    spans = np.array([s.n_units - done for s, _, _, done, _ in wanted], np.int64)
+    heads = np.cumsum(spans) - spans
+    passed = np.arange(int(spans.sum())) + np.repeat(np.array([done for _, _, _, done, _ in wanted], np.int64) - heads, spans)
+    starts = word_start[unit[passed + np.repeat(np.array([s.first_unit for s, *_ in wanted], np.int64), spans)]]
+    for n, (_, _, _, _, place) in enumerate(wanted):
+        if place is not None and spans[n]:
+            starts[heads[n]] = place
+    own = np.array([(s.key + (leaf + 1) * 0xE7037ED1A0B428DB) % (1 << 64) for s, *_ in wanted], np.uint64)
+    edges, counts = lattice.draw(mix(np.repeat(own, spans) + passed.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)), starts)
     ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *spans])]
     for n, (s, value, prefix, _, _) in enumerate(wanted):
         suffix = edges[ends[n] : ends[n + 1]]
@@ -462,6 +465,9 @@ def _queue(lattice: Board, s: _Text, value: float, path: np.ndarray, fresh: int,
             near = np.flatnonzero(loc > -np.inf)
         if len(near):
             got = _below(loc[near], value, u[near])
+            if len(got) > need:
+                top = np.argpartition(got, len(got) - need)[-need:]
+                got, near = got[top], near[top]
             best = sorted([*best, *zip(got.tolist(), (near + at).tolist(), strict=True)], reverse=True)[:need]
         at += size
         size = 1 << 14
