@@ -1,8 +1,8 @@
 """Token ids as Arrow IPC files of fixed-size-list batches.
 
 A set is a folder of pairs of files, one pair for each range of identifiers: ``part-00007.arrow`` holds the token
-stream of its documents cut into sequences of `length` ids, with a mask of the same shape (0 behind the end of the
-stream); ``part-00007.docs.arrow`` holds each document's identifier, first position and number of ids. Both are Arrow
+stream of its documents cut into sequences of `length` ids, with a mask of the same shape, one bit an id (0 behind
+the end of the stream); ``part-00007.docs.arrow`` holds each document's identifier, first position and number of ids. Both are Arrow
 files with a footer, uncompressed, so a reader can map them and take any sequence, or any document's ids, without a
 copy. Ids are stored in 16 bits where the vocabulary allows, else in 32.
 
@@ -33,7 +33,7 @@ MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 #: Sequences in a record batch.
 BATCH = 512
 #: Bytes of text that are encoded at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) ->
                 first, held = n, 0
             if n < len(texts):
                 held += sizes[n]
+        pa.default_memory_pool().release_unused()
 
 
 def open_folder(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -72,7 +73,7 @@ def open_folder(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def sequence_schema(length: int, n_vocab: int) -> pa.Schema:
     ids = pa.uint16() if n_vocab <= 1 << 16 else pa.uint32()
-    return pa.schema([pa.field("ids", pa.list_(ids, length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)])
+    return pa.schema([pa.field("ids", pa.list_(ids, length), False), pa.field("mask", pa.list_(pa.bool_(), length), False)])
 
 
 class _Writer:
@@ -104,8 +105,8 @@ class _Writer:
         self.rest = stream[whole:]
 
     def _sequences(self, stream: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(stream), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(stream), bool)
+        mask[:real] = True
         step = BATCH * self.length
         for a in range(0, len(stream), step):
             part = [pa.FixedSizeListArray.from_arrays(pa.array(x[a : a + step]), self.length) for x in (stream, mask)]
@@ -171,7 +172,7 @@ def open_part(folder: str, part: int) -> tuple[pa.ipc.RecordBatchFileReader, pa.
 
 
 def sequence(folder: str, part: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the mask of a part's sequence number n, as views of the file."""
+    """The ids of a part's sequence number n, as a view of the file, and its mask, read from the file's bits."""
     reader, _ = open_part(folder, part)
     batch = reader.get_batch(n // BATCH) if _regular(reader) else None
     if batch is None:
@@ -182,7 +183,8 @@ def sequence(folder: str, part: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             n -= batch.num_rows
     else:
         n %= BATCH
-    return tuple(c.slice(n, 1).flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
+    ids, mask = (c.slice(n, 1).flatten() for c in batch.columns)
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def _regular(reader: pa.ipc.RecordBatchFileReader) -> bool:
