@@ -365,7 +365,7 @@ def near_classes(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     rows = sketched(docs, how, id_col, text_col)
     full = rows.where("n_shingles > 0")
     groups = written(full.groupBy("words").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n_rows")), "nodes")
-    own = full.join(groups.select("node"), full["uid"] == groups["node"])
+    own = full.join(groups.select("node").hint("merge"), full["uid"] == groups["node"])  # by shuffle at every size
     placed = own.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes, "buckets")
