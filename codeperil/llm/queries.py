@@ -74,7 +74,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), substring_dedup.Spans())
+    return substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), substring_dedup.PRODUCTION)
 
 
 def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

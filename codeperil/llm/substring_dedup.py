@@ -2,8 +2,10 @@
 
 A text is cut into sentences, behind closing punctuation or at a line end; a sentence of more than `long_words` words is
 cut further behind its commas, and what is longer still behind words that a hash marks, so that a shared stretch is cut
-alike wherever it stands. Every run of `run` consecutive sentences with at least `least_words` words is a span, hashed
-over its lower-case words. Spans meet in one global join on the hash. The first occurrence of a span, by identifier, then
+alike wherever it stands. From every sentence the shortest run of at least `run` sentences and `least_words` words is a
+span, hashed over its lower-case words; with `both_ways` so is the shortest such run that ends with every sentence. Both
+together cover every sentence of any repeated passage of that size: what lies behind the first run from the passage's
+begin ends a run inside the passage. Sentences without words neither begin nor end a span. Spans meet in one global join on the hash. The first occurrence of a span, by identifier, then
 by place, keeps its text; sentences that any other occurrence covers are removed.
 
 A span is a row of 24 bytes, written once; one that occurs once leaves after the first aggregation, one of a
@@ -27,14 +29,18 @@ from .common import hot_aware_join, ship, written
 
 @dataclass(frozen=True)
 class Spans:
-    """Parameters."""
+    """Parameters; the query's are PRODUCTION."""
 
     run: int = 2
     least_words: int = 20
     long_words: int = 16
     cut_every: int = 8
+    both_ways: bool = False
 
 
+#: Whatever repeats of two sentences and 10 words, so all runs of three sentences and 10 words and of two and 20 too.
+PRODUCTION = Spans(least_words=10, both_ways=True)
+
 _END = re.compile(r"[.!?…。！？]+[\"'»”)\]]*(?:\s+|$)|\s*\n\s*")
 _COMMA = re.compile(r"[,;:]\s+")
 _FACTOR = 0x9E3779B97F4A7C15
@@ -121,12 +127,20 @@ class Splitter:
             powers[1:] = np.uint64(_FACTOR)
             powers = np.multiply.accumulate(powers)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])])
+        own = np.flatnonzero(counts)  # sentences with words
+        heads, tails, n = begins[own], ends[own], len(own)
         # the last sentence of each span: at least run - 1 further on, and where the words suffice
-        enough = np.searchsorted(ends, begins + self.how.least_words)
-        stop = np.maximum(np.arange(len(parts)) + run - 1, enough)
-        keep = np.flatnonzero(stop < len(parts))
-        stop = stop[keep]
-        first, last = begins[keep], ends[stop]
+        stop = np.maximum(np.arange(n) + run - 1, np.searchsorted(tails, heads + self.how.least_words))
+        start = np.flatnonzero(stop < n)
+        if self.how.both_ways:
+            # the first sentence of the spans that end with each: the last one from which the words suffice
+            begin = np.minimum(np.arange(n) - run + 1, np.searchsorted(heads, tails - self.how.least_words, "right") - 1)
+            more = np.flatnonzero(begin >= 0)
+            more = more[stop[begin[more]] != more]  # the others are there already
+            start, stop = np.concatenate([start, begin[more]]), np.concatenate([stop[start], more])
+        else:
+            stop = stop[start]
+        first, last = heads[start], tails[stop]
         inverse = np.uint64(pow(_FACTOR, -1, 1 << 64))
         back = np.ones(len(h) + 1, np.uint64)
         back[1:] = inverse
@@ -135,7 +149,7 @@ class Splitter:
         span ^= span >> np.uint64(32)
         span *= np.uint64(0xD6E8FEB86659FD93)
         span ^= span >> np.uint64(29)
-        return span, keep.astype(np.int32), (stop - keep + 1).astype(np.int32)
+        return span, own[start].astype(np.int32), (own[stop] - own[start] + 1).astype(np.int32)
 
 
 def remove_repeated_spans(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

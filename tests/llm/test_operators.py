@@ -268,6 +268,19 @@ def test_spans_against_brute_force(spark):
     assert got == want
 
 
+def test_query_removes_short_runs_and_whole_passages(spark):
+    sentence = lambda n, seed: " ".join(words(n, seed)) + "."
+    passages = [[sentence(k, 100 * n + i) for i, k in enumerate(sizes)] for n, sizes in enumerate([(4, 3, 5), (6, 5), (16, 16, 16, 3), (1, 1, 1, 12), (2, 12, 1, 1, 1), (6, 1, 6), (2, 2, 2, 2, 2)])]
+    texts = [" ".join([sentence(13, 5000 + 10 * n + c), *p, sentence(14, 7000 + 10 * n + c)]) for n, p in enumerate(passages) for c in range(2)]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeated_spans(frame(spark, texts), substring_dedup.PRODUCTION).collect()}
+    for n, p in enumerate(passages):
+        assert got[2 * n]["text"] == texts[2 * n]
+        assert got[2 * n + 1]["text"] == texts[2 * n + 1].replace(" ".join(p) + " ", ""), p
+        assert got[2 * n + 1]["n_removed"] == len(p)
+    own = "\n" + " ".join(passages[2])  # a line end before the first word isn't another occurrence
+    assert [r["n_removed"] for r in substring_dedup.remove_repeated_spans(frame(spark, [own]), substring_dedup.PRODUCTION).collect()] == [0]
+
+
 # 6
 
 
