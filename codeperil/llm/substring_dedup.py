@@ -5,7 +5,8 @@ cut further behind its commas, and what is longer still behind words that a hash
 alike wherever it stands. From every sentence the shortest run of at least `run` sentences and `least_words` words is a
 span, hashed over its lower-case words; with `both_ways` so is the shortest such run that ends with every sentence. Both
 together cover every sentence of any repeated passage of that size: what lies behind the first run from the passage's
-begin ends a run inside the passage. Sentences without words neither begin nor end a span. Spans meet in one global join on the hash. The first occurrence of a span, by identifier, then
+begin ends a run inside the passage. In scripts without blanks a character counts as a word, and a full-width mark ends a
+sentence whatever follows. Sentences without words neither begin nor end a span. Spans meet in one global join on the hash. The first occurrence of a span, by identifier, then
 by place, keeps its text; sentences that any other occurrence covers are removed.
 
 A span is a row of 24 bytes, written once; one that occurs once leaves after the first aggregation, one of a
@@ -43,6 +44,17 @@ PRODUCTION = Spans(least_words=10, both_ways=True)
 
 _END = re.compile(r"[.!?…。！？]+[\"'»”)\]]*(?:\s+|$)|\s*\n\s*")
 _COMMA = re.compile(r"[,;:]\s+")
+#: Full-width marks, and what is cut in texts that have some: behind them no blank is needed.
+_WIDE = re.compile(r"[。！？｡，、；：]")
+_WIDE_END = re.compile(rf"[。！？｡][.!?…。！？｡]*[\"'»”’）」』】》〉)\]]*\s*|{_END.pattern}")
+_WIDE_COMMA = re.compile(rf"[，、；：]\s*|{_COMMA.pattern}")
+#: Letters and signs of scripts without blanks: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED_CHAR = re.compile(f"[{_UNSPACED}]")
+#: Words of texts with such characters: each with the marks behind it, or what stands between blanks and them.
+_UNIT = re.compile(rf"[{_UNSPACED}][^\s\w{_UNSPACED}]*|[^\s{_UNSPACED}]+")
+_SPACED = re.compile(r"\S+\s*")
+_SPACED_UNIT = re.compile(rf"(?:{_UNIT.pattern})\s*")
 _FACTOR = 0x9E3779B97F4A7C15
 REMEMBERED = 300_000
 
@@ -55,6 +67,15 @@ class _Words(dict):
         return n
 
 
+def _unspaced(text: str) -> bool:
+    return not text.isascii() and _UNSPACED_CHAR.search(text) is not None
+
+
+def _words(text: str, unspaced: bool) -> list[str]:
+    """Lower-case words; on a stretch without characters of `_UNSPACED` both ways are one."""
+    return _UNIT.findall(text.lower()) if unspaced else text.lower().split()
+
+
 class Splitter:
     """Sentences and spans of a text."""
 
@@ -66,37 +87,39 @@ class Splitter:
         """Begin and end (with the white space behind) of every sentence; they cover the text without gaps."""
         out = []
         begin = 0
-        for m in _END.finditer(text):
+        unspaced = _unspaced(text)
+        wide = not text.isascii() and _WIDE.search(text) is not None
+        for m in (_WIDE_END if wide else _END).finditer(text):
             if m.end() > begin:
                 out.append((begin, m.end()))
                 begin = m.end()
         if begin < len(text):
             out.append((begin, len(text)))
-        limit = 2 * self.how.long_words  # no sentence of fewer characters is long
+        limit = (1 if unspaced else 2) * self.how.long_words  # no sentence of fewer characters is long
         if all(e - b <= limit for b, e in out):
             return out
         parted = []
         for b, e in out:
-            if e - b > limit and len(text[b:e].split()) > self.how.long_words:
-                parted.extend(self._parts(text, b, e))
+            if e - b > limit and len(_words(text[b:e], unspaced)) > self.how.long_words:
+                parted.extend(self._parts(text, b, e, unspaced, wide))
             else:
                 parted.append((b, e))
         return parted
 
-    def _parts(self, text: str, b: int, e: int) -> list[tuple[int, int]]:
+    def _parts(self, text: str, b: int, e: int, unspaced: bool, wide: bool) -> list[tuple[int, int]]:
         pieces, begin = [], b
-        for m in _COMMA.finditer(text, b, e):
+        for m in (_WIDE_COMMA if wide else _COMMA).finditer(text, b, e):
             pieces.append((begin, m.end()))
             begin = m.end()
         if begin < e:
             pieces.append((begin, e))
         out = []
         for x, y in pieces:
-            if len(text[x:y].split()) <= self.how.long_words:
+            if len(_words(text[x:y], unspaced)) <= self.how.long_words:
                 out.append((x, y))
                 continue
             begin = x
-            for m in re.finditer(r"\S+\s*", text[x:y]):
+            for m in (_SPACED_UNIT if unspaced else _SPACED).finditer(text[x:y]):
                 if self.words[m[0].strip().lower()] % self.how.cut_every == 0:
                     out.append((begin, x + m.end()))
                     begin = x + m.end()
@@ -110,13 +133,11 @@ class Splitter:
         run = self.how.run
         if len(parts) < run:
             return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = text
+        unspaced = _unspaced(text)
         counts, hashes = [], []
         known = self.words
         for b, e in parts:
-            words = lower[b:e].split()
+            words = _words(text[b:e], unspaced)
             counts.append(len(words))
             hashes.extend(map(known.__getitem__, words))
         h = np.array(hashes, np.uint64)

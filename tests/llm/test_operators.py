@@ -281,6 +281,26 @@ def test_query_removes_short_runs_and_whole_passages(spark):
     assert [r["n_removed"] for r in substring_dedup.remove_repeated_spans(frame(spark, [own]), substring_dedup.PRODUCTION).collect()] == [0]
 
 
+def test_spans_without_blanks_and_with_a_dotted_capital(spark):
+    r = random.Random(11)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    line = lambda sizes: "".join(han(n) + m for n, m in zip(sizes, "。！？" * 9))
+    passage, plain, thai = line([12, 9, 15, 30, 4] * 5), han(300), "".join(chr(r.randint(0x0E01, 0x0E2E)) for _ in range(200))
+    latin = prose(60, 77).title()
+    texts = [line([8, 11]) + passage + line([14, 7]) for _ in range(3)]
+    texts += [han(40) + "。" + plain + "。" + han(40) for _ in range(2)]
+    texts += [f"{prose(12, 900 + c)} {thai} {prose(12, 910 + c)}" for c in range(2)]
+    texts += [f"{prose(12, 920)} {latin}", f"İstanbul {prose(12, 930)} {latin}"]
+    splitter = substring_dedup.Splitter(substring_dedup.PRODUCTION)
+    for t in texts:
+        assert "".join(t[a:b] for a, b in splitter.sentences(t)) == t
+    got = [x["text"] for x in substring_dedup.remove_repeated_spans(frame(spark, texts), substring_dedup.PRODUCTION).orderBy("doc_id").collect()]
+    assert [got[n] for n in (0, 3, 5, 7)] == [texts[n] for n in (0, 3, 5, 7)]  # the first stays
+    assert got[1:3] == [t.replace(passage, "") for t in texts[1:3]]
+    assert plain[50:250] not in got[4] and thai[50:150] not in got[6]
+    assert got[8] == texts[8].replace(latin, "")
+
+
 # 6
 
 
