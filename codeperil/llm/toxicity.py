@@ -3,7 +3,8 @@
 Texts are folded first: compatibility forms and case, homoglyphs of Latin letters, marks, and digits and signs that stand
 for letters inside a word. The lexicon holds whole words and word beginnings with weights (log odds of toxic against
 other labelled texts), learned from labelled rows; an Aho-Corasick automaton finds all of them in one pass. Exception
-phrases, word pairs around a lexicon entry that occur in harmless texts only, cancel the hit inside them. The sum of the
+phrases, word pairs around a lexicon entry that harmless texts have so much more often than toxic ones that chance does
+not explain it, cancel the hit inside them. The sum of the
 weights, normalised by the length of the text, becomes a score by a fitted logistic curve.
 """
 
@@ -145,7 +146,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """A lexicon from at most `most_rows` labelled rows (those of the smallest identifier hash) that are not held out.
 
     Entries are found in at least `least_docs` toxic texts, `least_odds` times as often as in others, and so often that by
-    chance no more than `most_false` features in all would be. Null labels,
+    chance no more than `most_false` features in all would be; exceptions are word pairs around their hits for which the same
+    holds with harmless and toxic texts exchanged. A text counts once for a feature or pair. Null labels,
     identifiers and texts are left out; of conflicting labels the larger holds.
     """
     ship(docs.sparkSession)
@@ -178,21 +180,29 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     found = table.where((F.col("odds") >= least_odds) & (F.col("evidence") >= needed)).orderBy(F.col("evidence").desc(), "feature").limit(most_entries).collect()
     weights = _pruned({r["feature"]: (r["t"], r["b"], math.log(r["odds"])) for r in found})
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(Lexicon(weights))
         for batch in batches:
             rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 folded = fold(text)
-                hits = matcher.hits(folded)
-                phrases = [] if label else [" ".join(p) for s, _ in hits for p in _pairs(folded, s)]
-                rows.append((matcher.measure(text)[0], 1 if label else 0, phrases))
-            x, y, p = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "y": pa.array(y, pa.int32()), "phrases": pa.array(p, pa.list_(pa.string()))})
-
-    measured = written(texts.select("text", "label").mapInArrow(measure, "x double, y int, phrases array<string>"), "measured")
-    common = measured.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3 * least_docs)
-    exceptions = tuple(r["phrase"] for r in common.orderBy(F.desc("n"), "phrase").limit(most_entries // 3).collect())
+                rows.append(list({" ".join(p) for s, _ in matcher.hits(folded) for p in _pairs(folded, s)}))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), batch.column(1)], ["phrases", "y"])
+
+    pairs = texts.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("y")).mapInArrow(around, "phrases array<string>, y int").select(F.explode("phrases").alias("phrase"), "y")
+    pairs = written(pairs.groupBy("phrase").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("b")), "pairs")
+    evidence = b * F.log(b / n / (1 - share)) + F.when(t > 0, t * F.log(t / n / share)).otherwise(0.0)
+    needed = math.log(max(1, pairs.count()) / most_false)
+    harmless = pairs.where((b >= 3 * least_docs) & (b / n > 1 - share) & (1 / odds >= least_odds)).withColumn("evidence", evidence).where(F.col("evidence") >= needed)
+    exceptions = tuple(r["phrase"] for r in harmless.orderBy(F.desc("evidence"), "phrase").limit(most_entries // 3).collect())
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(Lexicon(weights, exceptions))
+        for batch in batches:
+            x = [matcher.measure(text)[0] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "y"])
+
+    measured = texts.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("y")).mapInArrow(measure, "x double, y int")
     points = measured.groupBy(F.round("x", 2).alias("x"), "y").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "y").limit(2 * most_rows).collect()
     slope, offset = _curve([(r["x"], r["y"], r["n"]) for r in points])
     return Lexicon(weights, exceptions, slope, offset)

@@ -381,6 +381,25 @@ def test_toxicity_learns_from_its_part_only(spark):
     assert toxicity.score_toxicity(frame(spark, []), lexicon).count() == 0
 
 
+def test_exceptions_need_evidence_from_both_classes(spark):
+    n = 800
+    ids = [i for i in range(2 * n) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+    toxic = {i: k % 5 == 0 for k, i in enumerate(ids)}
+    texts = [" ".join(words(40, i)) + (" clown loweix" if toxic[i] else "") for i in ids]
+    # one harmless page repeats a toxic pair 20 times; harmless texts only, and many of them, have another pair
+    harmless = [k for k, i in enumerate(ids) if not toxic[i]]
+    texts[harmless[0]] += " clown loweix." * 20
+    for k in harmless[1:81]:
+        texts[k] += " circus clown"
+    docs = frame(spark, texts, ids)
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in ids], "doc_id long, quality int, toxic int")
+    strict = toxicity.learn_lexicon(docs, labels)
+    assert "clown" in strict.weights and "clown loweix" not in strict.exceptions
+    assert "circus clown" in strict.exceptions and toxicity.Matcher(strict).measure("a circus clown")[1] == 0
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, strict).collect()}
+    assert all(got[i] for i in ids if toxic[i])
+
+
 # 8 and 10
 
 TOKENS = [*EDGE, "don't WE'LL o's. a., ,b", "x <|endoftext|> y", "<|ENDOFTEXT|>", "á ́b", "c\x1cd e\x85f g", "İ É. ΣΑΣ", prose(3000, 5).upper()]
