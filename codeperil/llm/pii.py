@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import hot_aware_join, written
 
-#: Patterns, in order of preference.
+#: Patterns, in order of preference. Keys and secrets have no largest length; a secret may have full stops inside.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.[\p{L}]{2,24}"
-SECRET = r"(?<![\p{L}\p{N}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Aa]ccess[ _-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,512}"
-HEX_KEY = r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
-CLOUD_KEY = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Aa]ccess[ _-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{7,}(?<!\.)"
+HEX_KEY = r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])"
+CLOUD_KEY = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"

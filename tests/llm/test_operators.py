@@ -521,6 +521,23 @@ def test_surrogates(spark):
     assert pii.replace_entities(frame(spark, []), key="k").count() == 0
 
 
+def test_long_keys_and_secrets_are_replaced_whole(spark):
+    r = random.Random(13)
+    some = lambda n, alphabet: "".join(r.choice(alphabet) for _ in range(n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    cases = [("key ", "", some(n, "0123456789abcdef")) for n in (129, 513, 5000)]
+    cases += [("use ", "sk-", some(n, mixed)) for n in (129, 513, 5000)]
+    cases += [("token = ", "", some(n, mixed)) for n in (129, 513, 5000)]
+    cases += [("token = ", "", ".".join(some(n, mixed) for n in (36, 120, 43)))]
+    docs = frame(spark, [f"{before}{start}{secret}. Then more" for before, start, secret in cases])
+    for row in pii.replace_entities(docs, key="k").collect():
+        before, start, secret = cases[row["doc_id"]]
+        new = row["text"]
+        assert row["n_entities"] == 1 and new.startswith(before) and new.endswith(". Then more")
+        assert len(new) == len(before + start + secret + ". Then more")
+        assert not any(secret[a : a + 12] in new for a in range(len(secret) - 11))
+
+
 def test_surrogates_stay_distinct(spark):
     values = [f"{a}.{b}@x.org" for a in "ab" for b in "cd"] + ["q@x.org"] * 3
     ips = [f"9.9.{n // 200}.{n % 200}" for n in range(300)]
