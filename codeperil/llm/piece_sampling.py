@@ -158,6 +158,10 @@ class Pieces:
         """The text as the model sees it, with blanks marked."""
         return self.processor.normalize(text) if text else ""
 
+    def decodes(self, ids: np.ndarray, normal: str) -> bool:
+        """Whether the ids' text is the normalised text, without the blank that is put before it."""
+        return self.processor.decode(ids.tolist()) == normal.replace(chr(SPACE), " ").removeprefix(" ")
+
 
 class Lattice:
     """The lattices of words, one after the other: places, edges sorted by place, backward sums and conditional shares."""
@@ -504,8 +508,8 @@ def _open(lattice: Board, s: _Text, leaf: int, unit: np.ndarray, word_start: np.
     return s, value, np.append(prefix, chosen), passed, target
 
 
-def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """A row for each sampled segmentation: id_col, sample (0 is the best), n_pieces, log_p, value, log_inclusion, ids_crc32 and, if asked for, ids.
+def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, decoded: bool = False) -> DataFrame:
+    """A row for each sampled segmentation: id_col, sample (0 is the best), n_pieces, log_p, value, log_inclusion, ids_crc32 and, if asked for, ids and decodes (whether the ids decode to the normalised text).
 
     A text has how.k rows, or as many as it has segmentations. Null and empty texts have one, the empty one. Repeated rows
     have the same samples, since draws depend on the identifier and the text only; a null identifier is a key like
@@ -528,10 +532,10 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
                 own.append(pieces.normal(texts[n].as_py() or ""))
                 size += len(own[-1])
                 if size >= CHUNK or n + 1 == len(texts):
-                    yield rows(ids.slice(first, len(own)), sample_chunk(pieces, how, keys[first : n + 1], own, board))
+                    yield rows(ids.slice(first, len(own)), sample_chunk(pieces, how, keys[first : n + 1], own, board), pieces, own)
                     first, size, own = n + 1, 0, []
 
-    def rows(ids: pa.Array, sampled: list) -> pa.RecordBatch:
+    def rows(ids: pa.Array, sampled: list, pieces: Pieces, texts: list[str]) -> pa.RecordBatch:
         at = [n for n, leaves in enumerate(sampled) for _ in leaves]
         flat = [x for leaves in sampled for x in leaves]
         columns = [
@@ -545,9 +549,12 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
         if with_ids:
             columns.append(pa.array([x[0].astype(np.int32) for x in flat], pa.list_(pa.int32())))
             names.append("ids")
+        if decoded:
+            columns.append(pa.array([pieces.decodes(x[0], text) for text, leaves in zip(texts, sampled, strict=True) for x in leaves], pa.bool_()))
+            names.append("decodes")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"`{id_col}` {kind.simpleString()}, sample int, n_pieces long, log_p double, value double, log_inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind.simpleString()}, sample int, n_pieces long, log_p double, value double, log_inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids + ", decodes boolean" * decoded
     return docs.select(F.col(id_col), F.xxhash64(id_col).alias("__key"), F.col(text_col)).mapInArrow(sample, schema)
 
 

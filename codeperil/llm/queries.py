@@ -33,7 +33,7 @@ def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
 
 
 def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), piece_model(), piece_sampling.Sampling(k=3), with_ids=False)
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), piece_model(), piece_sampling.Sampling(k=3), decoded=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,19 @@ def test_sampling_edge_cases_and_round_trip(spark):
     assert piece_sampling.sample_segmentations(frame(spark, []), piece_model()).count() == 0
 
 
+def test_query_returns_pieces_that_decode_to_the_text(spark):
+    from codeperil.llm.queries import op1_piece_sampling
+
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    processor = piece_sampling.Pieces(piece_model(), piece_sampling.Sampling()).processor
+    rows = op1_piece_sampling(spark, d).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and all(r["decodes"] for r in rows)
+    for r in rows:
+        assert len(r["ids"]) == r["n_pieces"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert processor.decode(r["ids"]) == processor.decode(processor.encode(texts[r["doc_id"]] or ""))
+
+
 # 2
 
 
