@@ -61,17 +61,16 @@ FUNCTIONS = """functions AS (
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DA records: file_path, line, hits; several of a line, none in lines 100 to 160, ten files missing."""
+    """DA records: file_path, line, hits; several of a line, none in lines 100 to 160 (they lie behind line 1000), ten files missing."""
     line = F.col("l_partkey") % 450 + 1
-    rows = _table(spark, sf_dir, "lineitem").select(_path(F.col("l_suppkey"), 50).alias("file_path"), line.alias("line"), F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long").alias("hits"))
-    return rows.where(~F.col("line").between(100, 160))
+    line = line + F.when(line.between(100, 160), 1000).otherwise(0)
+    return _table(spark, sf_dir, "lineitem").select(_path(F.col("l_suppkey"), 50).alias("file_path"), line.alias("line"), F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long").alias("hits"))
 
 
 RAW_LINES = """raw_lines AS (
-    SELECT * FROM (
-        SELECT 'src/f' || CAST(l_suppkey % 50 AS VARCHAR) || '.rs' AS file_path, l_partkey % 450 + 1 AS line,
-               CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits
-        FROM lineitem) WHERE line NOT BETWEEN 100 AND 160)"""
+    SELECT 'src/f' || CAST(l_suppkey % 50 AS VARCHAR) || '.rs' AS file_path, l_partkey % 450 + 1 + CASE WHEN l_partkey % 450 + 1 BETWEEN 100 AND 160 THEN 1000 ELSE 0 END AS line,
+           CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits
+    FROM lineitem)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,35 +104,36 @@ BRANCHES = """raw_branches AS (
 
 
 def lcov_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole LCOV reports, one for each order's key modulo 40: a block per row of lineitem, some with malformed records."""
+    """Whole LCOV reports, one for every 64 keys of orders, so their number grows with the table: a block per row of lineitem, some with malformed records."""
     k, n = F.col("l_partkey") % 450 + 1, F.col("l_linenumber").cast("string")
     source = F.when(F.col("l_orderkey") % 97 == 0, F.lit("")).otherwise(_path(F.col("l_suppkey"), 50))
     hits = F.when(F.col("l_orderkey") % 89 == 0, F.lit("-3")).when(F.col("l_returnflag") == "R", F.lit("0")).otherwise(F.col("l_quantity").cast("long").cast("string"))
     taken = F.when(F.col("l_linestatus") == "O", F.lit("-")).otherwise(hits)
     block = F.concat(F.lit("SF:"), source, F.lit("\nDA:"), k.cast("string"), F.lit(","), hits, F.lit("\nBRDA:"), k.cast("string"), F.lit(","), n, F.lit(","), (F.col("l_orderkey") % 3).cast("string"), F.lit(","), taken, F.lit("\nend_of_record"))
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).cast("string").alias("report"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", block.alias("block")).alias("b"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 64").cast("string").alias("report"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", block.alias("block")).alias("b"))
     return rows.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n").alias("text"))
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed stretches: of files 0 to 39, files 0, 10, 20 and 30 are new."""
+    """Changed stretches, one for each order: of files 0 to 39; files 0, 10, 20 and 30 are new."""
     k = F.col("o_orderkey")
     new = k % 10 == 0
     none = F.lit(None).cast("long")
-    rows = _table(spark, sf_dir, "orders").where(k % 37 == 0).select(
-        _path(k, 40).alias("file_path"), new.alias("is_new"), F.when(new, none).otherwise(k * 11 % 420 + 1).alias("start_line"), F.when(new, none).otherwise(k * 11 % 420 + 1 + F.col("o_custkey") % 3).alias("end_line")
+    rows = _table(spark, sf_dir, "orders").select(
+        _path(k, 40).alias("file_path"), new.alias("is_new"), F.when(new, none).otherwise(k * 11 % 9973 + 1).alias("start_line"), F.when(new, none).otherwise(k * 11 % 9973 + 1 + F.col("o_custkey") % 3).alias("end_line")
     )
     return rows.distinct()
 
 
 HUNKS = """hunks AS (
     SELECT DISTINCT 'src/f' || CAST(o_orderkey % 40 AS VARCHAR) || '.rs' AS file_path, o_orderkey % 10 = 0 AS is_new,
-           CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 11 % 420 + 1 END AS start_line, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 11 % 420 + 1 + o_custkey % 3 END AS end_line
-    FROM orders WHERE o_orderkey % 37 = 0)"""
+           CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 11 % 9973 + 1 END AS start_line, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 11 % 9973 + 1 + o_custkey % 3 END AS end_line
+    FROM orders)"""
 
 
 def snapshot(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
-    """A result without contributors: the baseline lacks every 23rd function, the current one every 19th; currently every
+    """A result without contributors: every 23rd function is new in the current one, and every 19th has gone, since there
+    a function of another file, name and size stands in the baseline's or the current one's row; currently every
     17th has another name, every 13th another file, and every 7th one more branch; every 31st name comes twice."""
     k = F.col("p_partkey")
     complexity = F.lit(1) + F.col("p_size") % 12
@@ -142,13 +142,15 @@ def snapshot(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
     path = _path(k - F.when(k % 31 == 1, 1).otherwise(0), 60)
     rows = _table(spark, sf_dir, "part")
     if current:
-        rows = rows.where(k % 19 != 5)
         name = F.when(k % 17 == 3, F.concat(name, F.lit("_new"))).otherwise(name)
         path = F.when(k % 13 == 2, F.concat(F.lit("lib/"), path)).otherwise(path)
         complexity = complexity + F.when(k % 7 == 4, 1).otherwise(0)
         coverage = F.when(k % 11 == 6, F.lit(100.0)).otherwise(coverage)
-    else:
-        rows = rows.where(k % 23 != 7)
+    other = k % 19 == 5 if current else k % 23 == 7  # another function altogether
+    side = "now" if current else "then"
+    path = F.when(other, F.concat(F.lit(f"{side}/"), path)).otherwise(path)
+    name = F.when(other, F.concat(name, F.lit(f"_{side}"))).otherwise(name)
+    complexity = complexity + F.when(other, 20 if current else 40).otherwise(0)
     return rows.select(
         k.alias("ordinal"), path.alias("file_path"), name.alias("qualified_name"), (k * 7 % 400 + 1).alias("start_line"), (k * 7 % 400 + 1 + F.col("p_size")).cast("long").alias("end_line"),
         complexity.cast("long").alias("complexity"), F.concat(F.lit("m"), (k % 500).cast("string")).alias("metric"), coverage.alias("coverage_percent"),
@@ -161,13 +163,16 @@ def snapshot_sql(name: str, current: bool) -> str:
     if current:
         own_name = f"CASE WHEN p_partkey % 17 = 3 THEN {base_name} || '_new' ELSE {base_name} END"
         own_path = f"CASE WHEN p_partkey % 13 = 2 THEN 'lib/' || {base_path} ELSE {base_path} END"
-        complexity, coverage, where = "1 + p_size % 12 + CASE WHEN p_partkey % 7 = 4 THEN 1 ELSE 0 END", "CASE WHEN p_partkey % 11 = 6 THEN 100.0e0 ELSE CAST(p_partkey * 13 % 101 AS DOUBLE) END", "p_partkey % 19 <> 5"
+        complexity, coverage = "1 + p_size % 12 + CASE WHEN p_partkey % 7 = 4 THEN 1 ELSE 0 END", "CASE WHEN p_partkey % 11 = 6 THEN 100.0e0 ELSE CAST(p_partkey * 13 % 101 AS DOUBLE) END"
     else:
-        own_name, own_path, complexity, coverage, where = base_name, base_path, "1 + p_size % 12", "CAST(p_partkey * 13 % 101 AS DOUBLE)", "p_partkey % 23 <> 7"
+        own_name, own_path, complexity, coverage = base_name, base_path, "1 + p_size % 12", "CAST(p_partkey * 13 % 101 AS DOUBLE)"
+    other, side, more = ("p_partkey % 19 = 5", "now", 20) if current else ("p_partkey % 23 = 7", "then", 40)
+    own_path, own_name = f"CASE WHEN {other} THEN '{side}/' || {own_path} ELSE {own_path} END", f"CASE WHEN {other} THEN {own_name} || '_{side}' ELSE {own_name} END"
+    complexity += f" + CASE WHEN {other} THEN {more} ELSE 0 END"
     return f"""{name}_raw AS (
         SELECT p_partkey AS ordinal, {own_path} AS file_path, {own_name} AS qualified_name, CAST({complexity} AS BIGINT) AS complexity,
                'm' || CAST(p_partkey % 500 AS VARCHAR) AS metric, {coverage} AS coverage_percent
-        FROM part WHERE {where}),
+        FROM part),
     {name} AS (
         SELECT *, crap > 15 AS exceeds, complexity || '|' || metric || '|' AS sig FROM (
             SELECT *, round((complexity * complexity * ((1.0e0 - coverage_percent / 100.0e0) * (1.0e0 - coverage_percent / 100.0e0) * (1.0e0 - coverage_percent / 100.0e0)) + complexity) * 100.0e0) / 100.0e0 AS crap FROM {name}_raw))"""

@@ -212,7 +212,7 @@ def view_counts(spark, d):
 LCOV = """lcov AS (
     SELECT l_orderkey % 97 = 0 AS nameless, l_orderkey % 89 = 0 AS broken, 'src/f' || CAST(l_suppkey % 50 AS VARCHAR) || '.rs' AS file_path, l_partkey % 450 + 1 AS line,
            CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits, CAST(l_linenumber AS BIGINT) AS block, l_orderkey % 3 AS branch, l_linestatus = 'O' AS dash,
-           row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)"""
+           row_number() OVER (PARTITION BY l_orderkey // 64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)"""
 
 
 def _report(spark, d) -> lcov.Coverage:

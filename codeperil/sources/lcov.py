@@ -1,8 +1,8 @@
 """LCOV coverage reports.
 
 A report is read split at the lines that name a source file, so each row is one file's block and nothing has to be
-carried from line to line; reports of any size are read in parallel. Line numbers of diagnostics come from one window
-over blocks, not over lines.
+carried from line to line; reports of any size are read in parallel. Line numbers are needed for diagnostics only: lines
+are counted for each stretch of a report that a task read, and the stretches' running sums, a small table, join back.
 """
 
 from __future__ import annotations
@@ -35,11 +35,10 @@ def read_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """report, place (order of blocks in a report), block (a file's path, a line end, its records) and leads (whether it stands before the first file)."""
     rows = spark.read.option("lineSep", "\nSF:").text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("report"), F.struct(F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("id")).alias("place"), F.col("value").alias("block"))
-    first = Window.partitionBy("report").orderBy("place")
-    rows = rows.withColumn("n", F.row_number().over(first))
-    opens = F.col("block").startswith("SF:")
-    leads = (F.col("n") == 1) & ~opens
-    return rows.select("report", "place", F.when((F.col("n") == 1) & opens, F.substring(F.col("block"), 4, 1 << 30)).otherwise(F.col("block")).alias("block"), leads.alias("leads"))
+    firsts = rows.groupBy("report").agg(F.min("place").alias("place")).withColumn("begins", F.lit(True))
+    rows = rows.join(firsts, ["report", "place"], "left")
+    begins, opens = F.coalesce("begins", F.lit(False)), F.col("block").startswith("SF:")
+    return rows.select("report", "place", F.when(begins & opens, F.substring(F.col("block"), 4, 1 << 30)).otherwise(F.col("block")).alias("block"), (begins & ~opens).alias("leads"))
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
@@ -66,14 +65,11 @@ def parse_blocks(blocks: DataFrame, path_of=None) -> Coverage:
     """
     line_list = F.split("block", "\n", -1)
     numbered = blocks.withColumn("texts", line_list)
-    whole = F.size("texts")
-    before = F.sum(whole).over(Window.partitionBy("report").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = numbered.withColumn("line_base", F.coalesce(before, F.lit(0)))
     named = numbered.where("NOT leads").withColumn("source", F.regexp_replace(F.get("texts", F.lit(0)), "\r$", ""))
-    empty = named.where("source = ''").select(F.lit("EmptySourceFile").alias("kind"), (F.col("line_base") + 1).alias("line_number"), F.lit(None).cast("string").alias("content"))
+    empty = named.where("source = ''").select("report", "place", F.lit("EmptySourceFile").alias("kind"), F.lit(1).alias("nth"), F.lit(None).cast("string").alias("content"))
     path = path_of(F.col("source")) if path_of else F.col("source")
-    records = named.where("source <> ''").select(path.alias("file_path"), "line_base", F.posexplode("texts").alias("pos", "raw")).where("pos > 0")
-    records = records.select("file_path", (F.col("line_base") + F.col("pos") + 1).alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw")).where("raw LIKE 'DA:%' OR raw LIKE 'BRDA:%'")
+    records = named.where("source <> ''").select("report", "place", path.alias("file_path"), F.posexplode("texts").alias("pos", "raw")).where("pos > 0")
+    records = records.select("report", "place", "file_path", (F.col("pos") + 1).alias("nth"), F.regexp_replace("raw", "\r$", "").alias("raw")).where("raw LIKE 'DA:%' OR raw LIKE 'BRDA:%'")
     is_da = F.col("raw").startswith("DA:")
     fields = F.when(is_da, F.split(F.substring(F.col("raw"), 4, 1 << 30), ",", -1)).otherwise(F.split(F.substring(F.col("raw"), 6, 1 << 30), ",", 4))
     records = records.withColumns({"is_da": is_da, "f": fields})
@@ -90,13 +86,26 @@ def parse_blocks(blocks: DataFrame, path_of=None) -> Coverage:
     brda_ok = (F.size("f") == 4) & line.isNotNull() & block.isNotNull() & branch.isNotNull() & (dash | fits(taken))
     records = records.withColumn("ok", F.when(F.col("is_da"), da_ok).otherwise(brda_ok))
     ok = F.coalesce("ok", F.lit(False))
-    bad = records.where(~ok).select(F.lit("MalformedRecord").alias("kind"), "line_number", F.col("raw").alias("content"))
+    bad = records.where(~ok).select("report", "place", F.lit("MalformedRecord").alias("kind"), "nth", F.col("raw").alias("content"))
     cap = lambda c: F.when(c.isNotNull(), F.least(c, F.lit(str(MOST_HITS)).cast("decimal(38,0)"))).cast(DECIMAL)
     lines = records.where(ok & F.col("is_da")).select("file_path", line.alias("line"), hits.alias("hits"))
     lines = lines.groupBy("file_path", "line").agg(cap(F.sum("hits")).alias("hits"))
     branches = records.where(ok & ~F.col("is_da")).select("file_path", line.alias("line"), block.alias("block"), branch.alias("branch"), taken.alias("taken"))
     branches = branches.groupBy("file_path", "line", "block", "branch").agg(cap(F.sum("taken")).alias("taken"))
-    return Coverage(lines, branches, lines.select("file_path").distinct(), empty.unionByName(bad))
+    found = empty.unionByName(bad).join(line_bases(blocks), ["report", "place"])
+    found = found.select("kind", (F.col("line_base") + F.col("nth")).alias("line_number"), "content")
+    return Coverage(lines, branches, lines.select("file_path").distinct(), found)
+
+
+def line_bases(blocks: DataFrame) -> DataFrame:
+    """report, place and line_base (the lines of a report before a block), by sums over stretches of a report that were read together."""
+    stretch = [F.col("report"), F.col("place.offset").alias("offset")]
+    rows = blocks.select(*stretch, "place", (F.regexp_count("block", F.lit("\n")) + 1).alias("n"))
+    whole = rows.groupBy("report", "offset").agg(F.sum("n").alias("n"))
+    so_far = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select("report", "offset", F.coalesce(F.sum("n").over(so_far("report").orderBy("offset")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(so_far("report", "offset").orderBy("place")), F.lit(0))
+    return rows.withColumn("inside", inside).join(before, ["report", "offset"]).select("report", "place", (F.col("before") + F.col("inside")).alias("line_base"))
 
 
 def read_lcov(spark: SparkSession, path: str | list[str], path_of=None) -> Coverage:
@@ -104,9 +113,13 @@ def read_lcov(spark: SparkSession, path: str | list[str], path_of=None) -> Cover
 
 
 def has_data(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether the report has a well-formed DA record behind a file's name; looks no further than the first."""
-    rows = read_blocks(spark, path).where("NOT leads")
-    return not rows.where(F.col("block").rlike(rf"\nDA:{LINE_NO},{NUMBER}(?:,|\r?\n|\r?$)")).limit(1).isEmpty()
+    """Whether the report has a well-formed DA record behind a file's name; as a rule it looks no further than the first two."""
+    well_formed = F.col("block").rlike(rf"\nDA:{LINE_NO},{NUMBER}(?:,|\r?\n|\r?$)")
+    blocks = spark.read.option("lineSep", "\nSF:").text(path).select(F.col("value").alias("block"), F.col("_metadata.file_path").alias("report"))
+    some = blocks.where(well_formed).select("report", F.col("block").startswith("SF:").alias("opens")).limit(2).collect()
+    if any(r["opens"] for r in some) or (len(some) == 2 and some[0]["report"] == some[1]["report"]):
+        return True  # of a report's blocks only its first can stand before a file's name
+    return bool(some) and not read_blocks(spark, path).where("NOT leads").where(well_formed).limit(1).isEmpty()
 
 
 def longest_suffix_paths(sources: DataFrame, discovered: DataFrame) -> DataFrame:
