@@ -1,20 +1,26 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents become pieces (only what is longer than a sequence is cut), and pieces go into sequences by best-fit
-decreasing: the longest first, each into the open sequence with the smallest gap that holds it. All lengths and gaps are
-at most `capacity`, so the range-sorted tables of pieces and of gaps are kept as runs of equal values, at most
-`capacity` runs each whatever the number of rows. One sweep finds for the run of the longest open pieces its successor,
-the smallest gap run that fits; conflicts are resolved by rank, the i-th piece of the run takes the i-th sequence of the
-gap run; the sequences that took a piece move to the run of their new gap; the sweep repeats until no piece is open.
-A sweep yields one span (ranks lo to hi of a length go to sequences from first_seq on), and the rows find their places
-by joining spans with their distributed ranks. No row is moved in a sweep, and no length, however frequent, is
-gathered in one task: ranks are counted in slots of a length.
+Documents become pieces (only what is longer than a sequence is cut), and pieces go into sequences in rounds. All
+lengths and gaps are at most `capacity`, so the range-sorted tables of open pieces and of gaps are kept as runs of equal
+values with consecutive ranks or sequence numbers; what a round moves does not grow with the number of rows.
+
+A round sorts gaps and open pieces together by size and sweeps them downwards: each piece, the longest first, takes its
+successor, the smallest gap at least as long that no longer piece has taken. Told by ranks this is the matching of
+brackets: the running number of gaps less pieces gives every unit a level, and a piece takes the last gap before it on
+its own level. Levels are cut where runs begin or end, so the match is one window over each stretch of levels, all
+stretches side by side. A gap takes one piece in a round, or as many of one length as fit if more of that length are
+open. Then gaps are updated, and the next round follows, until no piece is open.
+
+The first round opens as many sequences as any packing needs: one for each piece longer than half a sequence, or the
+volume's number if larger. Lengths join in octave by octave, so short pieces stay to fill what longer ones leave; when no
+piece of the octaves so far fits, as many sequences are opened as its volume asks for. A round yields spans (ranks lo to hi of a
+length go to sequences from first_seq on), and rows find their places by joining spans with their distributed ranks,
+slot by slot: a slot is a bounded part of a length's rows, so no length, however frequent, is gathered in one task.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import shared_path, ship, written
 from .token_files import encoded_batches
 from .words import encoder_of
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
-#: Spans up to this many are broadcast (40 bytes each); more are joined by shuffle.
-BROADCAST_SPANS = 50_000
-#: Rows that one slot of a length should hold at most, and the least number of slots.
-SLOT_ROWS, LEAST_SLOTS = 100_000, 64
+#: Rows that one slot of a length should hold.
+SLOT_ROWS = 100_000
+#: Tasks of a round: its tables have runs, not rows, so they stay small at any scale.
+ROUND_TASKS = 4
+#: side 0: n sequences, numbered from `at`, with the gap `size`; side 1: n open pieces of the length `size`, ranks from `at`;
+#: side 2: a span, ranks lo to hi of a length to sequences from `at` on, `in_each` to each, the first at `place`.
+STATE = "side int, size long, n long, at long, lo long, hi long, in_each long, place long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,71 +65,114 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end
     return rows.mapInArrow(cut, PIECES)
 
 
-def sweep_spans(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Spans (length, lo, hi, first_seq, in_each, offset) and the number of sequences, from the number of pieces of each length.
+#: A round. `down`: gaps and pieces from the largest size on, a gap before pieces as long; `level` and `floor`: the running
+#: number of gaps less pieces and where it has run out of gaps; `cuts`: the levels where a run begins or ends. All tables
+#: have runs, so a few thousand rows at any scale: `cuts` may be broadcast.
+ROUND = f"""
+WITH runs AS (
+    SELECT side, size, n, at FROM {{state}} WHERE (side = 0 AND size >= :least) OR (side = 1 AND size >= :shortest)
+    UNION ALL SELECT 0, CAST(:capacity AS BIGINT), CAST(:fresh AS BIGINT), CAST(:opened AS BIGINT) WHERE :fresh > 0
+), depth AS (
+    SELECT *, sum(if(side = 0, n, -n)) OVER down AS level, row_number() OVER down AS pos
+    FROM runs WINDOW down AS (ORDER BY size DESC, side, at ROWS UNBOUNDED PRECEDING)
+), floors AS (
+    SELECT *, least(0, coalesce(min(level) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS floor FROM depth
+), stretches AS (
+    SELECT side, size, n, at, pos, if(side = 0, level - n, greatest(level, floor)) AS low, if(side = 0, level, level + n) AS high FROM floors
+), edges AS (
+    SELECT *, inline(array(named_struct('edge', low), named_struct('edge', high))) FROM stretches WHERE low < high
+), numbered AS (
+    SELECT *, dense_rank() OVER (ORDER BY edge) AS i FROM edges
+), cuts AS (
+    SELECT i AS cut, edge AS bottom, lead(edge) OVER (ORDER BY edge) AS top FROM (SELECT DISTINCT i, edge FROM numbered)
+), reach AS (
+    SELECT *, lead(i) OVER (PARTITION BY pos ORDER BY edge) AS until FROM numbered
+), pieces_of_levels AS (
+    SELECT *, explode(sequence(i, until - 1)) AS cut FROM reach WHERE until IS NOT NULL
+), levels AS (
+    SELECT /*+ BROADCAST(cuts) */ * FROM pieces_of_levels JOIN cuts USING (cut)
+), dealt AS (
+    SELECT /*+ REPARTITION({ROUND_TASKS}, cut) */ cut, pos, side, size, n, at, low, bottom, top - bottom AS width FROM levels
+), met AS (
+    SELECT *, lag(size) OVER turn AS gap, lag(at - low) OVER turn + bottom AS first, lead(pos) OVER turn AS next
+    FROM dealt WINDOW turn AS (PARTITION BY cut ORDER BY pos)
+), pairs AS (
+    -- a piece with its gap, or a gap that is left
+    SELECT /*+ REPARTITION({ROUND_TASKS}, side, size) */ side, size, n, at, width, gap, if(side = 0, at - low + bottom, first) AS first, if(side = 0, 0, gap div size - 1) AS more
+    FROM met WHERE side = 1 OR next IS NULL
+), shares AS (
+    -- open pieces of a length that found no gap go where one of theirs went
+    SELECT *, greatest(0, least(n - sum(width) OVER (PARTITION BY side, size) - coalesce(sum(width * more) OVER before, 0), width * more)) AS extra
+    FROM pairs WINDOW before AS (PARTITION BY side, size ORDER BY gap, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), ranks AS (
+    SELECT *, at + coalesce(sum(width + extra) OVER before, 0) AS rank, if(more > 0, extra div more, 0) AS full, if(more > 0, extra % more, 0) AS rest
+    FROM shares WINDOW before AS (PARTITION BY side, size ORDER BY gap, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), takers AS (
+    -- sequences that take more + 1 pieces, one that takes rest + 1, those that take one
+    SELECT side, size, gap, first, rank, inline(array(
+        named_struct('skip', 0L, 'taking', full, 'in_each', more + 1, 'before', 0L),
+        named_struct('skip', full, 'taking', if(rest > 0, 1L, 0L), 'in_each', rest + 1, 'before', full * (more + 1)),
+        named_struct('skip', full + if(rest > 0, 1L, 0L), 'taking', width - full - if(rest > 0, 1L, 0L), 'in_each', 1L, 'before', full * (more + 1) + if(rest > 0, rest + 1, 0L))))
+    FROM ranks
+), moves AS (
+    SELECT inline(if(side = 0, array(named_struct('side', 0, 'size', size, 'n', taking, 'at', first + skip, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL)), array(
+        named_struct('side', 0, 'size', gap - in_each * size, 'n', taking, 'at', first + skip, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
+        named_struct('side', 1, 'size', size, 'n', -taking * in_each, 'at', taking * in_each, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
+        named_struct('side', 2, 'size', size, 'n', 1L, 'at', first + skip, 'lo', rank + before, 'hi', rank + before + taking * in_each, 'in_each', in_each, 'place', :capacity - gap))))
+    FROM takers WHERE taking > 0
+), after AS (
+    SELECT * FROM moves WHERE size > 0 UNION ALL SELECT side, size, n, at, NULL, NULL, NULL, NULL FROM {{state}} WHERE side = 1
+), joined AS (
+    SELECT /*+ REPARTITION({ROUND_TASKS}, side, size) */ * FROM after
+), breaks AS (
+    SELECT *, if(side = 0 AND NOT at <=> lag(at + n) OVER (PARTITION BY side, size ORDER BY at, n), 1, 0) AS break FROM joined
+), whole AS (
+    -- runs that follow one another become one
+    SELECT *, sum(break) OVER (PARTITION BY side, size ORDER BY at, n ROWS UNBOUNDED PRECEDING) AS run FROM breaks
+)
+SELECT side, size, sum(n) AS n, if(side = 1, sum(at), min(at)) AS at, lo, hi, in_each, place
+FROM whole GROUP BY side, size, run, lo, hi, in_each, place HAVING sum(n) > 0
+"""
+
+
+def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
+    """Spans (length, lo, hi, first_seq, in_each, place) from the number of pieces of each length (length, n: `capacity` rows at most).
 
-    Rank r of a length, lo <= r < hi, goes to sequence first_seq + (r - lo) // in_each, at offset + (r - lo) % in_each * length.
+    Rank r of a length, lo <= r < hi, goes to sequence first_seq + (r - lo) // in_each, at place + (r - lo) % in_each * length.
     """
-    spans = []
-    gaps: list[int] = []  # the gap runs in order
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, number) blocks
-    opened = 0
-
-    def put(gap: int, block: tuple[int, int]) -> None:
-        if gap:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append(block)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):  # no gap holds it: open sequences, and fill each with as many as fit
-                each = capacity // length
-                new, rest = divmod(left, each)
-                if new:
-                    spans.append((length, rank, rank + new * each, opened, each, 0))
-                    put(capacity - each * length, (opened, new))
-                if rest:
-                    spans.append((length, rank + new * each, rank + left, opened + new, rest, 0))
-                    put(capacity - rest * length, (opened + new, 1))
-                opened += new + bool(rest)
-                rank, left = rank + left, 0
-                continue
-            gap = gaps[at]
-            first, number = runs[gap].pop()
-            each = gap // length
-            new, rest = divmod(min(left, number * each), each)
-            if new:
-                spans.append((length, rank, rank + new * each, first, each, capacity - gap))
-                put(gap - each * length, (first, new))
-            if rest:
-                spans.append((length, rank + new * each, rank + new * each + rest, first + new, rest, capacity - gap))
-                put(gap - rest * length, (first + new, 1))
-            taken = new + bool(rest)
-            if taken < number:
-                runs[gap].append((first + taken, number - taken))
-            elif not runs[gap]:
-                del runs[gap]
-                gaps.remove(gap)
-            rank, left = rank + new * each + rest, left - new * each - rest
-    return spans, opened
-
-
-def ranked(pieces: DataFrame, order: Iterable[str]) -> DataFrame:
-    """`pieces` with the column rank: 0, 1, ... within each length, counted slot by slot."""
-    total = pieces.count()
-    slots = max(LEAST_SLOTS, -(-total // SLOT_ROWS))
-    order = list(order)
-    rows = pieces.withColumn("slot", F.pmod(F.xxhash64(*order), F.lit(slots)).cast("int"))
-    sizes = rows.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "slot").orderBy(*order)
-    rows = rows.withColumn("rank", F.row_number().over(own) - 1)
-    return rows.join(sizes, ["length", "slot"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long")).drop("slot", "base")
+    spark = counts.sparkSession
+    folder, n_rounds = shared_path(spark, "runs"), 0
+
+    def put(state: DataFrame) -> DataFrame:
+        state.write.parquet(f"{folder}/round={n_rounds}")
+        return spark.read.schema(STATE).parquet(f"{folder}/round={n_rounds}")
+
+    none = F.lit(None).cast("long")
+    state = put(counts.select(F.lit(1).alias("side"), F.col("length").alias("size"), "n", F.lit(0).cast("long").alias("at"), *[none.alias(c) for c in ("lo", "hi", "in_each", "place")]).coalesce(1))
+    halvings = F.length(F.bin(F.expr(f"{capacity} div size"))) - 1  # 0: longer than half a sequence, 1: than a quarter, ...
+    opened, octave = 0, 0
+    while True:
+        octaves = state.where("side < 2").groupBy("side", halvings.alias("octave"))
+        octaves = octaves.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("volume")).collect()  # 2 * log2(capacity) rows at most
+        left = [r for r in octaves if r["side"] == 1]
+        if not left:
+            break
+        top = max((r["most"] for r in octaves if r["side"] == 0), default=0)
+        new = 0
+        if not n_rounds:
+            new = max(sum(r["n"] for r in left if not r["octave"]), -(-sum(r["volume"] for r in left) // capacity))
+        while not new:
+            open_ = [r for r in left if r["octave"] <= octave]
+            if any(r["least"] <= top for r in open_):
+                break
+            new = -(-sum(r["volume"] for r in open_) // capacity)
+            octave += not new
+        n_rounds += 1
+        args = {"least": min(r["least"] for r in left), "shortest": (capacity >> octave + 1) + 1, "capacity": capacity, "fresh": new, "opened": opened}
+        state = put(spark.sql(ROUND, args, state=state))
+        opened += new
+    spans = spark.read.schema(STATE).parquet(folder).where("side = 2")
+    return spans.select(F.col("size").alias("length"), "lo", "hi", F.col("at").alias("first_seq"), "in_each", "place")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, order: Iterable[str] = ("doc_id", "uid", "piece")) -> DataFrame:
@@ -128,18 +180,23 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: Iterable[str] = ("doc_i
 
     An empty table stays empty. Ties in length are broken by `order`. Lengths must lie in 1 to `capacity`.
     """
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    if any(not 0 < n <= capacity for n in counts):
+    counts = written(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")  # `capacity` rows at most
+    if not counts.where(~F.col("length").between(1, capacity)).isEmpty():
         raise ValueError(f"pieces must have 1 to {capacity} ids")
-    spans, _ = sweep_spans(counts, capacity)
-    table = spark.createDataFrame(spans or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, first_seq long, in_each long, at long")
-    if len(spans) <= BROADCAST_SPANS:
-        table = F.broadcast(table)
-    rows = ranked(pieces, order)
-    met = rows.join(table, (rows["length"] == table["length"]) & (rows["rank"] >= table["lo"]) & (rows["rank"] < table["hi"])).drop(table["length"])
-    place = F.col("rank") - F.col("lo")
-    return met.withColumns({"sequence_id": F.col("first_seq") + F.floor(place / F.col("in_each")).cast("long"), "offset": F.col("at") + place % F.col("in_each") * F.col("length")}).select(*pieces.columns, "sequence_id", "offset")
+    spans = spans_of(counts, capacity)
+    # a length's rows are dealt to slots, whose ranks follow one another
+    order = list(order)
+    slots = counts.select("length", F.ceil(F.col("n") / SLOT_ROWS).alias("slots"))
+    rows = pieces.join(F.broadcast(slots), "length").withColumn("slot", F.pmod(F.xxhash64(*order), F.col("slots"))).drop("slots")
+    sizes = rows.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = written(sizes.withColumn("base", F.sum("rows").over(Window.partitionBy("length").orderBy("slot")) - F.col("rows")), "slots")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "slot").orderBy(*order)) - 1)
+    # a slot's spans, with ranks counted from its first
+    own = sizes.join(spans, "length").where((F.col("lo") < F.col("base") + F.col("rows")) & (F.col("hi") > F.col("base")))
+    own = own.select("length", "slot", (F.col("lo") - F.col("base")).alias("lo"), (F.col("hi") - F.col("base")).alias("hi"), "first_seq", "in_each", "place")
+    met = rows.join(own.hint("merge"), ["length", "slot"]).where("rank >= lo AND rank < hi")
+    nth = F.col("rank") - F.col("lo")
+    return met.select(*pieces.columns, (F.col("first_seq") + F.expr("(rank - lo) div in_each")).alias("sequence_id"), (F.col("place") + nth % F.col("in_each") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
