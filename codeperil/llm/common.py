@@ -48,24 +48,32 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER_ASCII, LOWER_ASCII)
 
 
-#: A key counts as hot when it has more than this share of all rows, so at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 0.001
+#: The least number of hot keys that a join allows for.
+HOT_KEYS = 1000
 
 
 def hot_aware_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: str, spread: Column) -> DataFrame:
     """Left-join `left` with `right` (one row per key) when some keys may hold a large part of the rows of `left`.
 
     `rows` names the column of `right` with the number of rows that the key has on the left; `right` is read three
-    times, so it should be a written table. Keys above HOT_SHARE of the sum of `rows` are at most 1 / HOT_SHARE many
-    whatever the size of the data, and only these are broadcast. The other keys join by shuffle. `spread` is an integer
-    hash of a row of `left`; rows that met a hot key are dealt by it, so no task gets a hot key's rows.
+    times, so it should be a written table. A key is hot if it has more than half of a shuffle partition's share of the
+    sum of `rows` (or than the HOT_KEYS-th part, if that is less), so at most two keys for each partition are hot, and
+    only these are broadcast. The other keys join by shuffle. `spread` is an integer hash of a row of `left`; rows that
+    met a hot key or have a null key are dealt by it, so no task gets a hot key's rows.
     """
     total = right.agg(F.sum(rows)).first()[0] or 0
-    limit = total * HOT_SHARE
+    limit = total / max(HOT_KEYS, 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     values = [c for c in right.columns if c not in keys]
     hot = right.where(F.col(rows) > limit).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hot"))
     cold = right.where(F.col(rows) <= limit).select(*keys, *[F.col(c).alias(f"__cold_{c}") for c in values], F.lit(0).alias("__salt"))
-    met = left.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(spread, F.lit(1 << 20)).cast("int") + 1).otherwise(F.lit(0)))
+    met = left.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.when(F.col("__hot") | _any_null(keys), F.pmod(spread, F.lit(1 << 20)).cast("int") + 1).otherwise(F.lit(0)))
     out = met.join(cold, [*keys, "__salt"], "left")
     kept = [c for c in left.columns if c not in values]
     return out.select(*kept, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])
+
+
+def _any_null(keys: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for key in keys:
+        out = out | F.col(key).isNull()
+    return out

@@ -159,18 +159,21 @@ def document_frequency(docs: DataFrame, how: NearDup, text_col: str = "text") ->
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, np.int64)
+                own = _unpacked(counts)
                 total[block] = total[block] + own if block in total else own
         if total:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "counts": pa.array([_packed(x) for x in total.values()], pa.binary())})
 
     schema = "block int, counts binary"
     parts = docs.select(text_col).mapInArrow(count, schema)
-    whole = parts.repartition(16, "block").mapInArrow(add, schema).collect()  # rows x 2 ** bits counts, whatever the input
+    # first by groups of tasks, then all: no task gets a block from more than about the root of their number
+    blocks = SKETCH_ROWS * cells // BLOCK
+    some = parts.withColumn("part", F.floor(F.spark_partition_id() / 64)).repartition("block", "part").drop("part").mapInArrow(add, schema)
+    whole = some.repartition(min(16, blocks), "block").mapInArrow(add, schema).collect()  # rows x 2 ** bits counts, whatever the input
     sketch = np.zeros(SKETCH_ROWS * cells, np.int64)
     n_docs = 0
     for r in whole:
-        own = np.frombuffer(bytes(r["counts"]), np.int64)
+        own = _unpacked(bytes(r["counts"]))
         if r["block"] < 0:
             n_docs = int(own[0])
         else:
@@ -178,11 +181,21 @@ def document_frequency(docs: DataFrame, how: NearDup, text_col: str = "text") ->
     return sketch.reshape(SKETCH_ROWS, cells), n_docs
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The counts of a block: one (the number of documents) or BLOCK."""
+    raw = pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()
+    return np.frombuffer(raw, np.int64)
+
+
 def _blocks(held: np.ndarray, n: int) -> pa.RecordBatch:
     flat = held.reshape(-1)
     at = [k for k in range(len(flat) // BLOCK) if flat[k * BLOCK : (k + 1) * BLOCK].any()]
-    counts = [flat[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in at]
-    return pa.RecordBatch.from_pydict({"block": pa.array([-1, *at], pa.int32()), "counts": pa.array([np.array([n], np.int64).tobytes(), *counts], pa.binary())})
+    counts = [_packed(flat[k * BLOCK : (k + 1) * BLOCK]) for k in at]
+    return pa.RecordBatch.from_pydict({"block": pa.array([-1, *at], pa.int32()), "counts": pa.array([_packed(np.array([n])), *counts], pa.binary())})
 
 
 def idf_levels(sketch: np.ndarray, n_docs: int) -> np.ndarray:
