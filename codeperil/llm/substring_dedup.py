@@ -42,7 +42,8 @@ class Spans:
 #: Whatever repeats of two sentences and 10 words, so all runs of three sentences and 10 words and of two and 20 too.
 PRODUCTION = Spans(least_words=10, both_ways=True)
 
-_END = re.compile(r"[.!?…。！？]+[\"'»”)\]]*(?:\s+|$)|\s*\n\s*")
+#: Nothing is tried twice: closing marks are looked at from their first one, a line end from its line feed.
+_END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'»”)\]]*+(?:\s+|$)|\n\s*")
 _COMMA = re.compile(r"[,;:]\s+")
 #: Full-width marks, and what is cut in texts that have some: behind them no blank is needed.
 _WIDE = re.compile(r"[。！？｡，、；：]")

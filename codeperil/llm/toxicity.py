@@ -148,12 +148,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Entries are found in at least `least_docs` toxic texts, `least_odds` times as often as in others, and so often that by
     chance no more than `most_false` features in all would be; exceptions are word pairs around their hits for which the same
     holds with harmless and toxic texts exchanged. A text counts once for a feature or pair. Null labels,
-    identifiers and texts are left out; of conflicting labels the larger holds.
+    identifiers and texts are left out; of conflicting labels, of an identifier or of equal texts, the larger holds.
     """
     ship(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     sample = marked.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    texts = written(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["text"]), "labelled")
+    texts = written(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("text").agg(F.max("label").alias("label")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
