@@ -19,7 +19,7 @@ from .operators.view import ViewSpec
 from .plans.analyze import Options, analyze
 from .sinks import html, plain, tables
 from .sinks.model import Comparison, Report
-from .sources import envelope, lcov
+from .sources import envelope, istanbul, lcov
 
 FORMATS = ("table", "json", "markdown", "csv", "sarif", "advice", "scorecard-row", "html", "github-annotations")
 
@@ -136,6 +136,8 @@ def _run(spark: SparkSession, args: argparse.Namespace, out, err) -> int:
             raise ConfigError(f"source folder {root} does not exist")
     if args.language == "rust" and not lcov.has_data(spark, args.coverage):
         raise ConfigError(f"{args.coverage}: no SF/DA records")
+    if args.language != "rust" and not istanbul.has_data(spark, args.coverage):
+        raise ConfigError(f"{args.coverage}: no statement coverage records")
     top = git_top(use.src[0]) if len(use.src) > 1 or args.diff else None
     if (len(use.src) > 1 or args.diff) and top is None:
         raise ConfigError("several source folders and --diff need a git work tree")

