@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +23,40 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on this machine, one of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="codeperil-")
     return _own_folder[app]
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for `name` in the shared folder."""
-    return f"{shared_folder(spark)}/codeperil/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/codeperil/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The paths that this application has got from shared_path and not removed, in order."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete what lies at paths of shared_path; for tables whose results have been written or read."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _made[spark.sparkContext.applicationId].remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +67,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the machine; an idle worker would keep it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER_ASCII, LOWER_ASCII)

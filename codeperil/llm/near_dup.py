@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_aware_join, ship, written
+from .common import give_back, hot_aware_join, ship, written
 
 
 @dataclass(frozen=True)
@@ -154,6 +154,7 @@ def document_frequency(docs: DataFrame, how: NearDup, text_col: str = "text") ->
                     held[r] += np.bincount((own >> np.uint64(20 * r) & mask).astype(np.int64), minlength=cells)
         if n:
             yield _blocks(held, n)
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -286,6 +287,7 @@ def sketched(docs: DataFrame, how: NearDup, id_col: str, text_col: str) -> DataF
             uids = batch.column(1).to_pylist()
             for first, lists, digests in shingler.chunks(batch.column(2)):
                 yield sampled(batch.column(0).slice(first, len(lists)), uids[first : first + len(lists)], digests, lists)
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))

@@ -28,7 +28,7 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, ship
+from .common import give_back, shared_path, ship
 from .words import WordEncoder, encoder_of
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
@@ -66,7 +66,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) ->
                 first, held = n, 0
             if n < len(texts):
                 held += sizes[n]
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def open_folder(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:

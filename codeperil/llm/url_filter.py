@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import hot_aware_join, lower_ascii, written
 
-#: Public suffixes of two labels under which domains are registered; others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.mx", "com.tr", "com.cn", "co.in", "co.za", "co.kr")
+#: Labels below a country's, of two letters, under which domains are registered (as in co.uk, com.sg): a suffix of two labels.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org")
 
 
 @dataclass(frozen=True)
@@ -34,12 +34,14 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """Parameters: a host is blocked if mean - z * deviation of its posterior exceeds `most_bad`."""
+    """Parameters: a host is blocked if mean - z * deviation of its posterior exceeds `most_bad`. A suffix has two labels if the last is a country's and the other one of `second_labels`, or if it is one of `suffixes`."""
 
     most_bad: float = 0.5
     z: float = 1.645
     least_strength: float = 1.0
     most_strength: float = 1000.0
+    second_labels: tuple[str, ...] = SECOND_LABELS
+    suffixes: tuple[str, ...] = ()
 
 
 def host_of(url: Column) -> Column:
@@ -63,15 +65,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where domains are registered under two."""
+def _two_labels(host: Column, how: Reputation) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return two.rlike(rf"^(?:{'|'.join(how.second_labels)})\.[a-z]{{2}}$") | two.isin(*how.suffixes)
+
+
+def suffix_of(host: Column, how: Reputation = Reputation()) -> Column:
+    """The last label, or the last two where domains are registered under two."""
+    return F.when(_two_labels(host, how), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, how: Reputation = Reputation()) -> Column:
     """The suffix and one label more."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(_two_labels(host, how), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
@@ -79,7 +85,7 @@ def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFra
 
     No labelled pages at all: the mean is 0.5 with the least strength, so nothing is blocked by the default limit.
     """
-    rows = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    rows = hosts.withColumns({"domain": domain_of(F.col("host"), how), "suffix": suffix_of(F.col("host"), how)})
     domains = rows.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeperil.llm import exact_dedup, near_dup, packing, pii, quality
-from codeperil.llm.common import written
+from codeperil.llm.common import made, remove, written
 from codeperil.llm.queries import table, vocabulary
 
 
@@ -56,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents; what a stage has written for itself, and its predecessor's result, go once its own result is written."""
+    docs, mine = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        before = made(spark)
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs, "stage")
+            after = made(spark)
+            remove(spark, [p for p in after[:-1] if p not in before or p in mine])  # the last is this stage's result
+            mine = [after[-1]]
     return docs
