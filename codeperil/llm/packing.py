@@ -33,8 +33,8 @@ from .token_files import encoded_batches
 from .words import encoder_of
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
-#: Rows that one slot of a length should hold.
-SLOT_ROWS = 100_000
+#: Rows that one slot of a length may hold; fewer where that leaves less than SLOTS slots for each shuffle partition.
+SLOT_ROWS, SLOTS = 100_000, 4
 #: Tasks of a round: its tables have runs, not rows, so they stay small at any scale.
 ROUND_TASKS = 4
 #: side 0: n sequences, numbered from `at`, with the gap `size`; side 1: n open pieces of the length `size`, ranks from `at`;
@@ -152,7 +152,7 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
     halvings = F.length(F.bin(F.expr(f"{capacity} div size"))) - 1  # 0: longer than half a sequence, 1: than a quarter, ...
     opened, octave = 0, 0
     while True:
-        octaves = state.where("side < 2").groupBy("side", halvings.alias("octave"))
+        octaves = state.where("side < 2").coalesce(1).groupBy("side", halvings.alias("octave"))
         octaves = octaves.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("volume")).collect()  # 2 * log2(capacity) rows at most
         left = [r for r in octaves if r["side"] == 1]
         if not left:
@@ -186,7 +186,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: Iterable[str] = ("doc_i
     spans = spans_of(counts, capacity)
     # a length's rows are dealt to slots, whose ranks follow one another
     order = list(order)
-    slots = counts.select("length", F.ceil(F.col("n") / SLOT_ROWS).alias("slots"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(1, min(SLOT_ROWS, total // (SLOTS * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    slots = counts.select("length", F.ceil(F.col("n") / most).alias("slots"))
     rows = pieces.join(F.broadcast(slots), "length").withColumn("slot", F.pmod(F.xxhash64(*order), F.col("slots"))).drop("slots")
     sizes = rows.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("rows"))
     sizes = written(sizes.withColumn("base", F.sum("rows").over(Window.partitionBy("length").orderBy("slot")) - F.col("rows")), "slots")
