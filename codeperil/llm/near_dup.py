@@ -361,7 +361,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class, all columns as they were: of the class's smallest identifier and, of rows that repeat it, one."""
+    """`docs` with one row of each class, all columns as they were, whatever their names: of the class's smallest identifier and, of rows that repeat it, one.
+
+    Null and empty texts all stay; null identifiers come after others; an empty table stays empty.
+    """
     names = docs.columns
     rows = written(docs.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("__uid")), "rows")
     kept = near_classes(rows.select(F.struct(F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.col("__uid").alias("uid")).alias("__id"), F.col(f"row.{text_col}").alias("__text")), how, "__id", "__text")

@@ -204,8 +204,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: Iterable[str] = ("doc_i
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text counts as empty and gives one piece, the end id. Null and repeated identifiers are rows like others. An
-    empty table gives an empty result. Other columns are not looked at.
+    A null text counts as empty and gives one piece, the end id. Identifiers are whole numbers or their digits as strings;
+    null and repeated ones are rows like others. An empty table gives an empty result. Other columns are not looked at.
     """
     pieces = written(token_pieces(docs, tokenizer_json, capacity, end_id, id_col, text_col), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

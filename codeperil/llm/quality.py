@@ -28,7 +28,8 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Every layer of columns is used more than once by the next, so Spark computes it once per row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__text": text, "__words": F.array_remove(F.split(text, SPACES, -1), "")})
+    # the columns of `docs` in one, so that none has a name used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text.alias("__text"), F.array_remove(F.split(text, SPACES, -1), "").alias("__words"))
     words = F.col("__words")
     windows = F.transform(words, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -72,7 +73,7 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # A generator of one row: filters on the measures stay above it. Pushed down, they would hold the whole expressions,
     # and the word array would be made anew for every word.
-    return rows.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in measures.items()]))))
+    return rows.select("__row.*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in measures.items()]))))
 
 
 def base_failed() -> Column:
@@ -228,7 +229,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def judge_quality(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """`docs` with the measures, base_failed, rule (number of the rule that fits, or null) and kept.
 
-    Every row gives one row: empty and null texts have no words, so their base fails.
+    Every row gives one row: empty and null texts have no words, so their base fails. Columns of `docs` with the names of
+    new ones are replaced, all others stay, whatever their names. An empty table gives an empty result.
     """
     clash = [c for c in docs.columns if c in {*MEASURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"}]
     rows = with_measures(docs.drop(*clash), text_col)

@@ -204,6 +204,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str | None =
             yield manifest()
 
     counts = sorted((r.part, r.n_tokens) for r in dealt.mapInArrow(write, MANIFEST).collect())  # a row for each file
+    held.unpersist()
     parts, before = [], 0
     for part, n in counts:
         parts.append((part, before, n))

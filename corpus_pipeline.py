@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; `run` writes
 it as Parquet in the shared folder and reads it again for the next one, so that a lost executor costs no stage. All but
-the last return the columns of `documents`, whatever they are.
+the last return the columns of `documents`, whatever they are. Empty and null texts go with the first stage (they have
+no words); repeated rows leave one in the second; empty tables stay empty in each.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,22 @@ def test_measures_and_learned_rules(spark):
     assert quality.judge_quality(docs, rules).where("kept").count() == sum(r["kept"] for r in got.values())
 
 
+def test_columns_with_any_names_stay(spark):
+    docs = spark.createDataFrame([(1, prose(60, 1), "a", 2, "b", None), (2, None, "c", 3, "d", "e")], "doc_id long, text string, __text string, n_words long, __row string, `a.b` string")
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs, []).collect()}
+    assert [(got[n]["__text"], got[n]["__row"], got[n]["a.b"], got[n]["kept"]) for n in (1, 2)] == [("a", "b", None, True), ("c", "d", "e", False)]
+    assert got[1]["n_words"] == 60 and got[2]["n_words"] == 0
+    left = exact_dedup.drop_exact_copies(docs.withColumnsRenamed({"__text": "sha", "__row": "row", "a.b": "id"}))
+    assert left.columns == ["doc_id", "text", "sha", "n_words", "row", "id"] and left.count() == 2
+
+
+def test_sentence_ends_are_linear():
+    began = time.perf_counter()
+    for text in (" " * 1_000_000, "." * 1_000_000 + "x", "\n" * 1_000_000, ")." * 500_000, "a" + " \t" * 500_000 + "b", "。" * 300_000):
+        assert substring_dedup.Splitter(substring_dedup.PRODUCTION).sentences(text)[-1][1] == len(text)
+    assert time.perf_counter() - began < 30
+
+
 def test_rules_in_order_are_one_expression(spark):
     rows = [{"a": float(i), "b": float(i % 7)} for i in range(300)]
     low = [r["a"] > 200 or r["b"] == 3 for r in rows]
