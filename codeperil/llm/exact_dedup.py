@@ -25,7 +25,7 @@ KEY = ["digest", "n_bytes", "check"]
 PLACE = ["run", "slice"]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 4, levels: int | None = None, normalise=lower_ascii) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8, levels: int | None = None, normalise=lower_ascii) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     keep: "largest" or "smallest" identifier stays. A null text counts as empty. Of repeated rows (same identifier, same
