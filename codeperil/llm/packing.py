@@ -71,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end
 ROUND = f"""
 WITH runs AS (
     SELECT side, size, n, at FROM {{state}} WHERE (side = 0 AND size >= :least) OR (side = 1 AND size >= :shortest)
-    UNION ALL SELECT 0, CAST(:capacity AS BIGINT), CAST(:fresh AS BIGINT), CAST(:opened AS BIGINT) WHERE :fresh > 0
+    UNION ALL SELECT * FROM VALUES (0, CAST(:capacity AS BIGINT), CAST(:fresh AS BIGINT), CAST(:opened AS BIGINT)) AS new(side, size, n, at) WHERE n > 0
 ), depth AS (
     SELECT *, sum(if(side = 0, n, -n)) OVER down AS level, row_number() OVER down AS pos
     FROM runs WINDOW down AS (ORDER BY size DESC, side, at ROWS UNBOUNDED PRECEDING)
@@ -92,33 +92,32 @@ WITH runs AS (
 ), levels AS (
     SELECT /*+ BROADCAST(cuts) */ * FROM pieces_of_levels JOIN cuts USING (cut)
 ), dealt AS (
-    SELECT /*+ REPARTITION({ROUND_TASKS}, cut) */ cut, pos, side, size, n, at, low, bottom, top - bottom AS width FROM levels
+    SELECT /*+ REPARTITION({ROUND_TASKS}, cut) */ cut, pos, side, size, n - (high - low) AS open, at, low, high, bottom, top - bottom AS width FROM levels
 ), met AS (
     SELECT *, lag(size) OVER turn AS gap, lag(at - low) OVER turn + bottom AS first, lead(pos) OVER turn AS next
     FROM dealt WINDOW turn AS (PARTITION BY cut ORDER BY pos)
 ), pairs AS (
-    -- a piece with its gap, or a gap that is left
-    SELECT /*+ REPARTITION({ROUND_TASKS}, side, size) */ side, size, n, at, width, gap, if(side = 0, at - low + bottom, first) AS first, if(side = 0, 0, gap div size - 1) AS more
+    -- pieces with their gaps, or a gap that is left
+    SELECT /*+ REPARTITION({ROUND_TASKS}, side, size) */ side, size, open, width, gap, if(side = 0, at - low + bottom, first) AS first, at + bottom - low AS rank, at + high - low AS next_rank, if(side = 0, 0, gap div size - 1) AS more
     FROM met WHERE side = 1 OR next IS NULL
-), shares AS (
+), rooms AS (
     -- open pieces of a length that found no gap go where one of theirs went
-    SELECT *, greatest(0, least(n - sum(width) OVER (PARTITION BY side, size) - coalesce(sum(width * more) OVER before, 0), width * more)) AS extra
-    FROM pairs WINDOW before AS (PARTITION BY side, size ORDER BY gap, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), ranks AS (
-    SELECT *, at + coalesce(sum(width + extra) OVER before, 0) AS rank, if(more > 0, extra div more, 0) AS full, if(more > 0, extra % more, 0) AS rest
-    FROM shares WINDOW before AS (PARTITION BY side, size ORDER BY gap, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    SELECT *, coalesce(sum(width * more) OVER (PARTITION BY side, size ORDER BY gap, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM pairs
+), shares AS (
+    SELECT *, greatest(0, least(open - room, width * more)) AS extra FROM rooms
 ), takers AS (
-    -- sequences that take more + 1 pieces, one that takes rest + 1, those that take one
-    SELECT side, size, gap, first, rank, inline(array(
-        named_struct('skip', 0L, 'taking', full, 'in_each', more + 1, 'before', 0L),
-        named_struct('skip', full, 'taking', if(rest > 0, 1L, 0L), 'in_each', rest + 1, 'before', full * (more + 1)),
-        named_struct('skip', full + if(rest > 0, 1L, 0L), 'taking', width - full - if(rest > 0, 1L, 0L), 'in_each', 1L, 'before', full * (more + 1) + if(rest > 0, rest + 1, 0L))))
-    FROM ranks
+    -- sequences that take `more` pieces besides their first, one that takes the rest, those that take no other
+    SELECT *, inline(array(
+        named_struct('skip', 0L, 'taking', if(more > 0, extra div more, 0), 'others', more, 'before', 0L),
+        named_struct('skip', if(more > 0, extra div more, 0), 'taking', if(more > 0 AND extra % more > 0, 1L, 0L), 'others', if(more > 0, extra % more, 0), 'before', if(more > 0, extra - extra % more, 0)),
+        named_struct('skip', if(more > 0, ceil(extra / more), 0), 'taking', width - if(more > 0, ceil(extra / more), 0), 'others', 0L, 'before', 0L)))
+    FROM shares
 ), moves AS (
     SELECT inline(if(side = 0, array(named_struct('side', 0, 'size', size, 'n', taking, 'at', first + skip, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL)), array(
-        named_struct('side', 0, 'size', gap - in_each * size, 'n', taking, 'at', first + skip, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
-        named_struct('side', 1, 'size', size, 'n', -taking * in_each, 'at', taking * in_each, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
-        named_struct('side', 2, 'size', size, 'n', 1L, 'at', first + skip, 'lo', rank + before, 'hi', rank + before + taking * in_each, 'in_each', in_each, 'place', :capacity - gap))))
+        named_struct('side', 0, 'size', gap - (others + 1) * size, 'n', taking, 'at', first + skip, 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
+        named_struct('side', 1, 'size', size, 'n', -taking * (others + 1), 'at', taking * (others + 1), 'lo', NULL, 'hi', NULL, 'in_each', NULL, 'place', NULL),
+        named_struct('side', 2, 'size', size, 'n', 1L, 'at', first + skip, 'lo', rank + skip, 'hi', rank + skip + taking, 'in_each', 1L, 'place', :capacity - gap),
+        named_struct('side', 2, 'size', size, 'n', if(others > 0, 1L, 0L), 'at', first + skip, 'lo', next_rank + room + before, 'hi', next_rank + room + before + taking * others, 'in_each', others, 'place', :capacity - gap + size))))
     FROM takers WHERE taking > 0
 ), after AS (
     SELECT * FROM moves WHERE size > 0 UNION ALL SELECT side, size, n, at, NULL, NULL, NULL, NULL FROM {{state}} WHERE side = 1
@@ -168,7 +167,8 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
             new = -(-sum(r["volume"] for r in open_) // capacity)
             octave += not new
         n_rounds += 1
-        args = {"least": min(r["least"] for r in left), "shortest": (capacity >> octave + 1) + 1, "capacity": capacity, "fresh": new, "opened": opened}
+        least = 1 << min(r["least"] for r in left).bit_length() - 1  # a round's code is compiled again if a number in it changes
+        args = {"least": least, "shortest": (capacity >> octave + 1) + 1, "capacity": capacity, "fresh": new, "opened": opened}
         state = put(spark.sql(ROUND, args, state=state))
         opened += new
     spans = spark.read.schema(STATE).parquet(folder).where("side = 2")
