@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup, packing, piece_sampling, pii, quality, substring_dedup, token_files, toxicity, url_filter
+from . import exact_dedup, language_codes, near_dup, packing, periodic_runs, piece_sampling, pii, quality, spelling, substring_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op11_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_codes.identify_languages(docs, language_codes.learn_codes(docs))
+    return found.select("doc_id", language_codes.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.Runs(), edit=periodic_runs.planted)
+    return periodic_runs.summarised(found)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spelling.Variants(), edit=spelling.with_slips)
+
+
 QUERIES = {
     "op1_piece_sampling": op1_piece_sampling,
     "op2_quality_rules": op2_quality_rules,
@@ -108,6 +123,9 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_language_codes": op11_language_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
