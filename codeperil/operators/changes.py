@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .match import BLOCK
+from .dyadic import at_nodes, nodes
 
 
 def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -16,14 +16,19 @@ def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
 def changed_functions(functions: DataFrame, changes: DataFrame) -> DataFrame:
     """Functions of new files, and those whose span overlaps a changed stretch (both ends included).
 
-    The overlap is an equi-join on file and block of lines, so a file with very many functions and hunks is dealt out.
+    Two stretches overlap if one begins in the other. So a function is changed if a node of its span holds the first line of
+    a stretch, or its own first line lies in a node of one: two semi joins on nodes, which pair nothing.
     """
     new = changes.where("is_new").select("file_path").distinct()
     of_new = functions.join(new, "file_path", "left_semi").select("ordinal")
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor(F.col(b) / BLOCK)))
-    hunks = changes.where("NOT is_new AND start_line IS NOT NULL").select("file_path", F.col("start_line").alias("hunk_start"), F.col("end_line").alias("hunk_end"), span("start_line", "end_line").alias("block"))
-    own = functions.select("ordinal", "file_path", "start_line", "end_line", span("start_line", "end_line").alias("block"))
-    met = own.join(hunks, ["file_path", "block"]).where("start_line <= hunk_end AND hunk_start <= end_line").select("ordinal")
+    hunks = changes.where("NOT is_new AND start_line IS NOT NULL AND start_line <= end_line").select("file_path", "start_line", "end_line")
+    own = functions.where("start_line <= end_line").select("ordinal", "file_path", "start_line", "end_line")
+    keys, place = ["file_path", "level", "node"], ["ordinal", "file_path"]
+    begins = at_nodes(hunks, "start_line", own, "start_line", "end_line", ["file_path"]).distinct()
+    holding = own.select(*place, F.inline(nodes(F.col("start_line"), F.col("end_line")))).join(begins, keys, "left_semi")
+    touched = hunks.select("file_path", F.inline(nodes(F.col("start_line"), F.col("end_line")))).distinct()
+    inside = at_nodes(own, "start_line", hunks, "start_line", "end_line", place).join(touched, keys, "left_semi")
+    met = holding.select("ordinal").unionByName(inside.select("ordinal"))
     return functions.join(of_new.unionByName(met).distinct(), "ordinal", "left_semi").select(*functions.columns)
 
 

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.score import POLICIES, percent
+from .dyadic import at_nodes, nodes
 
-#: Lines of a block: spans and lines meet by file and block, so a file of any size is dealt over many tasks.
-BLOCK = 64
 
-
-def in_spans(functions: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_spans(functions: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs of `ordinal` and the columns of `points` (file_path, line, ...) whose line lies in the function's span.
 
-    A range join as an equi-join: a span joins with the blocks of lines that it touches, and the exact bounds decide.
+    A range join as an equi-join: a span joins by the nodes that make it up, a line by the nodes that it lies in, so each
+    pair comes once, whatever the span's length, and a file of any size is dealt over many tasks.
     """
-    spans = functions.select("ordinal", "file_path", "start_line", "end_line").where("end_line >= start_line")
-    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
-    placed = points.withColumn("block", F.floor(F.col("line") / block))
-    met = spans.join(placed, ["file_path", "block"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return met.select("ordinal", *[c for c in points.columns if c != "file_path"])
+    spans = _span_nodes(functions)
+    placed = at_nodes(points, "line", functions, "start_line", "end_line", points.columns)
+    return spans.join(placed, ["file_path", "level", "node"]).select("ordinal", *[c for c in points.columns if c != "file_path"])
+
+
+def counts_in_spans(functions: DataFrame, points: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """`ordinal` and, for spans with any of `points` (file_path, line, ...), what `counts` (counts or sums over points) gives.
+
+    Points are counted for each node first, so a span adds up a few nodes however many points lie in it, and spans that
+    overlap don't multiply anything.
+    """
+    placed = at_nodes(points, "line", functions, "start_line", "end_line", points.columns)
+    of_node = placed.groupBy("file_path", "level", "node").agg(*[c.alias(name) for name, c in counts.items()])
+    return _span_nodes(functions).join(of_node, ["file_path", "level", "node"]).groupBy("ordinal").agg(*[F.sum(name).alias(name) for name in counts])
+
+
+def _span_nodes(functions: DataFrame) -> DataFrame:
+    return functions.select("ordinal", "file_path", F.inline(nodes(F.col("start_line"), F.col("end_line"))))
 
 
 def match_functions(functions: DataFrame, lines: DataFrame, branches: DataFrame | None = None, policy: str = "pessimistic", files: DataFrame | None = None) -> DataFrame:
@@ -34,11 +46,10 @@ def match_functions(functions: DataFrame, lines: DataFrame, branches: DataFrame
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
     present = (files if files is not None else lines).select("file_path").distinct().withColumn("has_file", F.lit(True))
-    counted = in_spans(functions, lines).groupBy("ordinal").agg(F.count("line").alias("total"), F.count_if(F.col("hits") > 0).alias("covered"))
+    counted = counts_in_spans(functions, lines, {"total": F.count("line"), "covered": F.count_if(F.col("hits") > 0)})
     rows = functions.join(present, "file_path", "left").join(counted, "ordinal", "left")
     if branches is not None:
-        evaluated = in_spans(functions, branches.where("taken IS NOT NULL"))
-        arms = evaluated.groupBy("ordinal").agg(F.count(F.lit(1)).alias("branch_total"), F.count_if(F.col("taken") > 0).alias("branch_covered"))
+        arms = counts_in_spans(functions, branches.where("taken IS NOT NULL"), {"branch_total": F.count(F.lit(1)), "branch_covered": F.count_if(F.col("taken") > 0)})
         rows = rows.join(arms, "ordinal", "left")
     else:
         rows = rows.withColumns({"branch_total": F.lit(None).cast("long"), "branch_covered": F.lit(None).cast("long")})

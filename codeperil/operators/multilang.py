@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score import MOVEMENT, risk_rank, safe_ratio
 from .delta import described
+from .summary import first_of_largest
 
 
 def union_languages(blocks: dict[str, DataFrame]) -> DataFrame:
@@ -28,9 +29,9 @@ def ranked_functions(verdicts: DataFrame, only_exceeding: bool = False) -> DataF
 
 
 def combined_summary(verdicts: DataFrame) -> DataFrame:
-    """One row over all languages: counts, passed, and the function with the largest ratio (the first of equals)."""
+    """One row over all languages: counts, passed, and the function with the largest ratio (the first of equals; of NaN see first_of_largest)."""
     rows = verdicts.withColumn("ratio", safe_ratio(F.col("crap"), F.col("threshold")))
-    worst = F.max(F.struct("ratio", (-F.col("block")).alias("b"), (-F.col("ordinal")).alias("o"), "language", "qualified_name"))
+    worst = first_of_largest(F.col("ratio"), [F.col("block"), F.col("ordinal")], language=F.col("language"), qualified_name=F.col("qualified_name"))
     out = rows.agg(
         F.count_distinct("language").alias("languages"),
         F.count(F.lit(1)).alias("total_functions"),
@@ -39,7 +40,7 @@ def combined_summary(verdicts: DataFrame) -> DataFrame:
         F.coalesce(F.bool_and(~F.col("exceeds")), F.lit(True)).alias("passed"),
         worst.alias("worst"),
     )
-    return out.withColumns({"worst_ratio": F.col("worst.ratio"), "worst_language": F.col("worst.language"), "worst_function": F.col("worst.qualified_name")}).drop("worst")
+    return out.withColumns({"worst_ratio": F.col("worst.value"), "worst_language": F.col("worst.language"), "worst_function": F.col("worst.qualified_name")}).drop("worst")
 
 
 def combined_delta_rows(changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
 from .summary import file_summaries, finite, global_summary
 
 SORTS = ("crap", "coverage", "complexity", "path")
@@ -91,11 +92,16 @@ def grouped(verdicts: DataFrame, spec: ViewSpec) -> DataFrame:
     return rows.limit(spec.limit) if spec.limit else rows
 
 
+#: Up to so many rows are picked and ranked in one task.
+FEW = 100_000
+
+
 def with_rank(rows: DataFrame, keys: list[Column], limit: int | None = None) -> DataFrame:
-    """`rows` with rank from 1 in the order of `keys`; of all rows, so with `limit` the first ones are picked before."""
-    if limit:
-        rows = rows.orderBy(*keys).limit(limit)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    """`rows` with rank from 1 in the order of `keys`; with `limit` the first ones only."""
+    if limit and limit <= FEW:
+        return rows.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    ranked = order.with_rank(rows, keys)
+    return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
 def view_counts(verdicts: DataFrame, spec: ViewSpec) -> DataFrame:

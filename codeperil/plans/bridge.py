@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -103,15 +105,27 @@ BRANCHES = """raw_branches AS (
     branches AS (SELECT file_path, line, block, branch, CAST(sum(taken) AS BIGINT) AS taken FROM raw_branches GROUP BY ALL)"""
 
 
-def lcov_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole LCOV reports, one for every 64 keys of orders, so their number grows with the table: a block per row of lineitem, some with malformed records."""
-    k, n = F.col("l_partkey") % 450 + 1, F.col("l_linenumber").cast("string")
-    source = F.when(F.col("l_orderkey") % 97 == 0, F.lit("")).otherwise(_path(F.col("l_suppkey"), 50))
-    hits = F.when(F.col("l_orderkey") % 89 == 0, F.lit("-3")).when(F.col("l_returnflag") == "R", F.lit("0")).otherwise(F.col("l_quantity").cast("long").cast("string"))
-    taken = F.when(F.col("l_linestatus") == "O", F.lit("-")).otherwise(hits)
-    block = F.concat(F.lit("SF:"), source, F.lit("\nDA:"), k.cast("string"), F.lit(","), hits, F.lit("\nBRDA:"), k.cast("string"), F.lit(","), n, F.lit(","), (F.col("l_orderkey") % 3).cast("string"), F.lit(","), taken, F.lit("\nend_of_record"))
-    rows = _table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 64").cast("string").alias("report"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", block.alias("block")).alias("b"))
-    return rows.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n").alias("text"))
+#: Keys of orders whose rows make up a report.
+REPORT_KEYS = 20_000
+
+_reports: dict[tuple[str, str], str] = {}
+
+
+def lcov_reports(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of LCOV reports, text files, one for every REPORT_KEYS keys of orders, so their number grows with the table: a block per row of lineitem, some with malformed records. Written once for each application."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _reports or _reports[known] not in staging.made(spark):
+        k, n = F.col("l_partkey") % 450 + 1, F.col("l_linenumber").cast("string")
+        source = F.when(F.col("l_orderkey") % 97 == 0, F.lit("")).otherwise(_path(F.col("l_suppkey"), 50))
+        hits = F.when(F.col("l_orderkey") % 89 == 0, F.lit("-3")).when(F.col("l_returnflag") == "R", F.lit("0")).otherwise(F.col("l_quantity").cast("long").cast("string"))
+        taken = F.when(F.col("l_linestatus") == "O", F.lit("-")).otherwise(hits)
+        block = F.concat(F.lit("SF:"), source, F.lit("\nDA:"), k.cast("string"), F.lit(","), hits, F.lit("\nBRDA:"), k.cast("string"), F.lit(","), n, F.lit(","), (F.col("l_orderkey") % 3).cast("string"), F.lit(","), taken, F.lit("\nend_of_record"))
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        rows = _table(spark, sf_dir, "lineitem").select(F.expr(f"l_orderkey div {REPORT_KEYS}").alias("number"), *order, block.alias("value"))
+        path = staging.new_path(spark, "lcov")
+        rows.repartition("number").sortWithinPartitions("number", *order).select("value", "number").write.partitionBy("number").text(path)
+        _reports[known] = path
+    return _reports[known]
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:

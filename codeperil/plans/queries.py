@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import score
-from ..operators import changes, delta, diagnose, match, multilang, summary, verdicts, view
+from ..operators import changes, delta, diagnose, match, multilang, order, summary, verdicts, view
 from ..sources import files, gitdiff, istanbul, lcov
 from . import bridge
 
@@ -121,6 +121,21 @@ def worst_function(spark, d):
     return summary.global_summary(scored(spark, d)).select("worst_function", "worst_file", "max_crap")
 
 
+NAN_FIRST = """(WITH s AS (SELECT *, CASE WHEN {nan} THEN CAST('NaN' AS DOUBLE) ELSE crap END AS score FROM verdicts),
+    f AS (SELECT file_path, arg_min(isnan(score), ordinal) AS nan_first, min(ordinal) AS first FROM s GROUP BY file_path),
+    best AS (SELECT file_path, score, ordinal FROM s JOIN f USING (file_path) WHERE CASE WHEN nan_first THEN ordinal = first ELSE NOT isnan(score) END QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY score DESC, ordinal) = 1)
+    SELECT file_path, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, ordinal FROM best)"""
+
+
+@query(verdicts_sql() + f"SELECT * FROM {NAN_FIRST.format(nan='ordinal % 7 = 3 OR ordinal < 9')}")
+def worst_by_file_with_nan(spark, d):
+    """The worst function of each file where some scores are not a number, as the fold takes it; such a worst score is shown as null."""
+    k = F.col("ordinal")
+    rows = scored(spark, d).withColumn("crap", F.when((k % 7 == 3) | (k < 9), F.lit(float("nan"))).otherwise(F.col("crap")))
+    worst = rows.groupBy("file_path").agg(summary.first_of_largest(F.col("crap"), [k], ordinal=k).alias("w"))
+    return worst.select("file_path", F.when(~F.isnan("w.value"), F.col("w.value")).alias("score"), "w.ordinal")
+
+
 FILE_SQL = """files AS (SELECT file_path, count(*) AS functions, count(CASE WHEN exceeds THEN 1 END) AS exceeding,
     round(CAST(sum(CAST(round(crap * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100, 6) AS avg_crap, quantile_cont(crap, 0.5) AS median_crap, max(crap) AS max_crap, max(complexity) AS max_complexity,
     round(avg(coverage_percent), 6) AS avg_coverage, count(CASE WHEN risk_level = 'low' THEN 1 END) AS low_count, count(CASE WHEN risk_level = 'acceptable' THEN 1 END) AS acceptable_count,
@@ -157,6 +172,43 @@ def diff_overlap_semijoin(spark, d):
     return changes.changed_functions(bridge.functions(spark, d), bridge.hunks(spark, d)).select("ordinal", "file_path")
 
 
+WIDE = """wide AS (SELECT p_partkey AS ordinal, 'src/f' || CAST(p_partkey % 40 AS VARCHAR) || '.rs' AS file_path, p_partkey * 7919 % 1000000007 + 1 AS start_line,
+    p_partkey * 7919 % 1000000007 + CAST(pow(10, p_partkey % 10) AS BIGINT) AS end_line FROM part)"""
+
+
+def _wide(spark, d) -> DataFrame:
+    """Functions of 1 to 10 ** 9 lines, in steps of ten, the tenth of each kind."""
+    k = F.col("p_partkey")
+    start = k * 7919 % 1000000007
+    return spark.read.parquet(f"{d}/part.parquet").select(
+        k.alias("ordinal"), F.concat(F.lit("src/f"), (k % 40).cast("string"), F.lit(".rs")).alias("file_path"), (start + 1).alias("start_line"), (start + F.pow(F.lit(10), k % 10).cast("long")).alias("end_line")
+    )
+
+
+@query(
+    f"""WITH {WIDE}, far AS (SELECT 'src/f' || CAST(l_suppkey % 40 AS VARCHAR) || '.rs' AS file_path, l_orderkey * 104729 % 1100000009 + 1 AS line, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS hits FROM lineitem)
+    SELECT ordinal, count(line) AS total, count(CASE WHEN hits > 0 THEN 1 END) AS covered FROM wide LEFT JOIN far ON wide.file_path = far.file_path AND line BETWEEN start_line AND end_line GROUP BY ordinal"""
+)
+def span_counts_wide(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.concat(F.lit("src/f"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".rs")).alias("file_path"), (F.col("l_orderkey") * 104729 % 1100000009 + 1).alias("line"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("hits")
+    )
+    counted = match.counts_in_spans(_wide(spark, d), rows, {"total": F.count(F.lit(1)), "covered": F.count_if(F.col("hits") > 0)})
+    return _wide(spark, d).select("ordinal").join(counted, "ordinal", "left").na.fill(0, ["total", "covered"])
+
+
+@query(
+    f"""WITH {WIDE}, changed AS (SELECT 'src/f' || CAST(o_custkey % 50 AS VARCHAR) || '.rs' AS file_path, o_orderkey * 15485863 % 2000000011 + 1 AS a, o_orderkey * 15485863 % 2000000011 + CAST(pow(10, o_orderkey % 5) AS BIGINT) AS b FROM orders)
+    SELECT ordinal, file_path FROM wide w WHERE EXISTS (SELECT 1 FROM changed c WHERE c.file_path = w.file_path AND c.a <= w.end_line AND w.start_line <= c.b)"""
+)
+def diff_overlap_wide(spark, d):
+    start = F.col("o_orderkey") * 15485863 % 2000000011
+    stretches = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.concat(F.lit("src/f"), (F.col("o_custkey") % 50).cast("string"), F.lit(".rs")).alias("file_path"), F.lit(False).alias("is_new"), (start + 1).alias("start_line"), (start + F.pow(F.lit(10), F.col("o_orderkey") % 5).cast("long")).alias("end_line")
+    )
+    return changes.changed_functions(_wide(spark, d), stretches).select("ordinal", "file_path")
+
+
 @query(f"WITH {bridge.FUNCTIONS}, {bridge.HUNKS} SELECT DISTINCT file_path FROM functions WHERE file_path IN (SELECT file_path FROM hunks)")
 def diff_changed_files(spark, d):
     return changes.changed_files(bridge.functions(spark, d).select("file_path").distinct(), bridge.hunks(spark, d))
@@ -212,11 +264,11 @@ def view_counts(spark, d):
 LCOV = """lcov AS (
     SELECT l_orderkey % 97 = 0 AS nameless, l_orderkey % 89 = 0 AS broken, 'src/f' || CAST(l_suppkey % 50 AS VARCHAR) || '.rs' AS file_path, l_partkey % 450 + 1 AS line,
            CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits, CAST(l_linenumber AS BIGINT) AS block, l_orderkey % 3 AS branch, l_linestatus = 'O' AS dash,
-           row_number() OVER (PARTITION BY l_orderkey // 64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)"""
+           row_number() OVER (PARTITION BY l_orderkey // 20000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)"""
 
 
 def _report(spark, d) -> lcov.Coverage:
-    return lcov.parse_blocks(lcov.blocks_of(bridge.lcov_reports(spark, d)))
+    return lcov.read_lcov(spark, bridge.lcov_reports(spark, d))
 
 
 @query(f"WITH {LCOV} SELECT file_path, line, CAST(sum(hits) AS BIGINT) AS hits FROM lcov WHERE NOT nameless AND NOT broken GROUP BY file_path, line")
@@ -403,6 +455,29 @@ def scorecard_status(spark, d):
     return summary.scorecard(summary.global_summary(new), delta.delta_summary(delta.changes_of(old, new)), summary.global_summary(old))
 
 
+# order and medians of other values
+
+
+MEASURED = """measured AS (SELECT l_suppkey % 7 AS kind, CASE WHEN l_suppkey % 7 = 6 THEN NULL WHEN l_suppkey % 7 < 2 THEN CAST(l_quantity AS DOUBLE) ELSE CAST(l_partkey * 7919 % 10007 AS DOUBLE) - 5000 END AS value, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
+
+
+def _measured(spark, d) -> DataFrame:
+    k = F.col("l_suppkey") % 7
+    value = F.when(k == 6, F.lit(None)).when(k < 2, F.col("l_quantity").cast("double")).otherwise((F.col("l_partkey") * 7919 % 10007).cast("double") - 5000)
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(k.alias("kind"), value.alias("value"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(f"WITH {MEASURED} SELECT kind, quantile_cont(value, 0.5) AS median FROM measured WHERE value IS NOT NULL GROUP BY kind")
+def median_by_kind(spark, d):
+    return order.medians(_measured(spark, d), ["kind"], "value")
+
+
+@query(f"WITH {MEASURED} SELECT kind, value, l_orderkey, l_linenumber, row_number() OVER (ORDER BY value DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank FROM measured")
+def rank_of_every_row(spark, d):
+    keys = [F.col("value").desc_nulls_last(), *(F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    return order.with_rank(_measured(spark, d), keys).select("kind", "value", "l_orderkey", "l_linenumber", "rank")
+
+
 # languages
 
 

@@ -7,17 +7,26 @@ are counted for each stretch of a report that a task read, and the stretches' ru
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Hits are unsigned 64-bit numbers; sums stop at the largest.
 MOST_HITS = (1 << 64) - 1
+MOST_LINE = (1 << 63) - 1
 DECIMAL = "decimal(20,0)"
 LINE_NO = r"\+?0*[1-9][0-9]{0,18}"
 NUMBER = r"\+?[0-9]+"
-U32 = r"\+?0*[0-9]{1,10}"
+_LINE = r"\+?0*(?P<line>[1-9][0-9]{0,18})"
+_U32 = r"\+?0*(?P<{}>[0-9]{{1,10}})"
+_HITS = r"\+?0*(?P<hits>[0-9]{1,20})"
 
 
 @dataclass(frozen=True)
@@ -50,11 +59,6 @@ def blocks_of(texts: DataFrame) -> DataFrame:
     return parts.where("pos > 0 OR block <> ''").select("report", place, block.alias("block"), (F.col("pos") == 0).alias("leads"))
 
 
-def _u64(text: Column) -> Column:
-    value = F.when(text.rlike(f"^{NUMBER}$"), F.regexp_replace(F.regexp_replace(text, r"^\+", ""), "^0+(?=.)", ""))
-    return F.when(F.length(value) <= 20, value.try_cast("decimal(38,0)"))
-
-
 def parse_blocks(blocks: DataFrame, path_of=None) -> Coverage:
     """Coverage from blocks. path_of: a column function that turns a report's path into the functions' path.
 
@@ -62,41 +66,122 @@ def parse_blocks(blocks: DataFrame, path_of=None) -> Coverage:
     before the first file go silently; a file without a name gives a diagnostic and its records go. Malformed records
     give a diagnostic and the rest counts. Hits of one line, in any number of blocks, add up; so do branches, where null
     (never evaluated) adds nothing.
+
+    Batches of blocks are parsed as a whole, each kind of record by itself and only if something reads it. A file's block
+    is one row, so it must fit in a task's memory.
     """
-    line_list = F.split("block", "\n", -1)
-    numbered = blocks.withColumn("texts", line_list)
-    named = numbered.where("NOT leads").withColumn("source", F.regexp_replace(F.get("texts", F.lit(0)), "\r$", ""))
-    empty = named.where("source = ''").select("report", "place", F.lit("EmptySourceFile").alias("kind"), F.lit(1).alias("nth"), F.lit(None).cast("string").alias("content"))
+    ship(blocks.sparkSession)
+    named = blocks.where("NOT leads")
     path = path_of(F.col("source")) if path_of else F.col("source")
-    records = named.where("source <> ''").select("report", "place", path.alias("file_path"), F.posexplode("texts").alias("pos", "raw")).where("pos > 0")
-    records = records.select("report", "place", "file_path", (F.col("pos") + 1).alias("nth"), F.regexp_replace("raw", "\r$", "").alias("raw")).where("raw LIKE 'DA:%' OR raw LIKE 'BRDA:%'")
-    is_da = F.col("raw").startswith("DA:")
-    fields = F.when(is_da, F.split(F.substring(F.col("raw"), 4, 1 << 30), ",", -1)).otherwise(F.split(F.substring(F.col("raw"), 6, 1 << 30), ",", 4))
-    records = records.withColumns({"is_da": is_da, "f": fields})
-    get = lambda n: F.get("f", F.lit(n))
-    line = F.when(get(0).rlike(f"^{LINE_NO}$"), F.regexp_replace(get(0), r"^\+", "").try_cast("long"))
-    small = lambda c: F.when(c.rlike(f"^{U32}$"), F.regexp_replace(c, r"^\+", "").try_cast("long"))
-    limited = lambda c: F.when(c <= F.lit((1 << 32) - 1), c)
-    hits = _u64(get(1))
-    dash = get(3) == "-"
-    taken = F.when(~dash, _u64(get(3)))
-    fits = lambda c: c.isNotNull() & (c <= F.lit(str(MOST_HITS)).cast("decimal(38,0)"))
-    block, branch = limited(small(get(1))), limited(small(get(2)))
-    da_ok = line.isNotNull() & fits(hits)
-    brda_ok = (F.size("f") == 4) & line.isNotNull() & block.isNotNull() & branch.isNotNull() & (dash | fits(taken))
-    records = records.withColumn("ok", F.when(F.col("is_da"), da_ok).otherwise(brda_ok))
-    ok = F.coalesce("ok", F.lit(False))
-    bad = records.where(~ok).select("report", "place", F.lit("MalformedRecord").alias("kind"), "nth", F.col("raw").alias("content"))
-    cap = lambda c: F.when(c.isNotNull(), F.least(c, F.lit(str(MOST_HITS)).cast("decimal(38,0)"))).cast(DECIMAL)
-    lines = records.where(ok & F.col("is_da")).select("file_path", line.alias("line"), hits.alias("hits"))
-    lines = lines.groupBy("file_path", "line").agg(cap(F.sum("hits")).alias("hits"))
-    branches = records.where(ok & ~F.col("is_da")).select("file_path", line.alias("line"), block.alias("block"), branch.alias("branch"), taken.alias("taken"))
-    branches = branches.groupBy("file_path", "line", "block", "branch").agg(cap(F.sum("taken")).alias("taken"))
-    found = empty.unionByName(bad).join(line_bases(blocks), ["report", "place"])
+    total = lambda x: F.sum(f"{x}_high").cast("decimal(25,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.sum(f"{x}_low").cast("decimal(25,0)")
+    capped = lambda x: F.when(F.count(f"{x}_low") > 0, F.least(total(x), F.lit(str(MOST_HITS)).cast("decimal(38,0)"))).cast(DECIMAL)
+    lines = named.select("block").mapInArrow(_parsed(_line_columns), "source string, line long, hits_high long, hits_low long")
+    lines = lines.select(path.alias("file_path"), "line", "hits_high", "hits_low").groupBy("file_path", "line").agg(capped("hits").alias("hits"))
+    branches = named.select("block").mapInArrow(_parsed(_branch_columns), "source string, line long, block long, branch long, taken_high long, taken_low long")
+    branches = branches.withColumn("file_path", path).groupBy("file_path", "line", "block", "branch").agg(capped("taken").alias("taken"))
+    found = named.select("block", "report", "place.offset", "place.id").mapInArrow(_faults, "report string, offset long, id long, kind string, nth int, content string")
+    found = found.withColumn("place", F.struct("offset", "id")).join(line_bases(blocks), ["report", "place"])
     found = found.select("kind", (F.col("line_base") + F.col("nth")).alias("line_number"), "content")
     return Coverage(lines, branches, lines.select("file_path").distinct(), found)
 
 
+@dataclass(frozen=True)
+class _Lines:
+    """The lines of a batch's blocks: text, the block that each is of, its number there from 0; and the blocks' sources."""
+
+    text: pa.Array
+    block: np.ndarray
+    number: np.ndarray
+    source: pa.Array
+
+    def of(self, prefix: str) -> _Lines:
+        """Those with a prefix, of blocks that have a source."""
+        named = pc.not_equal(self.source, "").to_numpy(zero_copy_only=False)
+        some = pc.starts_with(self.text, prefix).to_numpy(zero_copy_only=False) & named[self.block] & (self.number > 0)
+        return _Lines(self.text.filter(pa.array(some)), self.block[some], self.number[some], self.source)
+
+
+def _lines_of(blocks: pa.Array) -> _Lines:
+    lists = pc.split_pattern(blocks, "\n")
+    text = lists.flatten()
+    if pc.any(pc.ends_with(text, "\r")).as_py():
+        text = pc.replace_substring_regex(text, "\r$", "")
+    starts = np.cumsum([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False)[:-1]]).astype(np.int64)
+    block = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    return _Lines(text, block, np.arange(len(text)) - starts[block], text.take(pa.array(starts)))
+
+
+def _number(digits: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers without leading zeros, and whether each is there and at most `most`."""
+    size, width = pc.binary_length(digits), len(str(most))
+    fits = pc.or_(pc.less(size, width), pc.and_(pc.equal(size, width), pc.less_equal(digits, str(most))))
+    fits = pc.fill_null(pc.and_(fits, pc.greater(size, 0)), False)
+    return pc.if_else(fits, digits, "0").cast(pa.uint64()).to_numpy(zero_copy_only=False), fits.to_numpy(zero_copy_only=False)
+
+
+def _da(lines: _Lines) -> tuple[_Lines, np.ndarray, list[np.ndarray]]:
+    """The DA records, whether each is well-formed, and line and hits."""
+    some = lines.of("DA:")
+    parts = pc.extract_regex(some.text, rf"^DA:{_LINE},{_HITS}(?:,.*)?$")
+    (line, line_ok), (hits, hits_ok) = _number(parts.field("line"), MOST_LINE), _number(parts.field("hits"), MOST_HITS)
+    return some, line_ok & hits_ok & parts.is_valid().to_numpy(zero_copy_only=False), [line, hits]
+
+
+def _brda(lines: _Lines) -> tuple[_Lines, np.ndarray, list[np.ndarray]]:
+    """The BRDA records, whether each is well-formed, and line, block, branch, taken and whether it was evaluated."""
+    some = lines.of("BRDA:")
+    parts = pc.extract_regex(some.text, rf"^BRDA:{_LINE},{_U32.format('block')},{_U32.format('branch')},(?:(?P<dash>-)|{_HITS})$")
+    numbers = [_number(parts.field(name), most) for name, most in (("line", MOST_LINE), ("block", (1 << 32) - 1), ("branch", (1 << 32) - 1), ("hits", MOST_HITS))]
+    dash = pc.fill_null(pc.equal(parts.field("dash"), "-"), False).to_numpy(zero_copy_only=False)
+    ok = numbers[0][1] & numbers[1][1] & numbers[2][1] & (numbers[3][1] | dash) & parts.is_valid().to_numpy(zero_copy_only=False)
+    return some, ok, [*(n for n, _ in numbers), ~dash]
+
+
+def _parsed(columns: Callable[[_Lines], dict[str, pa.Array]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                named = columns(_lines_of(batch.column(0)))
+                yield pa.RecordBatch.from_arrays(list(named.values()), list(named))
+
+    return parse
+
+
+def _halves(name: str, x: np.ndarray, there: np.ndarray | None = None) -> dict[str, pa.Array]:
+    """Sums of 64-bit numbers stay exact if their halves are added up."""
+    absent = None if there is None else ~there
+    return {f"{name}_high": pa.array((x >> np.uint64(32)).astype(np.int64), mask=absent), f"{name}_low": pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.int64), mask=absent)}
+
+
+def _line_columns(lines: _Lines) -> dict[str, pa.Array]:
+    some, ok, (line, hits) = _da(lines)
+    return {"source": some.source.take(pa.array(some.block[ok])), "line": pa.array(line[ok].astype(np.int64)), **_halves("hits", hits[ok])}
+
+
+def _branch_columns(lines: _Lines) -> dict[str, pa.Array]:
+    some, ok, (line, block, branch, taken, evaluated) = _brda(lines)
+    whole = {name: pa.array(x[ok].astype(np.int64)) for name, x in (("line", line), ("block", block), ("branch", branch))}
+    return {"source": some.source.take(pa.array(some.block[ok])), **whole, **_halves("taken", taken[ok], evaluated[ok])}
+
+
+def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Diagnostics of blocks (block, report, offset, id)."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        lines = _lines_of(batch.column(0))
+        nameless = np.flatnonzero(pc.equal(lines.source, "").to_numpy(zero_copy_only=False))
+        found = [(nameless, np.zeros(len(nameless), np.int64), pa.nulls(len(nameless), pa.string()), "EmptySourceFile")]
+        for some, ok, _ in (_da(lines), _brda(lines)):
+            found.append((some.block[~ok], some.number[~ok], some.text.filter(pa.array(~ok)), "MalformedRecord"))
+        for block, number, content, kind in found:
+            at = pa.array(block)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in (1, 2, 3)), pa.array([kind] * len(block), pa.string()), pa.array((number + 1).astype(np.int32)), content.cast(pa.string())],
+                ["report", "offset", "id", "kind", "nth", "content"],
+            )
+
+
 def line_bases(blocks: DataFrame) -> DataFrame:
     """report, place and line_base (the lines of a report before a block), by sums over stretches of a report that were read together."""
     stretch = [F.col("report"), F.col("place.offset").alias("offset")]
