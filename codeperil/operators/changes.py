@@ -25,9 +25,9 @@ def changed_functions(functions: DataFrame, changes: DataFrame) -> DataFrame:
     own = functions.where("start_line <= end_line").select("ordinal", "file_path", "start_line", "end_line")
     keys, place = ["file_path", "level", "node"], ["ordinal", "file_path"]
     begins = at_nodes(hunks, "start_line", own, "start_line", "end_line", ["file_path"]).distinct()
-    holding = own.select(*place, F.inline(nodes(F.col("start_line"), F.col("end_line")))).join(begins, keys, "left_semi")
+    holding = own.select(*place, F.inline(nodes(F.col("start_line"), F.col("end_line")))).join(begins.hint("merge"), keys, "left_semi")
     touched = hunks.select("file_path", F.inline(nodes(F.col("start_line"), F.col("end_line")))).distinct()
-    inside = at_nodes(own, "start_line", hunks, "start_line", "end_line", place).join(touched, keys, "left_semi")
+    inside = at_nodes(own, "start_line", hunks, "start_line", "end_line", place).join(touched.hint("merge"), keys, "left_semi")
     met = holding.select("ordinal").unionByName(inside.select("ordinal"))
     return functions.join(of_new.unionByName(met).distinct(), "ordinal", "left_semi").select(*functions.columns)
 

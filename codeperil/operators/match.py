@@ -17,7 +17,7 @@ def in_spans(functions: DataFrame, points: DataFrame) -> DataFrame:
     """
     spans = _span_nodes(functions)
     placed = at_nodes(points, "line", functions, "start_line", "end_line", points.columns)
-    return spans.join(placed, ["file_path", "level", "node"]).select("ordinal", *[c for c in points.columns if c != "file_path"])
+    return spans.join(placed.hint("merge"), ["file_path", "level", "node"]).select("ordinal", *[c for c in points.columns if c != "file_path"])
 
 
 def counts_in_spans(functions: DataFrame, points: DataFrame, counts: dict[str, Column]) -> DataFrame:
@@ -28,7 +28,8 @@ def counts_in_spans(functions: DataFrame, points: DataFrame, counts: dict[str, C
     """
     placed = at_nodes(points, "line", functions, "start_line", "end_line", points.columns)
     of_node = placed.groupBy("file_path", "level", "node").agg(*[c.alias(name) for name, c in counts.items()])
-    return _span_nodes(functions).join(of_node, ["file_path", "level", "node"]).groupBy("ordinal").agg(*[F.sum(name).alias(name) for name in counts])
+    # by shuffle at every size: the planner takes a span's nodes for one row
+    return _span_nodes(functions).join(of_node.hint("merge"), ["file_path", "level", "node"]).groupBy("ordinal").agg(*[F.sum(name).alias(name) for name in counts])
 
 
 def _span_nodes(functions: DataFrame) -> DataFrame:

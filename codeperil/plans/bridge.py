@@ -128,6 +128,39 @@ def lcov_reports(spark: SparkSession, sf_dir: str) -> str:
     return _reports[known]
 
 
+#: Suppliers whose rows make up an Istanbul report.
+REPORT_SUPPLIERS = 100
+
+
+def istanbul_reports(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of Istanbul reports, one for every REPORT_SUPPLIERS suppliers: an entry for each, with statements and branches from its rows of lineitem, every fifth branch without an entry in branchMap. Every second report is wrapped. Written once for each application."""
+    known = (spark.sparkContext.applicationId, f"istanbul {sf_dir}")
+    if known not in _reports or _reports[known] not in staging.made(spark):
+        rows = _table(spark, sf_dir, "lineitem").withColumn("id", F.monotonically_increasing_id().cast("string"))
+        loc = F.struct(F.struct((F.col("l_partkey") % 450 + 1).alias("line")).alias("start"))
+        hits = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long")
+        own = rows.groupBy("l_suppkey").agg(
+            F.map_from_entries(F.collect_list(F.struct("id", hits))).alias("s"),
+            F.map_from_entries(F.collect_list(F.struct("id", loc))).alias("statementMap"),
+            F.map_from_entries(F.collect_list(F.struct("id", F.array(hits, F.lit(0).cast("long"))))).alias("b"),
+            F.map_from_entries(F.collect_list(F.when(F.col("l_orderkey") % 5 != 0, F.struct(F.col("id"), F.struct(loc.alias("loc")))))).alias("branchMap"),
+        )
+        path = F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts"))
+        entry = F.concat(F.to_json(F.struct(path.alias("path"))), F.lit(": "), F.to_json(F.struct(path.alias("path"), "s", "statementMap", "b", "branchMap")))
+        entry = F.regexp_replace(entry, '^\\{"path":(.*?)\\}: ', "$1: ")  # the path as a key
+        number = F.expr(f"l_suppkey div {REPORT_SUPPLIERS}")
+        entries = own.select(number.alias("number"), F.col("l_suppkey").alias("at"), entry.alias("value"))
+        first = entries.groupBy("number").agg(F.min("at").alias("at")).withColumn("begins", F.lit(True))
+        entries = entries.join(first, ["number", "at"], "left").select("number", "at", F.when(F.col("begins"), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+        wrapped = F.col("number") % 2 == 1
+        opens = first.select("number", F.lit(-1).cast("long").alias("at"), F.when(wrapped, F.lit('{"coverage": {')).otherwise(F.lit("{")).alias("value"))
+        closes = first.select("number", F.lit((1 << 62)).cast("long").alias("at"), F.when(wrapped, F.lit("}}")).otherwise(F.lit("}")).alias("value"))
+        path = staging.new_path(spark, "istanbul")
+        entries.unionByName(opens).unionByName(closes).repartition("number").sortWithinPartitions("number", "at").select("value", "number").write.partitionBy("number").text(path)
+        _reports[known] = path
+    return _reports[known]
+
+
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed stretches, one for each order: of files 0 to 39; files 0, 10, 20 and 30 are new."""
     k = F.col("o_orderkey")

@@ -297,19 +297,7 @@ def lcov_files(spark, d):
 
 
 def _istanbul(spark, d) -> istanbul.Coverage:
-    """A report for each supplier: statements and branches from its rows of lineitem, every fifth branch without an entry."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("id", F.monotonically_increasing_id().cast("string"))
-    loc = F.struct(F.struct((F.col("l_partkey") % 450 + 1).alias("line")).alias("start"))
-    hits = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long")
-    own = rows.groupBy("l_suppkey").agg(
-        F.map_from_entries(F.collect_list(F.struct("id", hits))).alias("s"),
-        F.map_from_entries(F.collect_list(F.struct("id", loc))).alias("statementMap"),
-        F.map_from_entries(F.collect_list(F.struct("id", F.array(hits, F.lit(0).cast("long"))))).alias("b"),
-        F.map_from_entries(F.collect_list(F.when(F.col("l_orderkey") % 5 != 0, F.struct(F.col("id"), F.struct(loc.alias("loc")))))).alias("branchMap"),
-    )
-    path = F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts"))
-    text = F.to_json(F.create_map(path, F.struct(path.alias("path"), "s", "statementMap", "b", "branchMap")))
-    return istanbul.parse_reports(own.select(text.alias("text")))
+    return istanbul.read_istanbul(spark, bridge.istanbul_reports(spark, d))
 
 
 @query("SELECT 'src/s' || CAST(l_suppkey AS VARCHAR) || '.ts' AS file_path, l_partkey % 450 + 1 AS line, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END) AS hits FROM lineitem GROUP BY ALL")

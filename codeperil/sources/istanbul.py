@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from .jsonparts import Parts
 from .lcov import Coverage, longest_suffix_paths
 
 _LOC = "struct<start: struct<line: bigint>>"
@@ -14,27 +16,39 @@ WRAPPED = f"map<string, map<string, {ENTRY}>>"
 DIAGNOSTICS = "file_path string, kind string, message string"
 
 
+def _usable(m: Column) -> Column:
+    """Whether a map of entries has a path in each."""
+    return m.isNotNull() & F.forall(F.map_values(m), lambda e: e.isNotNull() & e["path"].isNotNull())
+
+
+def _unknown(keys: Column) -> list[Column]:
+    """The diagnostic of a report with these top-level keys (null: none can be told)."""
+    named = F.array_join(F.array_sort(keys), ", ")
+    received = F.coalesce(F.when(named == "", F.lit("{}")).otherwise(F.concat(F.lit("["), named, F.lit("]"))), F.lit("none"))
+    text = F.concat(F.lit("top-level shape not recognized as Istanbul; expected `{[path]: { path, s, statementMap, … }}`; received keys: "), received)
+    return [F.lit("").alias("file_path"), F.lit("SchemaUnrecognized").alias("kind"), text.alias("message")]
+
+
 def parse_reports(texts: DataFrame, discovered: DataFrame | None = None) -> Coverage:
-    """Coverage from a table of reports (text). discovered: file_path of the source files; report paths become the
+    """Coverage from a table of reports (text), small ones. discovered: file_path of the source files; report paths become the
     discovered path that is their longest suffix, and unresolved entries go with a diagnostic. Without it paths stay.
 
     A file's hits on a line are the smallest of the statements that begin there. An entry with only one of s and
     statementMap filled goes with a diagnostic; with both empty its file is present without lines. Arms of a branch
     without an entry in branchMap go with a diagnostic. An unrecognised report has no coverage but a diagnostic.
     """
-    flat, wrapped = F.from_json("text", FLAT), F.from_json("text", WRAPPED)
-    usable = lambda m: m.isNotNull() & F.forall(F.map_values(m), lambda e: e.isNotNull() & e["path"].isNotNull())
-    shaped = texts.select("text", flat.alias("flat"), wrapped.alias("wrapped"))
-    inner = F.when((F.size("wrapped") == 1), F.get(F.map_values("wrapped"), F.lit(0)))
-    entries = F.when(usable(F.col("flat")), F.col("flat")).when(usable(inner), inner)
-    shaped = shaped.withColumn("entries", entries)
-    keys = F.array_join(F.array_sort(F.json_object_keys("text")), ", ")
-    unknown = shaped.where("entries IS NULL").select(
-        F.lit("").alias("file_path"),
-        F.lit("SchemaUnrecognized").alias("kind"),
-        F.concat(F.lit("top-level shape not recognized as Istanbul; expected `{[path]: { path, s, statementMap, … }}`; received keys: "), F.coalesce(F.when(keys == "", F.lit("{}")).otherwise(F.concat(F.lit("["), keys, F.lit("]"))), F.lit("none"))).alias("message"),
-    )
-    rows = shaped.where("entries IS NOT NULL").select(F.explode("entries").alias("key", "e")).select("key", "e.*")
+    # each report is parsed as it lies; what isn't of that shape is looked at again under its only key
+    flat = texts.select("text", F.explode(F.array(F.from_json("text", FLAT))).alias("entries")).withColumn("usable", _usable(F.col("entries")))
+    others = flat.where("usable IS NULL OR NOT usable").select("text", F.explode(F.array(F.from_json("text", WRAPPED))).alias("wrapped"))
+    others = others.select("text", F.when(F.size("wrapped") == 1, F.get(F.map_values("wrapped"), F.lit(0))).alias("entries")).withColumn("usable", _usable(F.col("entries")))
+    entries = flat.where("usable").unionByName(others.where("usable"))
+    unknown = others.where("usable IS NULL OR NOT usable").select(*_unknown(F.json_object_keys("text")))
+    return coverage_of(entries.select(F.explode("entries").alias("key", "e")), unknown, discovered)
+
+
+def coverage_of(entries: DataFrame, unknown: DataFrame, discovered: DataFrame | None) -> Coverage:
+    """Coverage from entries (key, e) and the diagnostics of reports without any."""
+    rows = entries.select("key", "e.*")
     for c in ("s", "statementMap", "b", "branchMap"):
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.from_json(F.lit("{}"), rows.schema[c].dataType)))
     if discovered is not None:
@@ -62,10 +76,35 @@ def parse_reports(texts: DataFrame, discovered: DataFrame | None = None) -> Cove
 
 
 def read_istanbul(spark: SparkSession, path: str | list[str], discovered: DataFrame | None = None) -> Coverage:
-    return parse_reports(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")), discovered)
+    """parse_reports of files. A file may be larger than a task's memory; its entries are rows."""
+    parts = Parts(spark, path, "path")
+    shaped = {name: r.depth for name, r in parts.reports.items() if r.closed and r.depth in (1, 2)}
+    members = staged(parts.members(shaped), "entries").withColumn("one", F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), FLAT))
+    good = F.coalesce(_usable(F.col("one")), F.lit(False)) & (F.size("one") == 1)
+    bad = {r["report"] for r in members.where(~good).select("report").distinct().collect()}  # files, not entries
+    odd = sorted(n for n in parts.reports if n not in shaped or n in bad)
+    unknown = _unknown_reports(parts, odd) if odd else spark.createDataFrame([], DIAGNOSTICS)
+    fine = members.where(~F.col("report").isin(sorted(bad))) if bad else members
+    return coverage_of(fine.select(F.explode("one").alias("key", "e")), unknown, discovered)
+
+
+def _unknown_reports(parts: Parts, names: list[str]) -> DataFrame:
+    """Diagnostics of reports that aren't of either shape, but for objects without entries, bare or under one key."""
+    spark = parts.spark
+    tops = parts.members({n: 1 for n in names if parts.reports[n].closed})
+    own = F.json_object_keys(F.concat(F.lit("{"), F.col("text"), F.lit("}")))
+    tops = tops.groupBy("report").agg(F.flatten(F.collect_list(own)).alias("keys"), F.bool_and(F.col("text").rlike(r'^\s*"[^"]*"\s*:\s*\{\s*\}\s*$')).alias("void"))
+    bare = parts.rows.groupBy("report").agg(F.count_if(~F.col("text").rlike(r"^\s*\{\s*\}\s*$")).alias("other")).where("other = 0")
+    named = spark.createDataFrame([(n,) for n in names], "report string").join(tops, "report", "left").join(bare, "report", "left_anti")
+    return named.where("NOT (coalesce(void, false) AND size(keys) = 1)").select(*_unknown(F.col("keys")))
 
 
 def has_data(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether the report has a recognised shape and a filled statementMap."""
-    coverage = read_istanbul(spark, path)
-    return not coverage.lines.limit(1).isEmpty()
+    """Whether the report has a recognised shape and a filled statementMap.
+
+    A report without anything like a filled statementMap is turned down at that; else entries are parsed up to the first that has one.
+    """
+    texts = spark.read.option("lineSep", '"statementMap"').text(path)
+    if texts.where(F.col("value").rlike(r'^\s*:\s*\{\s*"')).limit(1).isEmpty():
+        return False
+    return not read_istanbul(spark, path).lines.limit(1).isEmpty()
