@@ -13,6 +13,7 @@ from ..operators import changes as ch
 from ..operators import diagnose, match, verdicts
 from ..sources import files, gitdiff, istanbul, lcov
 from ..sources.lcov import Coverage
+from ..sources.paths import resolved_paths
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,12 @@ class Analysis:
 
 
 def read_coverage(spark: SparkSession, options: Options, listed: Sequence[tuple[str, str]]) -> Coverage:
-    """The report with the functions' paths: the longest suffix of a report's path that is a source file's; Rust paths without one stay as they are."""
+    """The report with the functions' paths; Rust paths that lead to no source file stay as they are behind the root."""
     discovered = spark.createDataFrame([(k,) for k, _ in listed], "file_path string")
     if options.language == "typescript":
         return istanbul.read_istanbul(spark, options.coverage, discovered)
     coverage = lcov.read_lcov(spark, options.coverage)
-    paths = lcov.longest_suffix_paths(coverage.files.select(F.col("file_path").alias("source")), discovered)
+    paths = resolved_paths(coverage.files.select(F.col("file_path").alias("source")), discovered, [str(Path(r).resolve()) for r in options.roots]).drop("how")
 
     def renamed(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
         met = rows.withColumnRenamed("file_path", "source").join(paths, "source", "left").withColumn("file_path", F.coalesce("file_path", "source"))

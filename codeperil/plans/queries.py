@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import score
 from ..operators import changes, delta, diagnose, match, multilang, order, summary, verdicts, view
-from ..sources import files, gitdiff, istanbul, lcov
+from ..sources import files, gitdiff, istanbul, lcov, paths
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +296,43 @@ def lcov_files(spark, d):
     return _report(spark, d).files
 
 
+NAMED = """named AS (SELECT p_partkey AS k, CASE p_partkey % 9
+        WHEN 0 THEN '/w/repo/src/m' || p_partkey % 50 || '/f' || p_partkey % 300 || '.rs' WHEN 1 THEN 'm' || p_partkey % 50 || '//./f' || p_partkey % 300 || '.rs'
+        WHEN 2 THEN '/ci/build/src/m' || p_partkey % 50 || '/f' || p_partkey % 300 || '.rs' WHEN 3 THEN '/w/repo/src/../out/f' || p_partkey % 300 || '.rs'
+        WHEN 4 THEN 'C:\\w\\m' || p_partkey % 50 || '\\f' || p_partkey % 300 || '.rs' WHEN 5 THEN '../m' || p_partkey % 50 || '/f' || p_partkey % 300 || '.rs'
+        WHEN 6 THEN '/w/repo/src/x/f' || p_partkey % 300 || '.rs' WHEN 7 THEN '/w/repo/srcs/none' || p_partkey || '.rs' ELSE '/w/repo/src/gone/g' || p_partkey || '.rs' END AS source FROM part),
+    known AS (SELECT DISTINCT 'm' || p_partkey % 50 || '/f' || p_partkey % 300 || '.rs' AS file_path FROM part WHERE p_partkey % 4 <> 1 UNION SELECT DISTINCT 'f' || p_partkey % 300 || '.rs' FROM part WHERE p_partkey % 6 = 2)"""
+
+
+def _named(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Paths of reports in nine shapes, and the files that there are."""
+    k = F.col("p_partkey")
+    s = lambda *x: F.concat(*[y.cast("string") if isinstance(y, Column) else F.lit(y) for y in x])
+    m, f = k % 50, k % 300
+    shapes = [
+        s("/w/repo/src/m", m, "/f", f, ".rs"), s("m", m, "//./f", f, ".rs"), s("/ci/build/src/m", m, "/f", f, ".rs"), s("/w/repo/src/../out/f", f, ".rs"), s("C:\\w\\m", m, "\\f", f, ".rs"),
+        s("../m", m, "/f", f, ".rs"), s("/w/repo/src/x/f", f, ".rs"), s("/w/repo/srcs/none", k, ".rs"), s("/w/repo/src/gone/g", k, ".rs"),
+    ]
+    part = spark.read.parquet(f"{d}/part.parquet")
+    source = F.element_at(F.array(*shapes), (k % 9 + 1).cast("int"))
+    known = part.where(k % 4 != 1).select(s("m", m, "/f", f, ".rs").alias("file_path")).union(part.where(k % 6 == 2).select(s("f", f, ".rs")))
+    return part.select(source.alias("source")), known
+
+
+@query(
+    f"""WITH {NAMED}, p AS (SELECT DISTINCT source, replace(source, '\\', '/') AS fwd FROM named),
+    q AS (SELECT *, list_filter(string_split(fwd, '/'), lambda x: x <> '' AND x <> '.') AS parts FROM p),
+    r AS (SELECT *, starts_with(fwd, '/') AND parts[1:3] = ['w', 'repo', 'src'] AS under FROM q),
+    t AS (SELECT source, 0 AS turn, CASE WHEN under THEN parts[4:] ELSE parts END AS tail FROM r WHERE under OR NOT starts_with(fwd, '/')
+          UNION ALL SELECT source, i, parts[i:] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM r)),
+    best AS (SELECT source, arg_min(file_path, turn) AS file_path, min(turn) AS turn FROM (SELECT source, turn, array_to_string(tail, '/') AS file_path FROM t WHERE NOT list_contains(tail, '..')) JOIN known USING (file_path) GROUP BY source)
+    SELECT source, coalesce(file_path, CASE WHEN under THEN array_to_string(parts[4:], '/') ELSE fwd END) AS file_path, CASE WHEN turn IS NULL THEN 'fallback' WHEN turn = 0 THEN 'lexical' ELSE 'suffix' END AS how
+    FROM r LEFT JOIN best USING (source)"""
+)
+def lcov_paths(spark, d):
+    return paths.resolved_paths(*_named(spark, d), ["/w/repo/src"])
+
+
 def _istanbul(spark, d) -> istanbul.Coverage:
     return istanbul.read_istanbul(spark, bridge.istanbul_reports(spark, d))
 

@@ -79,13 +79,16 @@ def read_istanbul(spark: SparkSession, path: str | list[str], discovered: DataFr
     """parse_reports of files. A file may be larger than a task's memory; its entries are rows."""
     parts = Parts(spark, path, "path")
     shaped = {name: r.depth for name, r in parts.reports.items() if r.closed and r.depth in (1, 2)}
-    members = staged(parts.members(shaped), "entries").withColumn("one", F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), FLAT))
+    one = F.explode(F.array(F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), FLAT)))
+    members = parts.members(shaped).select("report", one.alias("one"))
     good = F.coalesce(_usable(F.col("one")), F.lit(False)) & (F.size("one") == 1)
-    bad = {r["report"] for r in members.where(~good).select("report").distinct().collect()}  # files, not entries
+    # parsed once; what reads lines takes only their columns from what is written
+    members = staged(members.select("report", good.alias("good"), F.get(F.map_keys("one"), F.lit(0)).alias("key"), F.get(F.map_values("one"), F.lit(0)).alias("e")), "entries")
+    bad = {r["report"] for r in members.where("NOT good").select("report").distinct().collect()}  # files, not entries
     odd = sorted(n for n in parts.reports if n not in shaped or n in bad)
     unknown = _unknown_reports(parts, odd) if odd else spark.createDataFrame([], DIAGNOSTICS)
     fine = members.where(~F.col("report").isin(sorted(bad))) if bad else members
-    return coverage_of(fine.select(F.explode("one").alias("key", "e")), unknown, discovered)
+    return coverage_of(fine.select("key", "e"), unknown, discovered)
 
 
 def _unknown_reports(parts: Parts, names: list[str]) -> DataFrame:
