@@ -14,9 +14,11 @@ import json
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -37,8 +39,8 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 
 _TABLE = str.maketrans({**HOMOGLYPHS, "­": None, "​": None, "‌": None, "‍": None, "﻿": None})
 _LEET_TABLE = str.maketrans(LEET)
-#: A word with a letter and, before its last letter, a digit or sign that may stand for a letter.
-_DISGUISED = re.compile(r"[^\W\d_]*[0134578 9@$!|+](?:[0134578 9@$!|+]|[^\W\d_])*".replace(" ", ""))
+#: A word with a letter and, before its last letter, a digit or sign that may stand for a letter. It begins where no letter stands before, so long words are looked at once.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0134578 9@$!|+](?:[0134578 9@$!|+]|[^\W\d_])*+".replace(" ", ""))
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,7 +112,9 @@ class Matcher:
                 spared.append((start, end))
             else:
                 best[start] = max(best.get(start, -math.inf), weight)
-        return sorted((s, w) for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return sorted((s, w) for s, w in best.items() if not (n := bisect_right(begins, s)) or s >= reach[n - 1])
 
     def measure(self, text: str) -> tuple[float, int]:
         """x of the curve, and the number of hits."""

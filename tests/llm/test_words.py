@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeperil.llm import language_codes, periodic_runs, queries, spelling
+from codeperil.llm import language_codes, periodic_runs, queries, spelling, toxicity
 from codeperil.llm.periodic_runs import Runs
 from codeperil.llm.spelling import Variants
 
@@ -309,3 +309,35 @@ def test_words_of_odd_texts(spark):
     assert rows == brute_variants(brute_counts(zip(ids, texts, strict=True)), Variants())
     assert any(r[0] == "éclairs" for r in rows) and any(r[0] == "Éclairs" for r in rows)
     assert variant_rows(spelling.spelling_variants(frame(spark, texts, ids=ids).where("false"))) == set()
+
+
+# 7
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "汉" * 500_000, "1" * 1_000_000, "@" * 1_000_000, "a1" * 500_000, "a2" * 500_000, "e4t " * 250_000, "ab1!" * 250_000, "é\u0301" * 300_000])
+def test_folding_takes_time_in_proportion(text):
+    began = time.time()
+    toxicity.fold(text)
+    assert time.time() - began < 5
+
+
+def test_disguises_are_found_as_before():
+    plain = re.compile(r"[^\W\d_]*[0134578 9@$!|+](?:[0134578 9@$!|+]|[^\W\d_])*".replace(" ", ""))
+    r = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab1 2!_é@汉.") for _ in range(r.randrange(14)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in toxicity._DISGUISED.finditer(text)], text
+
+
+def test_hits_with_many_exceptions():
+    lexicon = toxicity.Lexicon({"bad": 2.0, "worse*": 1.0}, ("not bad", "bad idea not", "so worsening"))
+    matcher = toxicity.Matcher(lexicon)
+    text = toxicity.fold("not bad bad idea not bad worse so worsening worst " * 20_000)
+    began = time.time()
+    found = matcher.hits(text)
+    assert time.time() - began < 5
+    few = toxicity.fold("not bad bad idea not bad worse so worsening worst " * 3)
+    spared = [(a, a + len(p) + 1) for p in lexicon.exceptions for a in [m.start() for m in re.finditer(f"(?= {p} )", few)]]
+    hits = sorted([(m.start(), 2.0) for m in re.finditer("(?= bad )", few)] + [(m.start(), 1.0) for m in re.finditer("(?= worse)", few)])
+    assert matcher.hits(few) == [(s, w) for s, w in hits if not any(a <= s < b for a, b in spared)]
+    assert len(found) == 20_000
