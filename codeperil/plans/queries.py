@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import score
 from ..operators import changes, delta, diagnose, match, multilang, order, summary, verdicts, view
-from ..sources import files, gitdiff, istanbul, lcov, paths
+from ..sinks import documents, plain
+from ..sinks.model import Comparison, Report
+from ..sources import envelope, files, gitdiff, istanbul, jsonparts, lcov, paths
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +596,57 @@ def remediation(spark, d):
 # rows of sinks
 
 
+def _written(spark, report: Report, kind: str) -> str:
+    path = staging.new_path(spark, kind)
+    documents.write_document(report, path, kind)
+    return path
+
+
+def _report_of(spark, d, **more) -> Report:
+    return Report(scored(spark, d), "tool", "1", "rust", **more)
+
+
+@query(verdicts_sql() + "SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, file_path, qualified_name, start_line, end_line, complexity, coverage_percent, crap, risk_level, threshold, exceeds, complexity - 1 AS n_contributors FROM verdicts")
+def json_document(spark, d):
+    """All functions, written as one JSON document and read back."""
+    back = envelope.read_envelope(spark, _written(spark, _report_of(spark, d), "json")).verdicts
+    return back.select("ordinal", "file_path", "qualified_name", "start_line", "end_line", "complexity", "coverage_percent", "crap", "risk_level", "threshold", "exceeds", F.size("contributors").cast("long").alias("n_contributors"))
+
+
+@query(verdicts_sql() + "SELECT row_number() OVER (ORDER BY ordinal) - 1 AS place, file_path AS uri, start_line, end_line, CASE risk_level WHEN 'high' THEN 'error' WHEN 'moderate' THEN 'warning' ELSE 'note' END AS level, file_path || ':' || qualified_name AS fingerprint FROM verdicts WHERE exceeds")
+def sarif_document(spark, d):
+    """The functions over their threshold, written as one SARIF document and read back."""
+    parts = jsonparts.Parts(spark, _written(spark, _report_of(spark, d), "sarif"), "ruleId", folder=True)
+    kind = "level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint, endLine: bigint>>>>, partialFingerprints struct<functionIdentity: string>"
+    results = parts.members(dict.fromkeys(parts.reports, 4)).where("inside = 'results'").select("place", F.from_json("text", kind).alias("v"))
+    at = F.col("v.locations")[0]["physicalLocation"]
+    rows = envelope.numbered(results)
+    return rows.select(F.col("ordinal").alias("place"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"), at["region"]["endLine"].alias("end_line"), "v.level", F.col("v.partialFingerprints.functionIdentity").alias("fingerprint"))
+
+
+def _csv_back(spark, report: Report, header: str) -> DataFrame:
+    names = header.split(",")
+    return spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(_written(spark, report, "csv")).where(F.col(names[0]) != names[0])
+
+
+@query(verdicts_sql() + "SELECT file_path AS file, qualified_name AS \"function\", CAST(start_line AS VARCHAR) AS start_line, CAST(complexity AS VARCHAR) AS complexity, format('{:.1f}', coverage_percent) AS coverage, format('{:.2f}', crap) AS score, risk_level, CASE WHEN exceeds THEN 'true' ELSE 'false' END AS over FROM verdicts WHERE exceeds")
+def csv_document(spark, d):
+    rows = _csv_back(spark, _report_of(spark, d, spec=view.ViewSpec(only_failing=True, sort="path")), plain.FUNCTION_HEADER)
+    return rows.select("file", "function", "start_line", "complexity", F.col("coverage_percent").alias("coverage"), F.col("crap_score").alias("score"), "risk_level", F.col("exceeds_threshold").alias("over"))
+
+
+@query(verdicts_sql() + f", {FILE_SQL} SELECT file_path AS file, CAST(functions AS VARCHAR) AS functions, CAST(exceeding AS VARCHAR) AS exceeding, format('{{:.2f}}', max_crap) AS max_crap, (SELECT arg_max(qualified_name, (crap, -ordinal)) FROM verdicts v WHERE v.file_path = files.file_path) AS worst_function, CAST(low_count AS VARCHAR) AS low FROM files")
+def csv_files(spark, d):
+    rows = _csv_back(spark, _report_of(spark, d, spec=view.ViewSpec(group_by_file=True)), plain.FILE_HEADER)
+    return rows.select("file", F.col("function_count").alias("functions"), F.col("exceeding_count").alias("exceeding"), "max_crap", "worst_function", F.col("distribution_low").alias("low"))
+
+
+@query(DELTA + "SELECT kind, file_path AS file, qualified_name AS \"function\", format('{:.2f}', baseline_crap) AS before, format('{:.2f}', current_crap) AS after, format('{:.2f}', score_delta) AS moved FROM sides")
+def csv_changes(spark, d):
+    rows = _csv_back(spark, _report_of(spark, d, comparison=Comparison(_changes(spark, d))), plain.DELTA_HEADER)
+    return rows.select(F.col("change_kind").alias("kind"), "file", "function", F.col("baseline_crap").alias("before"), F.col("current_crap").alias("after"), F.col("score_delta").alias("moved"))
+
+
 @query(verdicts_sql() + "SELECT file_path || ':' || qualified_name AS fingerprint, CASE risk_level WHEN 'high' THEN 'error' WHEN 'moderate' THEN 'warning' ELSE 'note' END AS level, start_line, end_line FROM verdicts WHERE exceeds")
 def sarif_rows(spark, d):
     rows = scored(spark, d).where("exceeds")

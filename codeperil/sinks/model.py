@@ -90,13 +90,19 @@ class Report:
     def shown(self) -> list[Row]:
         return self.shown_frame.collect()
 
+    @property
+    def grouped_frame(self) -> DataFrame:
+        """File summaries with each file's worst function, neither sorted nor cut."""
+        rows = view.filtered(self.verdicts, self.spec)
+        worst = rows.groupBy("file_path").agg(F.max(F.struct("crap", (-F.col("ordinal")).alias("o"), "file_path", "qualified_name", *SPAN, "risk_level")).alias("worst")).withColumn("worst_function", F.col("worst.qualified_name"))
+        return summary.file_summaries(rows).join(worst, "file_path")
+
     @cached_property
     def grouped(self) -> list[Row] | None:
         if not self.spec.group_by_file:
             return None
-        rows = view.filtered(self.verdicts, self.spec)
-        worst = rows.groupBy("file_path").agg(F.max(F.struct("crap", (-F.col("ordinal")).alias("o"), "file_path", "qualified_name", *SPAN, "risk_level")).alias("worst")).withColumn("worst_function", F.col("worst.qualified_name"))
-        return view.grouped(self.verdicts, self.spec).join(worst, "file_path").orderBy(*view.file_sort_keys(self.spec.sort)).collect()
+        rows = self.grouped_frame.orderBy(*view.file_sort_keys(self.spec.sort))
+        return (rows.limit(self.spec.limit) if self.spec.limit else rows).collect()
 
     @cached_property
     def view_counts(self) -> Row:

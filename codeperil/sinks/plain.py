@@ -24,23 +24,29 @@ def csv_field(text: str) -> str:
     return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\r\n') else text
 
 
+def change_line(c: Row | dict, metric: str) -> str:
+    side = lambda s: f"{s['complexity']},{s['coverage_percent']:.1f},{s['crap']:.2f}" if s is not None else ",,"
+    moved = "" if c["score_delta"] is None else f"{c['score_delta']:.2f}"
+    return f"{c['kind']},{csv_field(c['file_path'])},{csv_field(c['qualified_name'])},{side(c['baseline'])},{side(c['current'])},{moved},{metric}"
+
+
+def file_line(f: Row | dict, metric: str) -> str:
+    return ",".join([csv_field(f["file_path"]), str(f["functions"]), str(f["exceeding"]), f"{f['avg_crap']:.2f}", f"{f['max_crap']:.2f}", csv_field(f["worst_function"]), *(str(f[f"{x}_count"]) for x in ("low", "acceptable", "moderate", "high"))])
+
+
+def function_line(r: Row | dict, metric: str) -> str:
+    return ",".join([csv_field(r["file_path"]), csv_field(r["qualified_name"]), str(r["start_line"]), str(r["end_line"]), str(r["complexity"]), metric, f"{r['coverage_percent']:.1f}", f"{r['crap']:.2f}", r["risk_level"], str(r["exceeds"]).lower()])
+
+
 def to_csv(report: Report) -> str:
     """Changes if there is a comparison, else files if grouped, else functions."""
     if report.comparison is not None:
-        lines = [DELTA_HEADER]
-        for c in report.comparison.shown:
-            side = lambda s: f"{s['complexity']},{s['coverage_percent']:.1f},{s['crap']:.2f}" if s is not None else ",,"
-            moved = "" if c["score_delta"] is None else f"{c['score_delta']:.2f}"
-            lines.append(f"{c['kind']},{csv_field(c['file_path'])},{csv_field(c['qualified_name'])},{side(c['baseline'])},{side(c['current'])},{moved},{report.metric}")
+        head, line, rows = DELTA_HEADER, change_line, report.comparison.shown
     elif report.grouped is not None:
-        lines = [FILE_HEADER]
-        for f in report.grouped:
-            lines.append(",".join([csv_field(f["file_path"]), str(f["functions"]), str(f["exceeding"]), f"{f['avg_crap']:.2f}", f"{f['max_crap']:.2f}", csv_field(f["worst_function"]), *(str(f[f"{x}_count"]) for x in ("low", "acceptable", "moderate", "high"))]))
+        head, line, rows = FILE_HEADER, file_line, report.grouped
     else:
-        lines = [FUNCTION_HEADER]
-        for r in report.shown:
-            lines.append(",".join([csv_field(r["file_path"]), csv_field(r["qualified_name"]), str(r["start_line"]), str(r["end_line"]), str(r["complexity"]), report.metric, f"{r['coverage_percent']:.1f}", f"{r['crap']:.2f}", r["risk_level"], str(r["exceeds"]).lower()]))
-    return "\n".join(lines) + "\n"
+        head, line, rows = FUNCTION_HEADER, function_line, report.shown
+    return "\n".join([head, *(line(r, report.metric) for r in rows)]) + "\n"
 
 
 def finding(r: Row) -> str:
@@ -135,27 +141,31 @@ def diagnostic_json(r: Row) -> dict[str, Any] | None:
 
 
 def contributors_json(r: Row) -> list[dict[str, Any]]:
-    return [c.asDict() for c in (r["contributors"] or ())] if "contributors" in r else []
+    return [dict(c) if isinstance(c, dict) else c.asDict() for c in (r["contributors"] or ())] if "contributors" in r else []
+
+
+def sarif_result(r: Row | dict) -> dict[str, Any]:
+    region = {"startLine": r["start_line"], "endLine": r["end_line"]}
+    if r["start_column"] > 0 and r["end_column"] > 0:
+        region |= {"startColumn": r["start_column"], "endColumn": r["end_column"] + 1}
+    result: dict[str, Any] = {
+        "ruleId": "crap/threshold-exceeded",
+        "level": {"high": "error", "moderate": "warning"}.get(r["risk_level"], "note"),
+        "message": {"text": finding(r)},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file_path"]}, "region": region}}],
+        "partialFingerprints": {"functionIdentity": f"{r['file_path']}:{r['qualified_name']}"},
+    }
+    if (hint := diagnostic_json(r)) is not None:
+        result["properties"] = {"diagnostic": hint}
+    return result
 
 
 def to_sarif(report: Report, info_uri: str = "", help_uri: str = "") -> str:
     """SARIF 2.1.0 of all functions over their threshold, whatever the view."""
-    levels = {"high": "error", "moderate": "warning"}
-    results = []
-    for r in report.exceeding():
-        region = {"startLine": r["start_line"], "endLine": r["end_line"]}
-        if r["start_column"] > 0 and r["end_column"] > 0:
-            region |= {"startColumn": r["start_column"], "endColumn": r["end_column"] + 1}
-        result = {
-            "ruleId": "crap/threshold-exceeded",
-            "level": levels.get(r["risk_level"], "note"),
-            "message": {"text": finding(r)},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file_path"]}, "region": region}}],
-            "partialFingerprints": {"functionIdentity": f"{r['file_path']}:{r['qualified_name']}"},
-        }
-        if (hint := diagnostic_json(r)) is not None:
-            result["properties"] = {"diagnostic": hint}
-        results.append(result)
+    return json.dumps(sarif_log(report, [sarif_result(r) for r in report.exceeding()], info_uri, help_uri), ensure_ascii=False, indent=2)
+
+
+def sarif_log(report: Report, results: list, info_uri: str = "", help_uri: str = "") -> dict[str, Any]:
     rule = {
         "id": "crap/threshold-exceeded",
         "name": "ThresholdExceeded",
@@ -163,8 +173,7 @@ def to_sarif(report: Report, info_uri: str = "", help_uri: str = "") -> str:
         "fullDescription": {"text": "Functions whose CRAP score (complexity * complexity * (1 - coverage)^3 + complexity) exceeds the threshold are change-risk hot spots: cover them first, then extract sub-functions if complexity remains the driver."},
         "helpUri": help_uri,
     }
-    log = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": report.tool_name, "version": report.tool_version, "informationUri": info_uri, "rules": [rule]}}, "results": results}]}
-    return json.dumps(log, ensure_ascii=False, indent=2)
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": report.tool_name, "version": report.tool_version, "informationUri": info_uri, "rules": [rule]}}, "results": results}]}
 
 
 def verdict_json(r: Row) -> dict[str, Any]:
@@ -252,9 +261,8 @@ def delta_json(report: Report) -> dict[str, Any] | None:
     }
 
 
-def to_json(report: Report, minimal_view: bool = False) -> str:
-    """The whole result, its view and its comparison in one document; sources.envelope reads it."""
-    rows = report.verdicts if report.diagnostics is None else report.verdicts.join(report.diagnostics, "ordinal", "left")
+def document(report: Report, functions: list, minimal_view: bool = False) -> dict[str, Any]:
+    """The JSON document, with these functions."""
     out: dict[str, Any] = {
         "schema_version": 2,
         "tool_version": report.tool_version,
@@ -263,7 +271,7 @@ def to_json(report: Report, minimal_view: bool = False) -> str:
         "metric": report.metric,
         "threshold": report.threshold,
         "diff_ref": report.diff_ref,
-        "result": {"functions": [verdict_json(r) for r in rows.orderBy("ordinal").toLocalIterator()], "summary": summary_json(report.summary, report.worst), "passed": report.summary["passed"]},
+        "result": {"functions": functions, "summary": summary_json(report.summary, report.worst), "passed": report.summary["passed"]},
         "view": view_json(report, minimal_view),
     }
     if (compared := delta_json(report)) is not None:
@@ -274,7 +282,14 @@ def to_json(report: Report, minimal_view: bool = False) -> str:
         out["missing_coverage_policy"] = report.policy
     if report.comparison is not None and report.comparison.epsilon:
         out["epsilon"] = report.comparison.epsilon
-    return json.dumps(out, ensure_ascii=False, indent=2)
+    return out
+
+
+def to_json(report: Report, minimal_view: bool = False) -> str:
+    """The whole result, its view and its comparison in one document; sources.envelope reads it."""
+    rows = report.verdicts if report.diagnostics is None else report.verdicts.join(report.diagnostics, "ordinal", "left")
+    functions = [verdict_json(r) for r in rows.orderBy("ordinal").toLocalIterator()]
+    return json.dumps(document(report, functions, minimal_view), ensure_ascii=False, indent=2)
 
 
 def write_rows(report: Report, path: str, kind: str = "parquet") -> None:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ENVELOPE, SCHEMA_VERSIONS
+from ..schema import SCHEMA_VERSIONS, VERDICT
+from ..staging import staged
+from .jsonparts import Parts
 
 
 class EnvelopeError(ValueError):
@@ -34,26 +37,48 @@ class Envelope:
     tool_version: str | None
 
 
+#: How deep the functions of a document stand: its object, the result's, the array.
+DEPTH = 3
+
+
 def read_envelope(spark: SparkSession, path: str) -> Envelope:
-    """Reads one document. The view and the comparison that it may hold are left out: a baseline is its result."""
+    """Reads one document, a file or the folder that sinks.documents writes, of any size: functions are rows. The view and the comparison that it may hold are left out: a baseline is its result."""
     try:
-        rows = spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-        head = rows.drop("result").first()
+        parts = Parts(spark, path, "qualified_name", folder=True)
     except Exception as error:
         text = str(error)
         if "PATH_NOT_FOUND" in text:
             raise EnvelopeError("NotFound", f"no baseline at {path}") from error
         raise EnvelopeError("Parse", f"{path} is no result document: {text.splitlines()[0]}") from error
-    if head is None:
-        raise EnvelopeError("Parse", f"{path} is empty")
-    if head["schema_version"] not in SCHEMA_VERSIONS:
-        raise EnvelopeError("UnsupportedSchemaVersion", f"{path} has schema version {head['schema_version']}; known are {', '.join(map(str, SCHEMA_VERSIONS))}")
-    return Envelope(verdicts_of(rows), head["language"], head["metric"], head["threshold"], head["missing_coverage_policy"] or "pessimistic", head["epsilon"] or 0.0, head["tool_version"])
-
-
-def verdicts_of(rows: DataFrame) -> DataFrame:
-    """The verdicts of result documents, flat, with their place as ordinal."""
-    v = rows.select(F.posexplode("result.functions").alias("ordinal", "v"))
+    if len(parts.reports) != 1:
+        raise EnvelopeError("Parse", f"{path} is empty" if not parts.reports else f"{path} holds several documents")
+    ((name, document),) = parts.reports.items()
+    if not document.closed:
+        raise EnvelopeError("Parse", f"{path} is no result document: its braces don't close")
+    tops = sorted(parts.members({name: 1}, shallow=True).select("place", "text").collect())  # the document's own keys
+    try:
+        head = json.loads("{" + ",".join(r["text"] for r in tops) + "}")
+    except ValueError as error:
+        raise EnvelopeError("Parse", f"{path} is no result document: {error}") from error
+    if head.get("schema_version") not in SCHEMA_VERSIONS:
+        raise EnvelopeError("UnsupportedSchemaVersion", f"{path} has schema version {head.get('schema_version')}; known are {', '.join(map(str, SCHEMA_VERSIONS))}")
+    rows = parts.members({name: DEPTH}).where("inside = 'functions'").select("place", F.explode(F.array(F.from_json("text", VERDICT))).alias("v"))
+    rows = staged(rows, "functions")
+    if not rows.where("v IS NULL OR v.scored.identity IS NULL").isEmpty():
+        raise EnvelopeError("Parse", f"{path} is no result document: a function can't be read")
+    return Envelope(verdicts_of(numbered(rows)), head.get("language"), head.get("metric"), head.get("threshold"), head.get("missing_coverage_policy") or "pessimistic", head.get("epsilon") or 0.0, head.get("tool_version"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ordinal, their place from 0, by counts of the ranges before; a range's elements are numbered without gaps."""
+    counts = rows.groupBy("place.offset").agg(F.count(F.lit(1)).alias("n"), F.min("place.number").alias("first")).orderBy("offset").collect()  # a row for each range
+    before = [0, *accumulate(r["n"] for r in counts)]
+    bases = rows.sparkSession.createDataFrame([(r["offset"], b - r["first"]) for r, b in zip(counts, before, strict=False)], "offset long, base long")
+    return rows.withColumn("offset", F.col("place.offset")).join(bases, "offset").select((F.col("base") + F.col("place.number")).alias("ordinal"), "v")
+
+
+def verdicts_of(v: DataFrame) -> DataFrame:
+    """Verdicts (ordinal, v), flat."""
     s = "v.scored"
     span = lambda c: F.coalesce(F.col(f"{s}.identity.span.{c}"), F.lit(0)).cast("long").alias(c)
     return v.select(

@@ -9,6 +9,7 @@ at the commas between members, and the pieces of a member, which may lie in seve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,13 @@ from ..staging import staged
 
 #: How a range may begin: outside strings, in one, in one behind a backslash.
 OUTSIDE, INSIDE, ESCAPED = range(3)
-_QUOTE, _BACKSLASH, _COMMA, _OPEN, _CLOSE = b'"\\,{}'
+_QUOTE, _BACKSLASH, _COMMA = b'"\\,'
 _STEP = np.zeros(256, np.int8)
 _STEP[list(b"{[")] = 1
 _STEP[list(b"}]")] = -1
+#: Bits of an offset; above them stands the number of the part, where a folder is one file.
+_FILE_BITS = 40
+_NAME = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 
 
 @dataclass(frozen=True)
@@ -62,13 +66,18 @@ class Report:
 
 
 class Parts:
-    """The members of the JSON objects in files. word: a key that each member has."""
+    """The members of the JSON objects in files. word: a key that each member has. folder: the files of a folder, part-00000 and so on, are one."""
 
-    def __init__(self, spark: SparkSession, path: str | list[str], word: str):
+    def __init__(self, spark: SparkSession, path: str | list[str], word: str, folder: bool = False):
         self.spark, self.token = spark, f'"{word}"'
         ship(spark)
         rows = spark.read.option("lineSep", self.token).text(path)
-        self.rows = rows.select(F.col("_metadata.file_path").alias("report"), F.col("_metadata.file_block_start").alias("offset"), F.col("value").alias("text"))
+        report, offset = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        if folder:
+            report = F.regexp_replace(report, "/[^/]*$", "")
+            part = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1)
+            offset = offset + F.coalesce(part.try_cast("long"), F.lit(0)) * (1 << _FILE_BITS)
+        self.rows = rows.select(report.alias("report"), offset.alias("offset"), F.col("value").alias("text"))
         ranges = self.rows.mapInArrow(_summaries(self.token), "report string, offset long, opens boolean, ends array<int>, rises array<long>, keys array<long>").collect()  # a row for each range
         by_report: dict[str, list] = {}
         for r in sorted(ranges, key=lambda r: (r["report"], r["offset"])):
@@ -85,20 +94,27 @@ class Parts:
                 state, depth = r["ends"][state], depth + r["rises"][state]
             self.reports[report] = Report(min(keys, default=1) - 1, some[0]["opens"] and (state, depth) == (OUTSIDE, 0))
 
-    def members(self, depth_of: dict[str, int]) -> DataFrame:
-        """report, place (offset of a range, number in it) and text (a key, a colon and its value) of the members at the depth that is named for each report; number -1: a comma further up, between the objects around."""
+    def members(self, depth_of: dict[str, int], shallow: bool = False) -> DataFrame:
+        """Members at the depth that is named for each report: report, place (offset of a range, number in it), text (a key, a colon and its value, or an array's element) and inside (the key of the object or array around).
+
+        Number -1 stands for a comma further up, between the objects around. shallow: 0 stands for each object or array in
+        a member.
+        """
         held = self.spark.sparkContext.broadcast({key: (*begin, depth_of[key[0]]) for key, begin in self.begins.items() if key[0] in depth_of})
-        pieces = staged(self.rows.mapInArrow(_pieces(self.token, held), "report string, offset long, number long, nth long, text string"), "pieces")
-        last = {(r["report"], r["offset"]): r["n"] for r in pieces.where("number > 0").groupBy("report", "offset").agg(F.max("number").alias("n")).collect()}  # a row for each range
+        pieces = staged(self.rows.mapInArrow(_pieces(self.token, held, shallow), "report string, offset long, number long, nth long, text string, inside string"), "pieces")
+        named = F.max(F.when(F.col("inside").isNotNull(), F.struct("number", "inside")))["inside"]
+        last = {(r["report"], r["offset"]): r for r in pieces.where("number > 0").groupBy("report", "offset").agg(F.max("number").alias("n"), named.alias("inside")).collect()}  # a row for each range
         owners, before = [], {}
         for report, offset in sorted(held.value):
-            owners.append((report, offset, *before.get(report, (offset, 0))))
-            if (report, offset) in last:
-                before[report] = (offset, last[report, offset])
-        owner = self.spark.createDataFrame(owners, "report string, offset long, first long, n long")
+            first, number, inside = before.get(report, (offset, 0, None))
+            owners.append((report, offset, first, number, inside))
+            if (r := last.get((report, offset))) is not None:
+                before[report] = (offset, r["n"], inside if r["inside"] is None else r["inside"])
+        owner = self.spark.createDataFrame(owners, "report string, offset long, first long, n long, around string")
         placed = pieces.join(owner, ["report", "offset"]).withColumn("place", F.when(F.col("number") == 0, F.struct(F.col("first").alias("offset"), F.col("n").alias("number"))).otherwise(F.struct("offset", "number")))
         whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "nth", "text"))), lambda p: p["text"]), "")
-        return placed.groupBy("report", "place").agg(whole.alias("text")).where(~F.col("text").rlike("^\\s*$") | (F.col("place.number") < 0))
+        met = placed.groupBy("report", "place").agg(whole.alias("text"), F.max(F.when(F.col("number") >= 0, F.coalesce("inside", "around"))).alias("inside"))
+        return met.where(~F.col("text").rlike("^\\s*$") | (F.col("place.number") < 0))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], token: str) -> Iterator[tuple[tuple[str, int], bytes, bool]]:
@@ -106,7 +122,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], token: str) -> Iterator[tuple[tup
     now = None
     for batch in batches:
         for report, offset, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            head = offset == 0 and (report, offset) != now  # what stands before a file's first token
+            head = offset % (1 << _FILE_BITS) == 0 and (report, offset) != now  # what stands before a file's first token
             now = (report, offset)
             yield now, (text.as_py() if head else token + text.as_py()).encode(), not head
 
@@ -145,31 +161,39 @@ def _summaries(token: str):
     return work
 
 
-def _pieces(token: str, held):
+def _pieces(token: str, held, shallow: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, size = None, [], 0
         for place, text, _ in _ranges(batches, token):
             if place not in held.value:
                 continue
             if place != now:
-                now, number, nth = place, 0, 0
+                now, number, nth, inside = place, 0, 0, None
                 state, depth, at = held.value[place]
             data = np.frombuffer(text, np.uint8)
             m = marks(data, state, depth)
             comma = m.outside & (data == _COMMA)
-            opens, closes = m.outside & (data == _OPEN) & (m.depth == at), m.outside & (data == _CLOSE) & (m.depth == at - 1)
-            cut = np.flatnonzero((comma & (m.depth == at)) | opens | closes)
+            opens, closes = m.outside & (_STEP[data] > 0), m.outside & (_STEP[data] < 0)
+            cut = np.flatnonzero((comma & (m.depth == at)) | (opens & (m.depth == at)) | (closes & (m.depth == at - 1)))
             for _ in range(int((comma & (m.depth < at) & (m.depth > 0)).sum())):
-                out.append((*place, -1, nth, ""))
+                out.append((*place, -1, nth, "", None))
+            deep = opens & (m.depth == at + 1)
+            stays = (m.depth <= at) & ~(closes & (m.depth == at)) | deep if shallow else None
             a, within = 0, depth >= at
             for b in [*cut.tolist(), len(data)]:
                 if within and b > a:
-                    out.append((*place, number, nth, text[a:b].decode()))
+                    piece = text[a:b]
+                    if shallow:
+                        piece = np.where(deep[a:b], ord("0"), data[a:b])[stays[a:b]].astype(np.uint8).tobytes()
+                    out.append((*place, number, nth, piece.decode(), inside))
                     size += b - a
                 nth += 1
                 if b < len(data):
-                    within = data[b] != _CLOSE
+                    within = not closes[b]
                     number += int(within)
+                    if opens[b]:
+                        named = _NAME.search(text[max(0, b - 1000) : b])
+                        inside = named[1].decode() if named else ""
                     a = b + 1
             if len(data):
                 state, depth = m.state, int(m.depth[-1])
@@ -182,7 +206,7 @@ def _pieces(token: str, held):
     return work
 
 
-def _piece_batch(rows: list[tuple[str, int, int, int, str]]) -> pa.RecordBatch:
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["report", "offset", "number", "nth", "text"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["report", "offset", "number", "nth", "text", "inside"])
