@@ -141,6 +141,8 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
     """
     spark = counts.sparkSession
     folder, n_rounds = shared_path(spark, "runs"), 0
+    # a round's tables are small and its plans many: they are interpreted, else the driver keeps the compiled code of each
+    codegen = spark.conf.get("spark.sql.codegen.wholeStage")
 
     def put(state: DataFrame) -> DataFrame:
         state.write.parquet(f"{folder}/round={n_rounds}")
@@ -169,7 +171,11 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
         n_rounds += 1
         least = 1 << min(r["least"] for r in left).bit_length() - 1  # a round's code is compiled again if a number in it changes
         args = {"least": least, "shortest": (capacity >> octave + 1) + 1, "capacity": capacity, "fresh": new, "opened": opened}
-        state = put(spark.sql(ROUND, args, state=state))
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+        try:
+            state = put(spark.sql(ROUND, args, state=state))
+        finally:
+            spark.conf.set("spark.sql.codegen.wholeStage", codegen)
         opened += new
     spans = spark.read.schema(STATE).parquet(folder).where("side = 2")
     return spans.select(F.col("size").alias("length"), "lo", "hi", F.col("at").alias("first_seq"), "in_each", "place")
