@@ -37,6 +37,9 @@ PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 l
 SLOT_ROWS, SLOTS = 100_000, 4
 #: Tasks of a round: its tables have runs, not rows, so they stay small at any scale.
 ROUND_TASKS = 4
+#: The session of the rounds: their tables have the same few thousand rows at any scale, so there is nothing to plan anew
+#: between stages and nothing to gain by compiling; what the driver keeps and drops for each of many plans counts instead.
+ROUND_CONF = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": str(ROUND_TASKS), "spark.sql.maxPlanStringLength": "2000", "spark.sql.ui.explainMode": "simple"}
 #: side 0: n sequences, numbered from `at`, with the gap `size`; side 1: n open pieces of the length `size`, ranks from `at`;
 #: side 2: a span, ranks lo to hi of a length to sequences from `at` on, `in_each` to each, the first at `place`.
 STATE = "side int, size long, n long, at long, lo long, hi long, in_each long, place long"
@@ -141,10 +144,13 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
     """
     spark = counts.sparkSession
     folder, n_rounds = shared_path(spark, "runs"), 0
+    rounds = spark.newSession()
+    for name, value in ROUND_CONF.items():
+        rounds.conf.set(name, value)
 
     def put(state: DataFrame) -> DataFrame:
         state.write.parquet(f"{folder}/round={n_rounds}")
-        return spark.read.schema(STATE).parquet(f"{folder}/round={n_rounds}")
+        return rounds.read.schema(STATE).parquet(f"{folder}/round={n_rounds}")
 
     none = F.lit(None).cast("long")
     state = put(counts.select(F.lit(1).alias("side"), F.col("length").alias("size"), "n", F.lit(0).cast("long").alias("at"), *[none.alias(c) for c in ("lo", "hi", "in_each", "place")]).coalesce(1))
@@ -167,9 +173,9 @@ def spans_of(counts: DataFrame, capacity: int) -> DataFrame:
             new = -(-sum(r["volume"] for r in open_) // capacity)
             octave += not new
         n_rounds += 1
-        least = 1 << min(r["least"] for r in left).bit_length() - 1  # a round's code is compiled again if a number in it changes
+        least = min(r["least"] for r in left)
         args = {"least": least, "shortest": (capacity >> octave + 1) + 1, "capacity": capacity, "fresh": new, "opened": opened}
-        state = put(spark.sql(ROUND, args, state=state))
+        state = put(rounds.sql(ROUND, args, state=state))
         opened += new
     spans = spark.read.schema(STATE).parquet(folder).where("side = 2")
     return spans.select(F.col("size").alias("length"), "lo", "hi", F.col("at").alias("first_seq"), "in_each", "place")
