@@ -1,9 +1,9 @@
 """Surrogates for personal data (DataFrame functions only).
 
 Entities are found by patterns, all of which are linear: what repeats without end is possessive, so a text of any length
-and alphabet is scanned once. Names are known by the title before them. Each entity consists of atoms (kind, canonical
-value): a number's digits whatever its punctuation, an e-mail address in lower case, the value behind "token =", the
-given name and the surname behind a title. The corpus's distinct atoms form one table, each with a keyed surrogate of
+and alphabet is scanned in linear time. Names are known by the titles before them and have up to 25 words, with initials
+and particles (which stay). Each entity consists of atoms (kind, canonical value): a number's digits whatever its
+punctuation, an e-mail address in lower case, the value behind "token =", each given name and the surname behind a title. The corpus's distinct atoms form one table, each with a keyed surrogate of
 its type: as long, of the same classes of characters and the same script, a card number with a valid check digit, an
 address with valid octets, a name with the gender that the title tells (titles like Dr. tell none). Equal atoms have
 equal surrogates everywhere (coreference). Two atoms of a kind never share one and none equals a real value of its kind:
@@ -11,7 +11,8 @@ those that would are drawn anew with the next attempt until none is left; where
 any more, a longer one is taken. Every distinct entity is rewritten once, and texts are rebuilt from the stretches
 between entities, so nothing is replaced twice.
 
-Texts are scanned once and written with what was found; only rows with entities are joined.
+Texts are scanned once and written with what was found; only rows with entities are joined, and cut by the patterns.
+An initial becomes the first letter of a drawn name, so different initials may share one; all other atoms stay distinct.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 from .common import hot_aware_join, written
 
 #: Patterns, in order of preference. Keys and secrets have no largest length; a secret may have full stops inside.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=\p{L}{2}|[\p{L}\p{N}-]++\.))++\p{L}{2,}+"
-SECRET = r"(?<![\p{L}\p{N}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Aa]ccess[ _-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{7,}(?<!\.)"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=\p{L}{2}|[\p{L}\p{N}-]++\.))++\p{L}{2,}+[\p{L}\p{N}]*+"
+TOKEN = r"(?<![\p{L}\p{N}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Aa]ccess[ _-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{7,}(?<!\.)"
+PASSWORD = r"(?<![\p{L}\p{N}])(?:[Pp]assword|PASSWORD|[Pp]asswd)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>,;]{4,}(?<![.:!?)\]}])"
+SECRET = f"{TOKEN}|{PASSWORD}"
 HEX_KEY = r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])"
-CLOUD_KEY = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])"
+CLOUD_KEY = r"(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35,}+|sk-(?:(?:proj|svcacct|admin|ant|live|test)[_-][A-Za-z0-9_-]{20,}+|[A-Za-z0-9]{20,}+))"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
+#: Eight groups, or fewer around a double colon with a digit somewhere.
+IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}|(?<![\d./-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5})(?!\d)"
@@ -36,8 +41,14 @@ FEMALE = r"Mrs|MRS|Ms|MS|Miss|Frau|FRAU|Madame|Mme|Mademoiselle|Señora|Señorit
 NEUTRAL = r"Dr|DR|Prof|PROF|Доктор|Профессор|Δρ"
 #: A capital and letters, with apostrophes and hyphens inside.
 NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?=\p{L}))++"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {NAME}(?: {NAME})?"
-PATTERNS = {"email": EMAIL, "secret": SECRET, "key": f"{HEX_KEY}|{CLOUD_KEY}", "ip": IP, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
+#: What has more capitalised words behind a title isn't a name as a whole.
+MOST_WORDS = 25
+#: What stands between a name's words and stays, and initials.
+PARTICLES = "von|van|vom|zu|zur|zum|der|den|de|del|della|di|da|du|des|dos|das|la|le|el|al|bin|ibn|ter|ten|af|av"
+BEFORE = rf"(?:(?:{PARTICLES}|(?:\p{{Lu}}\.)++) ){{0,6}}+"
+TITLES = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ){{1,3}}+"
+PERSON = rf"(?<![\p{{L}}\p{{N}}]){TITLES}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,{MOST_WORDS - 1}}}+"
+PATTERNS = {"email": EMAIL, "secret": SECRET, "key": f"{HEX_KEY}|{CLOUD_KEY}", "ip": IP, "ip6": IP6, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity contains: a cheap test before ANY.
 HINT = rf"[0-9@=:]|{MALE}|{FEMALE}|{NEUTRAL}"
@@ -77,7 +88,30 @@ def secret_prefix(match: Column) -> Column:
 
 
 def _gender(match: Column) -> Column:
-    return F.when(match.rlike(rf"^(?:{FEMALE})\.? "), F.lit("f")).when(match.rlike(rf"^(?:{NEUTRAL})\.? "), F.lit("n")).otherwise(F.lit("m"))
+    """By the first title that tells it."""
+    told = rf"^(?:(?:{NEUTRAL})\.? ){{0,2}}(?:%s)\.? "
+    return F.when(match.rlike(told % FEMALE), F.lit("f")).when(match.rlike(told % MALE), F.lit("m")).otherwise(F.lit("n"))
+
+
+def _names(match: Column) -> Column:
+    """The words behind the titles."""
+    return F.split(F.regexp_replace(match, f"^{TITLES}", ""), " ")
+
+
+def _each_name(match: Column, do) -> Column:
+    """do(word, whether it is the last, gender) for each word behind the titles; these are worked out once."""
+    bound = F.array(F.struct(_names(match).alias("words"), _gender(match).alias("gender")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["words"], lambda w, i: do(w, i == F.size(b["words"]) - 1, b["gender"]))), F.lit(0))
+
+
+def _named(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}")
+
+
+def _name_kind(word: Column, last: Column, gender: Column) -> Column:
+    """The last word is the surname; Latin surnames are the same for all."""
+    script = _script(F.lower(word))
+    return F.when(last, F.concat(F.lit("surname_"), script, F.lit("_"), F.when(script == "latin", F.lit("m")).otherwise(gender))).otherwise(F.concat(F.lit("given_"), script, F.lit("_"), gender))
 
 
 def _script(value: Column) -> Column:
@@ -90,15 +124,11 @@ def atoms_of(match: Column, kind: Column) -> Column:
     def one(k: Column, value: Column) -> Column:
         return F.array(F.struct(k.alias("kind"), value.alias("value")))
 
-    names = F.split(F.regexp_replace(match, r"^\S+ ", ""), " ")
-    gender = _gender(match)
-    surname, given = F.lower(F.element_at(names, -1)), F.lower(F.get(names, F.lit(0)))
-    surname_kind = F.concat(F.lit("surname_"), _script(surname), F.when(_script(surname) == "latin", F.lit("_m")).otherwise(F.concat(F.lit("_"), gender)))
-    given_kind = F.concat(F.lit("given_"), _script(given), F.lit("_"), gender)
-    person = F.when(F.size(names) > 1, F.concat(one(given_kind, given), one(surname_kind, surname))).otherwise(one(surname_kind, surname))
+    words = _each_name(match, lambda w, last, gender: F.struct(_name_kind(w, last, gender).alias("kind"), F.lower(w).alias("value"), _named(w).alias("own")))
+    person = F.transform(F.filter(words, lambda w: w["own"]), lambda w: F.struct(w["kind"].alias("kind"), w["value"].alias("value")))
     return (
         F.when(kind == "person", person)
-        .when(kind == "email", one(kind, F.lower(match)))
+        .when(kind.isin("email", "ip6"), one(kind, F.lower(match)))
         .when(kind == "secret", one(F.lit("key"), F.regexp_replace(match, r"^[^=:]*[=:]\s*[\"']?", "")))
         .when(kind.isin("phone", "card", "ssn", "iban"), one(kind, F.regexp_replace(match, r"[^\p{L}\p{N}]", "")))
         .otherwise(one(kind, match))
@@ -154,11 +184,12 @@ def surrogate_of(kind: Column, value: Column, stream: Column, attempt: Column) -
     email = F.concat(_mapped(local, stream, F.lit(0)), F.lit("@"), label, F.lit(".example.com"))
     octet = [F.get(stream, F.lit(n)) for n in range(4)]
     ip = F.concat_ws(".", (octet[0] % 223 + 1).cast("string"), octet[1].cast("string"), octet[2].cast("string"), (octet[3] % 254 + 1).cast("string"))
+    ip6 = F.concat(F.lit("2001:db8"), *[p for n in range(24) for p in ([F.lit(":")] if n % 4 == 0 else []) + [_pick(HEX, F.get(stream, F.lit(n)))]])
     body = _mapped(value.substr(F.lit(1), F.length(value) - 1), stream, F.lit(1))
     card = F.concat(body, _luhn(body))
     first = F.when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
     named = kind.startswith("given_") | kind.startswith("surname_")
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(named, _name(kind, stream, attempt)).otherwise(_mapped(value, stream, first))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card).when(named, _name(kind, stream, attempt)).otherwise(_mapped(value, stream, first))
     # no value of this length is free: two digits more for every ten attempts
     more = F.array_join(F.transform(F.slice(stream, 1, F.greatest(F.lit(0), F.ceil((attempt - MOST_ATTEMPTS) / 5)).cast("int")), lambda b: (b % 10).cast("string")), "")
     return F.when((attempt > MOST_ATTEMPTS) & ~named, F.concat(out, more)).otherwise(out)
@@ -205,10 +236,14 @@ def _placed(match: Column, core: Column) -> Column:
 def replacement(match: Column, kind: Column, known: Column) -> Column:
     """An entity's replacement; known: map of kind and value, with a zero byte between, to surrogate. A name in capitals stays so."""
     cores = F.transform(atoms_of(match, kind), lambda a: F.element_at(known, F.concat(a["kind"], F.lit("\x00"), a["value"])))
-    names = F.split(F.regexp_replace(match, r"^\S+ ", ""), " ")
-    shown = F.transform(cores, lambda c, i: F.when(F.get(names, i) == F.upper(F.get(names, i)), F.upper(c)).otherwise(c))
+
+    def shown(w: Column, last: Column, gender: Column) -> Column:
+        core = F.element_at(known, F.concat(_name_kind(w, last, gender), F.lit("\x00"), F.lower(w)))
+        initials = F.regexp_replace(w, r"\p{Lu}", F.substring(core, 1, 1))
+        return F.when(~_named(w), w).when(w.endswith("."), initials).when(w == F.upper(w), F.upper(core)).otherwise(core)
+
     return (
-        F.when(kind == "person", F.concat_ws(" ", F.substring_index(match, " ", 1), F.array_join(shown, " ")))
+        F.when(kind == "person", F.concat(F.regexp_extract(match, f"^{TITLES}", 0), F.array_join(_each_name(match, shown), " ")))
         .when(kind == "secret", F.concat(secret_prefix(match), F.get(cores, F.lit(0))))
         .when(kind.isin("phone", "card", "ssn", "iban"), _placed(match, F.get(cores, F.lit(0))))
         .otherwise(F.get(cores, F.lit(0)))

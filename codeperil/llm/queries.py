@@ -65,8 +65,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The setting with the key of the surrogates. Where it is unset, a key that all know: for tests only.
+SURROGATE_KEY, TEST_KEY = "spark.codeperil.surrogateKey", "corpus-key"
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"), key="corpus-key").select("doc_id", "text", "n_entities")
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key=spark.conf.get(SURROGATE_KEY, TEST_KEY)).select("doc_id", "text", "n_entities")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -600,10 +600,10 @@ def test_surrogates_stay_distinct(spark):
 
 MEGABYTE = {
     "email": ["x@" + "a." * 500_000, "a." * 500_000 + "@b.cc", "a@" * 500_000, "x@" + "a-" * 500_000, "é" * 500_000 + "@b.org"],
-    "secret": ["token=" + "." * 1_000_000, "token=" * 160_000, "token = " + "a." * 500_000, "password:   " + "x/" * 500_000],
-    "key": ["0f" * 500_000, "sk-" + "A9" * 500_000, "sk-" * 330_000, "AKIA" * 250_000],
+    "secret": ["token=" + "." * 1_000_000, "token=" * 160_000, "token = " + "a." * 500_000, "password:   " + "x/" * 500_000, "password=" * 110_000, "password:" + ":" * 1_000_000],
+    "key": ["0f" * 500_000, "sk-" + "A9" * 500_000, "sk-" * 330_000, "AKIA" * 250_000, "1:" * 500_000, "::" * 500_000, "a::" * 330_000, "github_pat_" * 90_000],
     "number": ["1." * 500_000, "1-" * 500_000, "+1 " * 330_000, "12 " * 330_000, "9" * 1_000_000, "DE12 3456 " * 100_000, "(017) " * 160_000, "1234-" * 200_000],
-    "person": ["Mr. " + "A'b" * 330_000, "Mr. A-" * 160_000, "Mr " * 330_000, "Dr. " + "Aa" * 500_000 + " " + "Ab" * 500_000],
+    "person": ["Mr. " + "A'b" * 330_000, "Mr. A-" * 160_000, "Mr " * 330_000, "Dr. " + "Aa" * 500_000 + " " + "Ab" * 500_000, "Dr. " + "Ab " * 330_000, "Mr. A. von " * 90_000, "Mr. " + "A." * 500_000],
     "blank": [" " * 1_000_000, "\n" * 1_000_000, "token" + " " * 1_000_000 + "= abcdefgh1"],
 }
 
@@ -631,6 +631,35 @@ def test_names_with_marks_inside_and_other_titles(spark):
         assert re.fullmatch(want, got[n]) and (got[n] != text or "d'Arc" in text), got[n]
 
 
+def test_whole_names_open_keys_and_boundaries(spark):
+    r = random.Random(5)
+    some = lambda n, alphabet="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(alphabet) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    # text, parts that may not stay, pattern of the whole result
+    cases = [
+        ("met Mr. John Paul Smith today", ["John", "Paul", "Smith"], r"met Mr\. \w+rin \w+rin \w+ner today"),
+        ("met Dr. Anna Maria von Berg today", ["Anna", "Maria", "Berg"], r"met Dr\. \w+kim \w+kim von \w+ner today"),
+        ("met Herr Prof. Dr. Jan van der Meer, then", ["Jan", "Meer"], r"met Herr Prof\. Dr\. \w+rin van der \w+ner, then"),
+        ("met Mrs. J. K. Lowell today", ["Lowell"], r"met Mrs\. [A-Z]\. [A-Z]\. \w+ner today"),
+        ("met Frau Dr. Lena Marie Sophie Kurz today", ["Lena", "Marie", "Sophie", "Kurz"], r"met Frau Dr\. (\w+lia ){3}\w+ner today"),
+        ("mail bob@x.co1 now", ["bob", "co1"], r"mail \w{3}@\w+\.example\.com now"),
+        ("password: hun2!x now", ["hun2"], r"password: \w{3}\d!\w now"),
+        ("ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now", ["85a3", "7334"], r"ip 2001:db8(:[0-9a-f]{4}){6} now"),
+        ("ip fe80::1ff:fe23:4567:890a now", ["fe80", "890a"], r"ip 2001:db8(:[0-9a-f]{4}){6} now"),
+        ("std::move at 10:30:15 and a::b stay", [], r"std::move at 10:30:15 and a::b stay"),
+    ]
+    for prefix, n, alphabet in [("AKIA", 16, upper), ("AKIA", 20, upper), ("ASIA", 16, upper), ("ghp_", 36, None), ("ghs_", 90, None), ("github_pat_", 82, None), ("sk-proj-", 60, None), ("glpat-", 20, None), ("AIza", 35, None)]:
+        key = some(n, alphabet) if alphabet else some(n)
+        cases.append((f"use {prefix}{key}. Then", [key[a : a + 12] for a in range(len(key) - 11)], r"use \S{%d}\. Then" % len(prefix + key)))
+    cases.append((f"use ghp_{'a1' * 18}é now", ["a1a1a1"], r"use \S{40}é now"))
+    got = {x["doc_id"]: x for x in pii.replace_entities(frame(spark, [c[0] for c in cases]), key="k").collect()}
+    for n, (text, parts, want) in enumerate(cases):
+        new = got[n]["text"]
+        assert re.fullmatch(want, new), (text, new)
+        assert not [p for p in parts if p in new], (text, new)
+        assert got[n]["n_entities"] == (new != text)
+
+
 def test_every_entity_is_rewritten_as_one_by_one(spark):
     """Planted entities among words: the text between stays, equal ones have equal surrogates, different ones different."""
     r = random.Random(3)
