@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeperil.llm import exact_dedup, near_dup, packing, pii, quality
 from codeperil.llm.common import made, remove, written
-from codeperil.llm.queries import table, vocabulary
+from codeperil.llm.queries import SURROGATE_KEY, TEST_KEY, table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; n_chars follows the text."""
-    out = pii.replace_entities(docs, key="corpus-key").select(*docs.columns)
+    out = pii.replace_entities(docs, key=spark.conf.get(SURROGATE_KEY, TEST_KEY)).select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 
