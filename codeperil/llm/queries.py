@@ -151,9 +151,10 @@ ORACLE: dict[str, str] = {
         marked AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
         lab AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM h JOIN marked ON doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1) AS BIGINT) GROUP BY host),
         c AS (SELECT host, CAST(coalesce(n, 0) AS DOUBLE) AS n, CAST(coalesce(bad, 0) AS DOUBLE) AS bad, 
-                     CASE WHEN two THEN regexp_extract(host, '[^.]*[.][^.]*$') ELSE regexp_extract(host, '[^.]*$') END AS suffix,
-                     CASE WHEN two THEN regexp_extract(host, '([^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract(host, '([^.]*[.])?[^.]*$') END AS domain
-              FROM (SELECT DISTINCT host, regexp_matches(host, '(^|[.])(ac|co|com|edu|go|gob|gov|mil|ne|net|or|org)[.][a-z]{2}$') AS two FROM h) LEFT JOIN lab USING (host)),
+                     CASE WHEN address THEN '' WHEN two THEN regexp_extract(own, '[^.]*[.][^.]*$') ELSE regexp_extract(own, '[^.]*$') END AS suffix,
+                     CASE WHEN address THEN own WHEN two THEN regexp_extract(own, '([^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract(own, '([^.]*[.])?[^.]*$') END AS domain
+              FROM (SELECT *, regexp_matches(own, '^([0-9]{1,3}([.][0-9]{1,3}){3}|\\[.*\\])$') AS address, regexp_matches(own, '(^|[.])(ac|co|com|edu|go|gob|gov|mil|ne|net|or|org)[.][a-z]{2}$') AS two
+                    FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '[.]+$', '') AS own FROM h)) LEFT JOIN lab USING (host)),
         d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY suffix, domain),
         s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
         w AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS base FROM s),

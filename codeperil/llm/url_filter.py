@@ -65,19 +65,30 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return out
 
 
+#: An address: four numbers, or what stands in brackets.
+ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
+
+
+def registered(host: Column) -> Column:
+    """The host as a reputation knows it: without user part, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
 def _two_labels(host: Column, how: Reputation) -> Column:
     two = F.substring_index(host, ".", -2)
     return two.rlike(rf"^(?:{'|'.join(how.second_labels)})\.[a-z]{{2}}$") | two.isin(*how.suffixes)
 
 
 def suffix_of(host: Column, how: Reputation = Reputation()) -> Column:
-    """The last label, or the last two where domains are registered under two."""
-    return F.when(_two_labels(host, how), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    """The last label, or the last two where domains are registered under two; none for an address."""
+    own = registered(host)
+    return F.when(own.rlike(ADDRESS), F.lit("")).when(_two_labels(own, how), F.substring_index(own, ".", -2)).otherwise(F.substring_index(own, ".", -1))
 
 
 def domain_of(host: Column, how: Reputation = Reputation()) -> Column:
-    """The suffix and one label more."""
-    return F.when(_two_labels(host, how), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """The suffix and one label more; an address is its own domain."""
+    own = registered(host)
+    return F.when(own.rlike(ADDRESS), own).when(_two_labels(own, how), F.substring_index(own, ".", -3)).otherwise(F.substring_index(own, ".", -2))
 
 
 def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:

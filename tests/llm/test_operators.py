@@ -247,6 +247,23 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), outcomes, URL_RULES).count() == 0
 
 
+def test_registered_domains(spark):
+    cases = {
+        "example.com:8080": ("com", "example.com"),
+        "www.example.com.": ("com", "example.com"),
+        "me:pw@a.b.co.uk:1": ("co.uk", "b.co.uk"),
+        "10.0.0.1": ("", "10.0.0.1"),
+        "192.168.0.1:80": ("", "192.168.0.1"),
+        "[2001:db8::1]:443": ("", "[2001:db8::1]"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        ".": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = rows.select("host", url_filter.suffix_of(F.col("host")), url_filter.domain_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases
+
+
 # 5
 
 
