@@ -132,6 +132,14 @@ QUERIES = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 
+
+def _strength_sql(name: str, rows: str) -> str:
+    """A prior's strength at a level of op4: rows with n, bad and their parent's mean m."""
+    return f"""{name} AS (
+            SELECT CASE WHEN k < 2 THEN 1 WHEN v <= e OR more <= 0 THEN 1000 ELSE least(greatest(more / (v - e) - 1, 1), 1000) END AS {name}
+            FROM (SELECT count(*) AS k, sum(n * pow(bad / n - m, 2)) AS v, sum(m * (1 - m)) AS e, sum(m * (1 - m) * (n - 1)) AS more FROM {rows} WHERE n > 0))"""
+
+
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
         WITH n AS (
@@ -144,29 +152,26 @@ ORACLE: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM n
     """,
-    "op4_url_filter": """
+    "op4_url_filter": f"""
         WITH p AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
         q AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
         h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM q),
         marked AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-        lab AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM h JOIN marked ON doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1) AS BIGINT) GROUP BY host),
+        lab AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM h JOIN marked ON doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) GROUP BY host),
         c AS (SELECT host, CAST(coalesce(n, 0) AS DOUBLE) AS n, CAST(coalesce(bad, 0) AS DOUBLE) AS bad, 
                      CASE WHEN address THEN '' WHEN two THEN regexp_extract(own, '[^.]*[.][^.]*$') ELSE regexp_extract(own, '[^.]*$') END AS suffix,
                      CASE WHEN address THEN own WHEN two THEN regexp_extract(own, '([^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract(own, '([^.]*[.])?[^.]*$') END AS domain
-              FROM (SELECT *, regexp_matches(own, '^([0-9]{1,3}([.][0-9]{1,3}){3}|\\[.*\\])$') AS address, regexp_matches(own, '(^|[.])(ac|co|com|edu|go|gob|gov|mil|ne|net|or|org)[.][a-z]{2}$') AS two
+              FROM (SELECT *, regexp_matches(own, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\\[.*\\])$') AS address, regexp_matches(own, '(^|[.])(ac|co|com|edu|go|gob|gov|mil|ne|net|or|org)[.][a-z]{{2}}$') AS two
                     FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '[.]+$', '') AS own FROM h)) LEFT JOIN lab USING (host)),
         d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY suffix, domain),
         s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
         w AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS base FROM s),
-        spread AS (
-            SELECT level, count(*) AS k, sum(n) AS n, sum(n * pow(bad / n - base, 2)) AS v, any_value(base) AS base
-            FROM (SELECT 1 AS level, n, bad FROM s UNION ALL SELECT 2, n, bad FROM d UNION ALL SELECT 3, n, bad FROM c), w WHERE n > 0 GROUP BY level),
-        strength AS (
-            SELECT level, CASE WHEN k < 2 THEN 1 WHEN v <= base * (1 - base) * k THEN 1000 ELSE least(greatest(base * (1 - base) / ((v - base * (1 - base) * k) / n) - 1, 1), 1000) END AS z FROM spread),
-        z AS (SELECT coalesce(max(CASE WHEN level = 1 THEN z END), 1) AS z1, coalesce(max(CASE WHEN level = 2 THEN z END), 1) AS z2, coalesce(max(CASE WHEN level = 3 THEN z END), 1) AS z3 FROM strength),
-        sm AS (SELECT suffix, (bad + z1 * base) / (n + z1) AS m FROM s, w, z),
-        dm AS (SELECT d.suffix, domain, (bad + z2 * m) / (n + z2) AS m FROM d JOIN sm USING (suffix), z),
-        hm AS (SELECT host, n, z3, (bad + z3 * m) / (n + z3) AS m FROM c JOIN dm USING (suffix, domain), z),
+        {_strength_sql("z1", "(SELECT n, bad, base AS m FROM s, w)")},
+        sm AS (SELECT suffix, (bad + z1 * base) / (n + z1) AS m FROM s, w, z1),
+        {_strength_sql("z2", "d JOIN sm USING (suffix)")},
+        dm AS (SELECT d.suffix, domain, (d.bad + z2 * m) / (d.n + z2) AS m FROM d JOIN sm USING (suffix), z2),
+        {_strength_sql("z3", "c JOIN dm USING (suffix, domain)")},
+        hm AS (SELECT host, n, z3, (bad + z3 * m) / (n + z3) AS m FROM c JOIN dm USING (suffix, domain), z3),
         rules(rule, own, prefix, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
             ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
         fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM h JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix) GROUP BY page_id)

@@ -2,7 +2,7 @@
 
 Labelled page outcomes (bad or not) are counted per host. Each level's bad rate has a beta prior around its parent's
 posterior mean, from all pages down to suffix, registered domain and host, and the strength of each level's prior is
-fitted to the spread of the rates at that level (method of moments). A host is blocked when the lower bound of its
+fitted to the spread of that level's rates around their parents' means (method of moments). A host is blocked when the lower bound of its
 posterior exceeds a limit, so a host with few labelled pages is judged by its domain and suffix.
 """
 
@@ -100,35 +100,41 @@ def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFra
     domains = rows.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    base = (whole["bad"] + 0.5) / (whole["n"] + 1.0)
-    suffixes = _shrunk(suffixes, F.lit(base), _strength(suffixes, base, how)).select("suffix", F.col("mean").alias("suffix_mean"))
+    suffixes = suffixes.withColumn("prior", F.lit((whole["bad"] + 0.5) / (whole["n"] + 1.0)))
+    suffixes = _shrunk(suffixes, _strength(suffixes, how)).select("suffix", F.col("mean").alias("prior"))
     domains = domains.join(suffixes, "suffix")
-    domains = _shrunk(domains, F.col("suffix_mean"), _strength(domains, base, how)).select("suffix", "domain", F.col("mean").alias("domain_mean"))
-    strength = _strength(rows, base, how)
-    out = _shrunk(rows.join(domains, ["suffix", "domain"]), F.col("domain_mean"), strength)
+    domains = _shrunk(domains, _strength(domains, how)).select("suffix", "domain", F.col("mean").alias("prior"))
+    out = written(rows.join(domains, ["suffix", "domain"]), "host-priors")
+    strength = _strength(out, how)
+    out = _shrunk(out, strength)
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1.0))
     out = out.withColumn("deviation", deviation)
-    return out.withColumn("bound", F.greatest(F.lit(0.0), F.col("mean") - how.z * F.col("deviation"))).drop("domain_mean")
+    return out.withColumn("bound", F.greatest(F.lit(0.0), F.col("mean") - how.z * F.col("deviation"))).drop("prior")
 
 
-def _strength(rows: DataFrame, base: float, how: Reputation) -> float:
-    """A prior's strength a + b at a level, from the spread of its rates beyond that of sampling (method of moments)."""
+def _strength(rows: DataFrame, how: Reputation) -> float:
+    """A level's prior strength s = a + b from the spread of its rates around `prior`, their parents' means (method of moments).
+
+    n (bad / n - p)^2 is p (1 - p) (1 + (n - 1) / (s + 1)) on average, so what the spread has beyond sampling gives s.
+    Less than two rows with labels: the least strength; no spread beyond sampling, or no row of two labels: the most.
+    """
+    noise = F.col("prior") * (1 - F.col("prior"))
     got = rows.where("n > 0").agg(
         F.count(F.lit(1)).alias("k"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * (F.col("bad") / F.col("n") - base) ** 2).alias("spread"),
+        F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.col("prior")) ** 2).alias("spread"),
+        F.sum(noise).alias("sampling"),
+        F.sum(noise * (F.col("n") - 1)).alias("more"),
     ).first()
-    if not got["k"] or got["k"] < 2:
+    if got["k"] < 2:
         return how.least_strength
-    noise = base * (1 - base)
-    between = (got["spread"] - noise * got["k"]) / got["n"]
-    if between <= 0:
+    beyond = got["spread"] - got["sampling"]
+    if beyond <= 0 or got["more"] <= 0:
         return how.most_strength
-    return min(max(noise / between - 1.0, how.least_strength), how.most_strength)
+    return min(max(got["more"] / beyond - 1.0, how.least_strength), how.most_strength)
 
 
-def _shrunk(rows: DataFrame, prior: Column, strength: float) -> DataFrame:
-    return rows.withColumn("mean", (F.col("bad") + strength * prior) / (F.col("n") + strength))
+def _shrunk(rows: DataFrame, strength: float) -> DataFrame:
+    return rows.withColumn("mean", (F.col("bad") + strength * F.col("prior")) / (F.col("n") + strength))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule], how: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -264,6 +264,52 @@ def test_registered_domains(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == cases
 
 
+def brute_reputation(hosts):
+    """host -> (mean, bound) of [(host, n, bad)] with plain domains, level by level."""
+
+    def level(rows):  # key -> (n, bad, prior); the posterior means and the strength
+        seen = [r for r in rows.values() if r[0]]
+        spread = sum(n * (bad / n - p) ** 2 for n, bad, p in seen)
+        sampling, more = sum(p * (1 - p) for _, _, p in seen), sum(p * (1 - p) * (n - 1) for n, _, p in seen)
+        s = 1.0 if len(seen) < 2 else 1000.0 if spread <= sampling or more <= 0 else min(max(more / (spread - sampling) - 1, 1.0), 1000.0)
+        return {k: (bad + s * p) / (n + s) for k, (n, bad, p) in rows.items()}, s
+
+    def sums(cut):
+        out = {}
+        for h, n, bad in hosts:
+            a, b = out.get(cut(h), (0, 0))
+            out[cut(h)] = (a + n, b + bad)
+        return out
+
+    of = lambda labels: lambda h: ".".join(h.split(".")[-labels:])
+    base = (sum(bad for _, _, bad in hosts) + 0.5) / (sum(n for _, n, _ in hosts) + 1)
+    suffixes, _ = level({k: (n, bad, base) for k, (n, bad) in sums(of(1)).items()})
+    domains, _ = level({k: (n, bad, suffixes[of(1)(k)]) for k, (n, bad) in sums(of(2)).items()})
+    means, s = level({h: (n, bad, domains[of(2)(h)]) for h, n, bad in hosts})
+    return {h: (means[h], max(0.0, means[h] - 1.645 * (means[h] * (1 - means[h]) / (n + s + 1)) ** 0.5)) for h, n, _ in hosts}
+
+
+def test_reputation_by_levels(spark):
+    draw = random.Random(4)
+    hosts = []
+    for d in range(12):  # domains differ, hosts of one domain are alike
+        rate = (0.1, 0.9)[d % 2]
+        for k in range(8):
+            n = draw.choice([0, 1, 2, 5, 20, 60])
+            hosts.append((f"h{k}.d{d}.{('com', 'org', 'net')[d % 3]}", n, sum(draw.random() < rate for _ in range(n))))
+    for case in (hosts, hosts[:1], [(h, 1, b > 0) for h, _, b in hosts], [(h, 0, 0) for h, _, _ in hosts], [(h, n, n) for h, n, _ in hosts]):
+        case = [(h, n, int(b)) for h, n, b in case]
+        rows = spark.createDataFrame(case, "host string, n long, bad long")
+        got = {r["host"]: (r["mean"], r["bound"]) for r in url_filter.host_reputation(rows).collect()}
+        want = brute_reputation(case)
+        assert got.keys() == want.keys()
+        assert all(abs(x - y) < 1e-9 for h in want for x, y in zip(got[h], want[h], strict=True))
+    # a host without labels stands as its domain does, firmly where the domain's hosts agree
+    got = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame([*hosts, ("new.d1.org", 0, 0), ("new.d0.com", 0, 0)], "host string, n long, bad long")).collect()}
+    assert got["new.d1.org"]["bound"] > 0.5 > got["new.d0.com"]["mean"]
+    assert url_filter.host_reputation(spark.createDataFrame([], "host string, n long, bad long")).count() == 0
+
+
 # 5
 
 
