@@ -47,8 +47,8 @@ def parse_reports(texts: DataFrame, discovered: DataFrame | None = None) -> Cove
 
 
 def coverage_of(entries: DataFrame, unknown: DataFrame, discovered: DataFrame | None) -> Coverage:
-    """Coverage from entries (key, e) and the diagnostics of reports without any."""
-    rows = entries.select("key", "e.*")
+    """Coverage from entries (key, e, and at, which tells entries apart, where there are many) and the diagnostics of reports without any."""
+    rows = entries.select("key", *[c for c in entries.columns if c == "at"], "e.*")
     for c in ("s", "statementMap", "b", "branchMap"):
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.from_json(F.lit("{}"), rows.schema[c].dataType)))
     if discovered is not None:
@@ -63,11 +63,24 @@ def coverage_of(entries: DataFrame, unknown: DataFrame, discovered: DataFrame |
     absent = F.when(F.size("s") == 0, F.lit("s")).otherwise(F.lit("statementMap"))
     missing = rows.where(half).select(F.col("path").alias("file_path"), F.lit("MissingField").alias("kind"), F.concat(F.lit("entry for '"), "path", F.lit("' has `"), present, F.lit("` records but `"), absent, F.lit("` is empty; one half of the statement-coverage pair is missing")).alias("message"))
     # of entries that resolve to one file the last key counts
-    rows = rows.where(~half).groupBy("file_path").agg(F.max_by(F.struct("path", "s", "statementMap", "b", "branchMap"), "key").alias("e")).select("file_path", "e.*")
-    lines = rows.select("file_path", F.explode(F.map_entries("s")).alias("x"), "statementMap")
-    lines = lines.select("file_path", F.try_element_at("statementMap", F.col("x.key"))["start"]["line"].alias("line"), F.col("x.value").alias("hits")).where("line IS NOT NULL")
+    rows = rows.where(~half)
+    if "at" in rows.columns:
+        # entries stay where they are: only keys are compared, and what is joined are the files with several entries
+        last = F.max(F.struct("key", "at")).alias("last")
+        twice = staged(rows.groupBy("file_path").agg(last, F.count(F.lit(1)).alias("n")).where("n > 1").select("file_path", "last"), "twice")
+        rows = rows.join(twice, "file_path", "left").where(F.col("last").isNull() | F.struct("key", "at").eqNullSafe(F.col("last")))
+    else:
+        rows = rows.groupBy("file_path").agg(F.max_by(F.struct("path", "s", "statementMap", "b", "branchMap"), "key").alias("e")).select("file_path", "e.*")
+    # statements and their places are paired before they become rows; as a rule both maps have the same keys in the same order
+    keys = F.map_keys("s")
+    alike = (keys == F.map_keys("statementMap")) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    line_of = lambda at, hits: F.struct(at["start"]["line"].alias("line"), hits.alias("hits"))
+    looked_up = F.transform(F.map_entries("s"), lambda x: line_of(F.try_element_at("statementMap", x["key"]), x["value"]))
+    zipped = F.zip_with(F.map_values("statementMap"), F.map_values("s"), line_of)
+    lines = rows.select("file_path", F.explode(F.when(alike, zipped).otherwise(looked_up)).alias("x")).select("file_path", "x.*").where("line IS NOT NULL")
     lines = lines.groupBy("file_path", "line").agg(F.min("hits").cast("decimal(20,0)").alias("hits"))
-    arms = rows.select("file_path", "path", F.explode(F.map_entries("b")).alias("x"), "branchMap").select("file_path", "path", F.col("x.key").alias("branch"), F.col("x.value").alias("taken"), F.try_element_at("branchMap", F.col("x.key")).alias("at"))
+    arm = F.transform(F.map_entries("b"), lambda x: F.struct(x["key"].alias("branch"), x["value"].alias("taken"), F.try_element_at("branchMap", x["key"]).alias("at")))
+    arms = rows.select("file_path", "path", F.explode(arm).alias("x")).select("file_path", "path", "x.*")
     orphans = arms.where("at IS NULL").select(F.col("path").alias("file_path"), F.lit("BranchMismatch").alias("kind"), F.concat(F.lit("branch coverage record for branchId `"), "branch", F.lit("` references no entry in branchMap")).alias("message"))
     branches = arms.where("at IS NOT NULL").select("file_path", F.coalesce("at.line", "at.loc.start.line").alias("line"), "branch", F.posexplode("taken").alias("arm", "hits"))
     branches = branches.select("file_path", "line", "branch", F.col("arm").cast("long").alias("arm"), F.col("hits").cast("decimal(20,0)").alias("taken"))
@@ -80,15 +93,15 @@ def read_istanbul(spark: SparkSession, path: str | list[str], discovered: DataFr
     parts = Parts(spark, path, "path")
     shaped = {name: r.depth for name, r in parts.reports.items() if r.closed and r.depth in (1, 2)}
     one = F.explode(F.array(F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), FLAT)))
-    members = parts.members(shaped).select("report", one.alias("one"))
+    members = parts.members(shaped).select("report", "place", one.alias("one"))
     good = F.coalesce(_usable(F.col("one")), F.lit(False)) & (F.size("one") == 1)
     # parsed once; what reads lines takes only their columns from what is written
-    members = staged(members.select("report", good.alias("good"), F.get(F.map_keys("one"), F.lit(0)).alias("key"), F.get(F.map_values("one"), F.lit(0)).alias("e")), "entries")
+    members = staged(members.select("report", F.struct("report", "place").alias("at"), good.alias("good"), F.get(F.map_keys("one"), F.lit(0)).alias("key"), F.get(F.map_values("one"), F.lit(0)).alias("e")), "entries")
     bad = {r["report"] for r in members.where("NOT good").select("report").distinct().collect()}  # files, not entries
     odd = sorted(n for n in parts.reports if n not in shaped or n in bad)
     unknown = _unknown_reports(parts, odd) if odd else spark.createDataFrame([], DIAGNOSTICS)
     fine = members.where(~F.col("report").isin(sorted(bad))) if bad else members
-    return coverage_of(fine.select("key", "e"), unknown, discovered)
+    return coverage_of(fine.select("key", "at", "e"), unknown, discovered)
 
 
 def _unknown_reports(parts: Parts, names: list[str]) -> DataFrame:

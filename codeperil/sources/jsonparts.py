@@ -101,7 +101,7 @@ class Parts:
         a member.
         """
         held = self.spark.sparkContext.broadcast({key: (*begin, depth_of[key[0]]) for key, begin in self.begins.items() if key[0] in depth_of})
-        pieces = staged(self.rows.mapInArrow(_pieces(self.token, held, shallow), "report string, offset long, number long, nth long, text string, inside string"), "pieces")
+        pieces = staged(self.rows.mapInArrow(_pieces(self.token, held, shallow), "report string, offset long, number long, nth long, text string, inside string, whole boolean"), "pieces")
         named = F.max(F.when(F.col("inside").isNotNull(), F.struct("number", "inside")))["inside"]
         last = {(r["report"], r["offset"]): r for r in pieces.where("number > 0").groupBy("report", "offset").agg(F.max("number").alias("n"), named.alias("inside")).collect()}  # a row for each range
         owners, before = [], {}
@@ -112,9 +112,11 @@ class Parts:
                 before[report] = (offset, r["n"], inside if r["inside"] is None else r["inside"])
         owner = self.spark.createDataFrame(owners, "report string, offset long, first long, n long, around string")
         placed = pieces.join(owner, ["report", "offset"]).withColumn("place", F.when(F.col("number") == 0, F.struct(F.col("first").alias("offset"), F.col("n").alias("number"))).otherwise(F.struct("offset", "number")))
+        # only what a range's ends cut is shuffled
+        ready = placed.where("whole").select("report", "place", "text", F.coalesce("inside", "around").alias("inside"))
         whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "nth", "text"))), lambda p: p["text"]), "")
-        met = placed.groupBy("report", "place").agg(whole.alias("text"), F.max(F.when(F.col("number") >= 0, F.coalesce("inside", "around"))).alias("inside"))
-        return met.where(~F.col("text").rlike("^\\s*$") | (F.col("place.number") < 0))
+        met = placed.where("NOT whole").groupBy("report", "place").agg(whole.alias("text"), F.max(F.when(F.col("number") >= 0, F.coalesce("inside", "around"))).alias("inside"))
+        return ready.unionByName(met).where(~F.col("text").rlike("^\\s*$") | (F.col("place.number") < 0))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], token: str) -> Iterator[tuple[tuple[str, int], bytes, bool]]:
@@ -164,31 +166,40 @@ def _summaries(token: str):
 def _pieces(token: str, held, shallow: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, size = None, [], 0
+        member: list[str] = []  # the text of the member that is open, so far
+        within = False
         for place, text, _ in _ranges(batches, token):
             if place not in held.value:
                 continue
             if place != now:
-                now, number, nth, inside = place, 0, 0, None
+                if within:
+                    out.append((*now, number, began, "".join(member), inside, False))
+                now, number, nth, began, inside, member = place, 0, 0, 0, None, []
                 state, depth, at = held.value[place]
+                within = depth >= at
             data = np.frombuffer(text, np.uint8)
             m = marks(data, state, depth)
             comma = m.outside & (data == _COMMA)
             opens, closes = m.outside & (_STEP[data] > 0), m.outside & (_STEP[data] < 0)
             cut = np.flatnonzero((comma & (m.depth == at)) | (opens & (m.depth == at)) | (closes & (m.depth == at - 1)))
-            for _ in range(int((comma & (m.depth < at) & (m.depth > 0)).sum())):
-                out.append((*place, -1, nth, "", None))
+            if (comma & (m.depth < at) & (m.depth > 0)).any():
+                out.append((*place, -1, nth, "", None, False))
             deep = opens & (m.depth == at + 1)
             stays = (m.depth <= at) & ~(closes & (m.depth == at)) | deep if shallow else None
-            a, within = 0, depth >= at
+            a = 0
             for b in [*cut.tolist(), len(data)]:
                 if within and b > a:
                     piece = text[a:b]
                     if shallow:
                         piece = np.where(deep[a:b], ord("0"), data[a:b])[stays[a:b]].astype(np.uint8).tobytes()
-                    out.append((*place, number, nth, piece.decode(), inside))
-                    size += b - a
+                    if piece:
+                        member.append(piece.decode())
                 nth += 1
                 if b < len(data):
+                    if within:
+                        out.append((*place, number, began, "".join(member), inside, number > 0))
+                        size += len(out[-1][4])
+                    member, began = [], nth
                     within = not closes[b]
                     number += int(within)
                     if opens[b]:
@@ -197,9 +208,11 @@ def _pieces(token: str, held, shallow: bool):
                     a = b + 1
             if len(data):
                 state, depth = m.state, int(m.depth[-1])
-            if size > 1 << 22:
+            if size > 1 << 22 or len(out) > 10_000:
                 yield _piece_batch(out)
                 out, size = [], 0
+        if within:
+            out.append((*now, number, began, "".join(member), inside, False))
         if out:
             yield _piece_batch(out)
 
@@ -208,5 +221,5 @@ def _pieces(token: str, held, shallow: bool):
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["report", "offset", "number", "nth", "text", "inside"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["report", "offset", "number", "nth", "text", "inside", "whole"])

@@ -93,3 +93,34 @@ def test_an_entry_over_many_splits_is_one_row(spark, tmp_path, small_splits):
     got = {k: v for t in parts.members({name: 1}).select("text").collect() for k, v in json.loads("{" + t["text"] + "}").items()}
     assert got == entries and parts.reports[name] == jsonparts.Report(1, True)
     assert istanbul.read_istanbul(spark, str(path)).lines.where(F.col("file_path") == "big").count() > 20
+
+
+def test_entries_meet_by_their_keys_alone(spark, tmp_path):
+    """Maps of other orders and of other keys, two entries of one file, and no entry carried through a shuffle."""
+    a, b = entry("src/a.ts", 12, 1), entry("src/b.ts", 9, 2)
+    a["statementMap"] = dict(reversed(a["statementMap"].items()))
+    del b["statementMap"]["4"]
+    text = json.dumps({"k1": {**entry("src/c.ts", 5, 3)}, "k2": a, "k3": b, "k4": entry("src/c.ts", 7, 4)})
+    path = tmp_path / "r.json"
+    path.write_text(text)
+    got = same(spark, path, text)
+    assert got.lines.where("file_path = 'src/b.ts'").count() < 9
+    for df in (got.lines, got.branches, got.diagnostics):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "max_by" not in plan and "collect_list" not in plan
+
+
+def test_members_inside_a_range_are_not_shuffled(spark, tmp_path, small_splits):
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({f"k{i}": {"path": f"p{i}", "s": {}, "x": "," * (i % 3)} for i in range(200)}))
+    parts = jsonparts.Parts(spark, str(path), "path")
+    ((name, report),) = parts.reports.items()
+    made = jsonparts.staged
+    seen = []
+    jsonparts.staged = lambda df, label: seen.append(made(df, label)) or seen[-1]
+    try:
+        got = sorted(json.loads("{" + r["text"] + "}").popitem()[0] for r in parts.members({name: report.depth}).collect())
+    finally:
+        jsonparts.staged = made
+    assert got == sorted(f"k{i}" for i in range(200))
+    assert seen[0].where("whole").count() > 100
