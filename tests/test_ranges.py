@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from codeperil import staging
@@ -191,3 +192,22 @@ def test_staged_tables_go_on_release(spark):
     assert staging.made(spark) == []
     with pytest.raises(Exception, match="."):
         rows.count()
+
+
+def test_lcov_blocks_stay_with_the_task_that_reads_them(spark, tmp_path):
+    """No block and no block's path goes through a shuffle, and line numbers hold over reports and splits."""
+    texts = {"a": "TN:\n\nSF:a.rs\nDA:1,-1\nend_of_record\n" * 40, "b": "SF:b.rs\nDA:x,1\nend_of_record\nSF:\nDA:1,1\nend_of_record\n" * 40}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        got = lcov.read_lcov(spark, str(tmp_path))
+        want = [("MalformedRecord", n + 1, line) for text in texts.values() for n, line in enumerate(text.split("\n")) if line in ("DA:1,-1", "DA:x,1")]
+        want += [("EmptySourceFile", n + 1, None) for n, line in enumerate(texts["b"].split("\n")) if line == "SF:"]
+        assert sorted(map(str, got.diagnostics.select("kind", "line_number", "content").collect())) == sorted(str(Row(kind=k, line_number=n, content=c)) for k, n, c in want)
+        assert "Join LeftOuter" in got.files._jdf.queryExecution().optimizedPlan().toString()
+        assert "SortMergeJoin" not in got.files._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in got.files._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
