@@ -139,6 +139,9 @@ def extract(sources: DataFrame, language: str, metric: str) -> tuple[DataFrame,
             yield from pa.Table.from_pylist(rows, ARROW).to_batches()
 
     ship(sources.sparkSession)
-    rows = sources.select("file_path", "place", "text").mapInArrow(parse, EXTRACTED)
+    # parsing takes far longer than reading, and a small table of many files may lie in one partition
+    context = sources.sparkSession.sparkContext
+    parts = max(4 * context.defaultParallelism, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = sources.select("file_path", "place", "text").repartition(parts, "place").mapInArrow(parse, EXTRACTED)
     functions = rows.where("error IS NULL").withColumn("ordinal", F.col("place") * F.lit(1 << 24) + F.col("n")).select(*FUNCTIONS.fieldNames())
     return functions, rows.where("error IS NOT NULL").select("file_path", "error")

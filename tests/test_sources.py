@@ -258,3 +258,12 @@ epsilon = 0.5
     for bad in ('threshold = 1\npreset = "strict"', "threshold = 0", "odd = 1", 'metric = "x"', "[output]\nannotation_limit = 0", "[delta]\nepsilon = -1.0", '[views.x]\nsort = "y"', "[views.x]\nmin_coverage = 50.0\nmax_coverage = 1.0", "[language.rust]\nthreshold = -1.0", "x = ["):
         with pytest.raises(config.ConfigError):
             config.parse_config(bad)
+
+
+def test_files_of_one_partition_are_dealt(spark):
+    """Parsing is dealt over the cores, however the table of sources lies."""
+    rows = [(f"f{i}.rs", i, f"fn f{i}() {{ if x {{ }} }}") for i in range(200)]
+    functions, faults = files.extract(spark.createDataFrame(rows, "file_path string, place long, text string").coalesce(1), "rust", "cognitive")
+    assert functions.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["qualified_name"] for r in functions.collect()) == sorted(f"f{i}" for i in range(200))
+    assert faults.count() == 0
