@@ -50,6 +50,6 @@ def at_nodes(points: DataFrame, point: str, ranges: DataFrame, first: str, last:
     """`columns` of `points` with level and node: the nodes that the column `point` lies in, of all levels that `nodes` gives for any of the ranges. Null points go."""
     size = F.col(last).cast("long") - F.col(first).cast("long") + 1
     top = ranges.agg(_highest(F.max(F.when(size > 0, size))).alias("top")).scalar()
-    at = F.transform(F.sequence(F.lit(0), F.col("__top")), lambda j: F.struct(j.alias("level"), _shift("shiftright", F.col("__at"), j).alias("node")))
     placed = points.where(F.col(point).isNotNull()).select(*columns, F.col(point).cast("long").alias("__at"), top.alias("__top"))
-    return placed.select(*columns, F.inline(at))
+    # levels first, as rows: a lambda over an array isn't compiled
+    return placed.select(*columns, "__at", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("level")).select(*columns, "level", _shift("shiftright", F.col("__at"), F.col("level")).alias("node"))

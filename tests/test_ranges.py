@@ -211,3 +211,11 @@ def test_lcov_blocks_stay_with_the_task_that_reads_them(spark, tmp_path):
         assert "Window" not in got.files._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_nodes_of_points_are_compiled(spark):
+    """Nodes of points come without a lambda for each point, and are those of all levels in use."""
+    points = spark.createDataFrame([("a", 9), ("a", None)], "f string, line long")
+    got = dyadic.at_nodes(points, "line", spark.createDataFrame([(1, 70)], "a long, b long"), "a", "b", ["f"])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 9), ("a", 1, 1), ("a", 2, 0)]
