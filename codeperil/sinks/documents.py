@@ -24,6 +24,9 @@ KINDS = ("json", "sarif", "csv")
 #: Stands for the rows in a frame; no text holds it.
 _MARK = "\0rows\0"
 
+#: Rows that are Python objects at one time.
+_AT_ONCE = 500
+
 
 def write_document(report: Report, path: str, kind: str) -> None:
     """Write the report as `kind` (one of KINDS) into the folder `path`, which must not exist.
@@ -46,7 +49,7 @@ def write_document(report: Report, path: str, kind: str) -> None:
 
 def _formed(form: Callable[[dict], str], separator: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, _AT_ONCE) for b in batches for at in range(0, len(b), _AT_ONCE)):
             rows = batch.to_pylist()
             texts = [(separator if r["rank"] > 1 else "") + form(r) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["rank"] for r in rows], pa.int64()), pa.array(texts, pa.string())], ["rank", "text"])

@@ -72,3 +72,15 @@ def test_no_documents(spark, tmp_path, text, kind):
     with pytest.raises(envelope.EnvelopeError) as error:
         envelope.read_envelope(spark, str(tmp_path / "a.json"))
     assert error.value.kind == kind
+
+
+def test_rows_become_texts_a_few_at_a_time():
+    """A large batch is not held as Python objects as a whole."""
+    import pyarrow as pa
+
+    from codeperil.sinks import documents
+
+    batch = pa.RecordBatch.from_pylist([{"rank": i + 1, "x": i} for i in range(3201)])
+    out = list(documents._formed(lambda r: str(r["x"]), ",")(iter([batch])))
+    assert max(map(len, out)) <= 500 and sum(map(len, out)) == 3201
+    assert [t for b in out for t in b.column(1).to_pylist()] == ["0", *(f",{i}" for i in range(1, 3201))]
