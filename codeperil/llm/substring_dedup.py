@@ -57,6 +57,7 @@ _UNIT = re.compile(rf"[{_UNSPACED}][^\s\w{_UNSPACED}]*|[^\s{_UNSPACED}]+")
 _SPACED = re.compile(r"\S+\s*")
 _SPACED_UNIT = re.compile(rf"(?:{_UNIT.pattern})\s*")
 _FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 REMEMBERED = 300_000
 
 
@@ -77,6 +78,27 @@ def _words(text: str, unspaced: bool) -> list[str]:
     return _UNIT.findall(text.lower()) if unspaced else text.lower().split()
 
 
+def _n_words(text: str, unspaced: bool) -> int:
+    """The number of _words: lower case makes no blanks."""
+    return len(_words(text, True)) if unspaced else len(text.split())
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n modulo 2**64; the longest table so far is kept, up to 8 MB."""
+    held = _tables.get(base)
+    if held is not None and len(held) > n:
+        return held[: n + 1]
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n < 1 << 20:
+        _tables[base] = out
+    return out
+
+
 class Splitter:
     """Sentences and spans of a text."""
 
@@ -101,7 +123,7 @@ class Splitter:
             return out
         parted = []
         for b, e in out:
-            if e - b > limit and len(_words(text[b:e], unspaced)) > self.how.long_words:
+            if e - b > limit and _n_words(text[b:e], unspaced) > self.how.long_words:
                 parted.extend(self._parts(text, b, e, unspaced, wide))
             else:
                 parted.append((b, e))
@@ -116,7 +138,7 @@ class Splitter:
             pieces.append((begin, e))
         out = []
         for x, y in pieces:
-            if len(_words(text[x:y], unspaced)) <= self.how.long_words:
+            if _n_words(text[x:y], unspaced) <= self.how.long_words:
                 out.append((x, y))
                 continue
             begin = x
@@ -144,10 +166,7 @@ class Splitter:
         h = np.array(hashes, np.uint64)
         ends = np.cumsum(counts)
         begins = ends - counts
-        powers = np.ones(len(h) + 1, np.uint64)
-        if len(h):
-            powers[1:] = np.uint64(_FACTOR)
-            powers = np.multiply.accumulate(powers)
+        powers = _powers(_FACTOR, len(h))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])])
         own = np.flatnonzero(counts)  # sentences with words
         heads, tails, n = begins[own], ends[own], len(own)
@@ -163,10 +182,7 @@ class Splitter:
         else:
             stop = stop[start]
         first, last = heads[start], tails[stop]
-        inverse = np.uint64(pow(_FACTOR, -1, 1 << 64))
-        back = np.ones(len(h) + 1, np.uint64)
-        back[1:] = inverse
-        back = np.multiply.accumulate(back)
+        back = _powers(_INVERSE, len(h))
         span = (sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)
         span ^= span >> np.uint64(32)
         span *= np.uint64(0xD6E8FEB86659FD93)

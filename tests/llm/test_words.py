@@ -341,3 +341,17 @@ def test_hits_with_many_exceptions():
     hits = sorted([(m.start(), 2.0) for m in re.finditer("(?= bad )", few)] + [(m.start(), 1.0) for m in re.finditer("(?= worse)", few)])
     assert matcher.hits(few) == [(s, w) for s, w in hits if not any(a <= s < b for a, b in spared)]
     assert len(found) == 20_000
+
+
+def test_spans_share_tables_of_powers():
+    """The tables of powers are kept, and spans don't depend on which text came first."""
+    from codeperil.llm import substring_dedup
+
+    long, short = " ".join(f"Word{i} goes on here today." for i in range(300)), "One two three. Four five six seven. Eight nine ten eleven."
+    how = substring_dedup.PRODUCTION
+    first = [substring_dedup.Splitter(how).spans(t) for t in (short, long)]
+    again = [substring_dedup.Splitter(how).spans(t) for t in (long, short)][::-1]
+    assert all((x == y).all() for a, b in zip(first, again, strict=True) for x, y in zip(a, b, strict=True))
+    table = substring_dedup._powers(substring_dedup._FACTOR, 5)
+    assert table.tolist() == [pow(substring_dedup._FACTOR, i, 1 << 64) for i in range(6)]
+    assert substring_dedup._n_words("İ A b c", False) == len(substring_dedup._words("İ A b c", False)) == 4
