@@ -10,11 +10,13 @@ next, so its new child is the next best leaf of all. The (k+1)-th value gives ea
 1 - exp(-exp(log p - value)).
 
 All draws are hashes of the row's key, the sample and the place, so a row's samples depend on nothing else. Words (pieces
-never span them) are sampled side by side, edge by edge, in numpy arrays; a chunk's distinct words share one lattice.
+never span them) are sampled side by side, edge by edge, in numpy arrays. What lies behind a place depends on the rest of
+its word only, so words that end alike share these places, and a task's texts share one lattice.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -31,12 +33,12 @@ from .common import ship
 
 SPACE = 0x2581
 _BASE = 0x9E3779B97F4A7C15
-#: The largest Gumbel draw from 53 random bits is below this.
-MOST_NOISE = 37.0
 #: Characters in a chunk.
 CHUNK = 200_000
-#: Characters of a task's first batch from which its frequent words are taken, and how often such a word must occur in them.
-LOOK_AHEAD, FREQUENT = 1_500_000, 3
+#: Places that a board holds before it begins anew; a place with its edges takes about 120 bytes.
+REMEMBERED = 600_000
+#: The place behind every word.
+END = 0
 
 
 @dataclass(frozen=True)
@@ -109,24 +111,49 @@ class Pieces:
         self.words_apart = not any(chr(SPACE) in t.lstrip(chr(SPACE)) for t in self.texts.values())
         self.longest = max(map(len, self.texts.values()), default=1)
         # the table holds all beginnings of pieces; those that are no piece have number -1
-        self.known = {t: i for i, t in self.texts.items()}
-        for t in list(self.known):
+        known = {t: i for i, t in self.texts.items()}
+        for t in list(known):
             for n in range(1, len(t)):
-                self.known.setdefault(t[:n], -1)
-        powers = _powers(_BASE, self.longest + 1)
-        self.bits = max(4, (4 * len(self.known)).bit_length())
+                known.setdefault(t[:n], -1)
+        self.bits = max(4, (4 * len(known)).bit_length())
         size = 1 << self.bits
         self.mask = size - 1
         self.keys = np.zeros(size, np.uint64)
         self.ids = np.full(size, -1, np.int64)
-        for t, i in self.known.items():
-            codes = np.array([ord(c) for c in t], np.uint64)
-            h = self._final(np.array([(codes * powers[: len(codes)]).sum()], np.uint64), len(codes))
-            slot = int(self._slot(h)[0])
-            while self.keys[slot]:
-                slot = (slot + 1) & self.mask
-            self.keys[slot], self.ids[slot] = h[0], i
-        del self.known
+        by_length: dict[int, list[str]] = {}
+        for t in known:
+            by_length.setdefault(len(t), []).append(t)
+        for length, own in by_length.items():
+            self._insert(own, length, np.array([known[t] for t in own], np.int64))
+        self._read_back()
+
+    def _insert(self, texts: list[str], length: int, ids: np.ndarray) -> None:
+        """Put texts of one length, not empty, into the table."""
+        if not length:
+            return
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+        h = self._final((codes.astype(np.uint64) * _powers(_BASE, length)).sum(axis=1, dtype=np.uint64), length)
+        slot, left = self._slot(h), np.arange(len(h))
+        while len(left):
+            at = slot[left]
+            free = left[self.keys[at] == 0]
+            _, first = np.unique(slot[free], return_index=True)  # one for each free slot
+            won = free[first]
+            self.keys[slot[won]], self.ids[slot[won]] = h[won], ids[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _read_back(self) -> None:
+        """The text of every piece behind another one, by the library's decoder, in UTF-8; a byte's piece is that byte, others have a byte that no text has."""
+        texts = [b"\xff"] * len(self.log_p)
+        before = next((i for i, t in self.texts.items() if chr(SPACE) not in t), None)
+        if before is not None:
+            head = len(self.processor.decode([before]))
+            for i, t in zip(self.texts, self.processor.decode([[before, i] for i in self.texts]), strict=True):
+                texts[i] = t[head:].encode("utf-8", "surrogatepass")
+            for b, i in self.byte_ids.items():
+                texts[i] = bytes([b])
+        self.written = np.array(texts)
 
     @staticmethod
     def _final(h: np.ndarray, length: int) -> np.ndarray:
@@ -158,160 +185,175 @@ class Pieces:
         """The text as the model sees it, with blanks marked."""
         return self.processor.normalize(text) if text else ""
 
-    def decodes(self, ids: np.ndarray, normal: str) -> bool:
-        """Whether the ids' text is the normalised text, without the blank that is put before it."""
-        return self.processor.decode(ids.tolist()) == normal.replace(chr(SPACE), " ").removeprefix(" ")
+    def decodes(self, segmentations: list[np.ndarray], normals: list[str]) -> list[bool]:
+        """For each segmentation whether its ids' text is the normalised text beside it, without the blank that is put before it.
+
+        The texts that the library gave for the single pieces are joined and compared. Where they differ (a piece without a text
+        of its own, a 0 in the text) or several blanks lead, the library decodes the ids.
+        """
+        wide: dict[str, tuple[str, bytes]] = {}
+        out = []
+        for ids, normal in zip(segmentations, normals, strict=True):
+            if normal not in wide:
+                want = normal.replace(chr(SPACE), " ")
+                wide[normal] = want, want.encode("utf-8", "surrogatepass")
+            want, coded = wide[normal]
+            same = self.written[ids].tobytes().translate(None, b"\0") == coded and not want.startswith("  ")
+            out.append(same or self.processor.decode(ids.tolist()) == want.removeprefix(" "))
+        return out
+
+
+_models: dict[tuple[bytes, Sampling], Pieces] = {}
+
+
+def pieces_of(model: bytes, how: Sampling) -> Pieces:
+    """This worker process's table of a model's pieces, which serves later tasks too."""
+    key = hashlib.sha256(model).digest(), how
+    if key not in _models:
+        _models.clear()
+        _models[key] = Pieces(model, how)
+    return _models[key]
+
+
+class Board:
+    """The lattice of a task's words: a place for every ending of a word, its edges by length, backward sums and conditional shares."""
+
+    KINDS = {"src": np.int32, "dst": np.int64, "ids": np.int32, "log_share": np.float64, "below": np.float64, "log_rest": np.float64, "closing": np.bool_}
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.first, self.beta = np.zeros(2, np.int64), np.zeros(1)
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.zeros(0, kind))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # endings, sorted by hash
+        self.places, self.edges = END + 1, 0
+        self.more: dict[int, list[int]] = {}  # edges of several ids
+
+    def _room(self, places: int, edges: int) -> None:
+        def grown(x: np.ndarray, n: int) -> np.ndarray:
+            return x if len(x) >= n else np.concatenate([x, np.zeros(n + n // 2 - len(x), x.dtype)])
+
+        self.first, self.beta = grown(self.first, places + 1), grown(self.beta, places)
+        for name in self.KINDS:
+            setattr(self, name, grown(getattr(self, name), edges))
 
+    def _look(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of endings, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] = self.numbers[at[known]]
+        return out
 
-class Lattice:
-    """The lattices of words, one after the other: places, edges sorted by place, backward sums and conditional shares."""
+    def lay(self, words: Words) -> np.ndarray:
+        """The place of every word of a chunk; places of earlier chunks may not hold any more."""
+        if self.places > REMEMBERED:
+            self._empty()
+        out = self._look(words.hashes)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            self._put(words, missing)
+            out[missing] = self._look(words.hashes[missing])
+        return out
 
-    def __init__(self, pieces: Pieces, codes: np.ndarray, ends: np.ndarray):
-        """codes: the words' characters, a 0 behind each word; ends: for each place that of its word's 0."""
-        n = len(codes)
-        left = ends - np.arange(n)  # characters to the word's end
-        wide = codes.astype(np.uint64)
+    def _put(self, words: Words, chosen: np.ndarray) -> None:
+        """Add the endings of the chosen words that are not here."""
+        at, left, hashes = words.endings(chosen)
+        hashes, seen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self._look(hashes)
+        new = np.flatnonzero(number < 0)
+        p = self.places
+        number[new] = p + np.arange(len(new))
+        place_at = np.full(len(words.codes), END, np.int64)  # of every character's ending
+        place_at[at] = number[which]
+        self._connect(words.codes, at[seen[new]], left[seen[new]], place_at)
+        spot = np.searchsorted(self.hashes, hashes[new])
+        self.hashes, self.numbers = np.insert(self.hashes, spot, hashes[new]), np.insert(self.numbers, spot, number[new])
+
+    def _connect(self, codes: np.ndarray, at: np.ndarray, left: np.ndarray, place_at: np.ndarray) -> None:
+        """Add places for the endings of `left` characters at `at`, with their edges."""
+        pieces, n, p, e = self.pieces, len(at), self.places, self.edges
         powers = _powers(_BASE, pieces.longest + 1)
         # edges by place, then by length; a place's edges are counted length by length
-        found_at, found_ids = [], []
+        found = []
         number = np.zeros(n, np.int64)
-        ranks = []
-        at = np.arange(n)
+        own = np.arange(n)
         hashes = np.zeros(n, np.uint64)  # of the characters from each place on
         for length in range(1, pieces.longest + 1):
-            inside = left[at] >= length
-            at, hashes = at[inside], hashes[inside]
-            if not len(at):
+            inside = np.flatnonzero(left[own] >= length)
+            own, hashes = own[inside], hashes[inside]
+            if not len(own):
                 break
-            hashes += wide[at + (length - 1)] * powers[length - 1]
+            hashes += codes[at[own] + (length - 1)].astype(np.uint64) * powers[length - 1]
             hit, ids = pieces.find(hashes, length)
             hashes = hashes[hit]
             if length == 1:  # characters outside the vocabulary: their bytes, or the unknown piece
-                own = at
-                at = at[hit]
-                whole = np.full(n, -1, np.int64)
-                whole[at] = ids
-                ids = whole[own]
+                all_ids = np.full(n, -1, np.int64)
+                all_ids[hit] = ids
+                found.append((own, all_ids, number[own]))
+                own = own[hit]
+                number += 1
             else:
-                at = at[hit]  # no piece goes on from where none begins
-                own = at[ids >= 0]
-                ids = ids[ids >= 0]
-            found_at.append(own)
-            found_ids.append(ids)
-            ranks.append(number[own])
-            number[own] += 1
-        self.first = np.concatenate([[0], np.cumsum(number)])
-        n_edges = int(self.first[-1])
-        self.src, self.dst, self.ids = (np.empty(n_edges, np.int64) for _ in range(3))
-        for length, (own, ids, rank) in enumerate(zip(found_at, found_ids, ranks, strict=True), 1):
-            place = self.first[own] + rank
-            self.src[place], self.dst[place], self.ids[place] = own, own + length, ids
-        self.more: dict[int, list[int]] = {}  # edges of several ids
-        score = pieces.log_p[np.maximum(self.ids, 0)]
-        for k in np.flatnonzero(self.ids < 0).tolist():
-            own = [pieces.byte_ids.get(b, pieces.unknown) for b in chr(int(codes[self.src[k]])).encode("utf-8", "surrogatepass")] if pieces.byte_ids else [pieces.unknown]
-            self.ids[k] = own[0] if len(own) == 1 else -2 - len(self.more)
-            if len(own) > 1:
-                self.more[-2 - len(self.more)] = own
-            score[k] = pieces.fallback * len(own)
-        self.ends = ends
+                own = own[hit]  # no piece goes on from where none begins
+                is_piece = np.flatnonzero(ids >= 0)
+                has = own[is_piece]
+                found.append((has, ids[is_piece], number[has]))
+                number[has] += 1
+        first = np.concatenate([[0], np.cumsum(number)])
+        n_edges = int(first[-1])
+        src, dst, ids = (np.empty(n_edges, np.int64) for _ in range(3))
+        for length, (has, some, rank) in enumerate(found, 1):
+            spot = first[has] + rank
+            src[spot], ids[spot] = has, some
+            inner = np.flatnonzero(left[has] > length)
+            dst[spot] = END
+            dst[spot[inner]] = place_at[at[has[inner]] + length]
+        score = pieces.log_p[np.maximum(ids, 0)]
+        for k in np.flatnonzero(ids < 0).tolist():
+            several = [pieces.byte_ids.get(b, pieces.unknown) for b in chr(int(codes[at[src[k]]])).encode("utf-8", "surrogatepass")] if pieces.byte_ids else [pieces.unknown]
+            ids[k] = several[0] if len(several) == 1 else -2 - len(self.more)
+            if len(several) > 1:
+                self.more[-2 - len(self.more)] = several
+            score[k] = pieces.fallback * len(several)
+        self._room(p + n, e + n_edges)
         # backward sums, from the words' last places to their first; 0 at a word's end
-        beta = np.zeros(n + 1)
+        beta = self.beta
         longest = int(left.max()) if n else 0
-        left = left.astype(np.uint16 if longest < 1 << 16 else np.int64)[self.src]  # 16 bits sort by radix
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, longest + 2))
+        height = left.astype(np.uint16 if longest < 1 << 16 else np.int64)[src]  # 16 bits sort by radix
+        by_height = np.argsort(height, kind="stable")
+        bounds = np.searchsorted(height[by_height], np.arange(1, longest + 2))
         value = np.empty(n_edges)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if a == b:
                 continue
-            edges = by_left[a:b]
-            v = score[edges] + beta[self.dst[edges]]
+            edges = by_height[a:b]
+            v = score[edges] + beta[dst[edges]]
             value[edges] = v
-            places = self.src[edges]
+            places = src[edges]
             heads = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-            beta[places[heads]] = np.logaddexp.reduceat(v, heads)
-        self.log_share = value - beta[self.src]
-        share = np.exp(self.log_share)
-        self.upto = np.empty(n_edges)  # summed place by place, so it doesn't depend on other words
-        edge, so_far = self.first[:-1][number > 0], 0.0
-        end = self.first[1:][number > 0]
+            beta[p + places[heads]] = np.logaddexp.reduceat(v, heads)
+        log_share = value - beta[p + src]
+        share = np.exp(log_share)
+        below = np.zeros(n_edges)  # shares of a place's earlier edges, summed place by place, so they don't depend on other words
+        several = np.flatnonzero(number > 1)
+        edge, end, so_far = first[several] + 1, first[several + 1], share[first[several]]
         while len(edge):
+            below[edge] = so_far
             so_far = so_far + share[edge]
-            self.upto[edge] = so_far
             edge = edge + 1
-            more = edge < end
+            more = np.flatnonzero(edge < end)
             edge, end, so_far = edge[more], end[more], so_far[more]
-        filled = self.first[1:] > self.first[:-1]
-        last = self.first[1:][filled] - 1
-        self.upto[last] = 2.0
         with np.errstate(divide="ignore"):
-            self.log_rest = np.log(np.maximum(1.0 - share, 0.0))
-        self.log_rest[last[self.first[:-1][filled] == last]] = -np.inf  # the only edge of its place
-
-
-class Board:
-    """A worker's lattice: that of frequent words, which stays, and behind it that of a chunk's other words."""
-
-    NAMES = ("src", "dst", "ids", "log_share", "upto", "log_rest")
-
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.places = self.edges = 0
-        self.more: dict[int, list[int]] = {}
-        self.fixed_more: dict[int, list[int]] = {}
-        self.first, self.ends = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        for name in self.NAMES:
-            setattr(self, name, np.zeros(0, np.float64 if name in ("log_share", "upto", "log_rest") else np.int64))
-
-    def _room(self, places: int, edges: int) -> None:
-        def grown(x: np.ndarray, n: int) -> np.ndarray:
-            return x if len(x) >= n else np.concatenate([x, np.zeros(n + n // 2 - len(x), x.dtype)])
-
-        self.first, self.ends = grown(self.first, places + 1), grown(self.ends, places)
-        for name in self.NAMES:
-            setattr(self, name, grown(getattr(self, name), edges))
-
-    def _put(self, words: Words, chosen: np.ndarray) -> np.ndarray:
-        """Lay the lattices of the chosen words behind the frequent ones'; the place of each."""
-        lattice, starts = words.lattice(self.pieces, chosen)
-        p, e = self.places, self.edges
-        n_places, n_edges = len(lattice.ends), len(lattice.src)
-        self._room(p + n_places, e + n_edges)
-        self.first[p : p + n_places + 1] = lattice.first + e
-        self.ends[p : p + n_places] = lattice.ends + p
-        self.src[e : e + n_edges] = lattice.src + p
-        self.dst[e : e + n_edges] = lattice.dst + p
-        for name in self.NAMES[2:]:
-            getattr(self, name)[e : e + n_edges] = getattr(lattice, name)
-        self.more = dict(self.fixed_more)
-        if lattice.more:  # their numbers go on behind those that are there
-            own = self.ids[e : e + n_edges]
-            own[own < -1] -= len(self.fixed_more)
-            self.more |= {k - len(self.fixed_more): v for k, v in lattice.more.items()}
-        self.tail = (n_places, n_edges)
-        return starts + p
-
-    def keep(self, words: Words) -> None:
-        """Keep the frequent words' lattices."""
-        chosen = np.flatnonzero(words.counts >= FREQUENT)
-        if len(chosen) and not self.places:
-            self.starts = self._put(words, chosen)
-            self.hashes = words.hashes[chosen]
-            self.places, self.edges, self.fixed_more = *self.tail, dict(self.more)
-
-    def lay(self, words: Words) -> np.ndarray:
-        """The place of every word of a chunk."""
-        at = np.searchsorted(self.hashes, words.hashes)
-        known = np.zeros(len(at), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == words.hashes[inside]
-        out = np.empty(len(at), np.int64)
-        out[known] = self.starts[at[known]]
-        out[~known] = self._put(words, np.flatnonzero(~known))
-        return out
+            log_rest = np.log(np.maximum(1.0 - share, 0.0))
+        log_rest[first[:-1][number == 1]] = -np.inf  # the only edge of its place
+        self.first[p : p + n + 1] = first + e
+        for name, own in (("src", src + p), ("dst", dst), ("ids", ids), ("log_share", log_share), ("below", below), ("log_rest", log_rest), ("closing", dst == END)):
+            getattr(self, name)[e : e + n_edges] = own
+        self.places, self.edges = p + n, e + n_edges
 
     def draw(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one path from each of `starts` to its word's end, one after the other, and their numbers; drawn with hashes of `keys`."""
@@ -321,20 +363,19 @@ class Board:
         at = starts
         rounds = []
         step = 0
-        stop = self.ends[np.minimum(starts, len(self.ends) - 1)] if n else starts
-        live = at < stop
-        active, at = active[live], at[live]
         while len(active):
-            u = uniform(mix(keys[active] + np.uint64((step + 1) * 0xA0761D6478BD642F % (1 << 64))))
-            edge = self.first[at]
-            open_ = np.flatnonzero(u >= self.upto[edge])
+            u = uniform(mix(keys + np.uint64((step + 1) * 0xA0761D6478BD642F % (1 << 64))))
+            edge = self.first[at + 1] - 1  # a place's long pieces are last, and most paths take these
+            open_ = np.flatnonzero(u < self.below[edge])
+            rest = u[open_]
             while len(open_):
-                edge[open_] += 1
-                open_ = open_[u[open_] >= self.upto[edge[open_]]]
+                edge[open_] -= 1
+                more = rest < self.below[edge[open_]]
+                open_, rest = open_[more], rest[more]
             rounds.append((active, edge))
             at = self.dst[edge]
-            live = at < stop[active]
-            active, at = active[live], at[live]
+            live = np.flatnonzero(at != END)
+            active, at, keys = active[live], at[live], keys[live]
             step += 1
         for who, _ in rounds:
             counts[who] += 1
@@ -358,26 +399,36 @@ class Words:
             cut[1:-1] |= (self.codes[1:] == SPACE) & (self.codes[:-1] != SPACE)
         begins = np.flatnonzero(cut[:-1])
         sizes = np.append(begins[1:], n) - begins if len(begins) else np.zeros(0, np.int64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n + 1)[:-1], out=sums[1:])
-        hashes = (sums[begins + sizes] - sums[begins]) * _powers(pow(_BASE, -1, 1 << 64), n + 1)[begins]
-        self.hashes, seen, self.unit, self.counts = np.unique(mix(hashes + sizes.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n + 1)[:-1], out=self.sums[1:])
+        self.hashes, seen, self.unit = np.unique(self._hash(begins, sizes), return_index=True, return_inverse=True)
         self.begins, self.sizes = begins[seen], sizes[seen]
         self.first = np.searchsorted(begins, bounds)
 
-    def lattice(self, pieces: Pieces, chosen: np.ndarray) -> tuple[Lattice, np.ndarray]:
-        """The lattices of the chosen distinct words, and the place of each."""
+    def _hash(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the `sizes` characters at `at`."""
+        powers = _powers(pow(_BASE, -1, 1 << 64), len(self.sums))
+        return mix((self.sums[at + sizes] - self.sums[at]) * powers[at] + sizes.astype(np.uint64))
+
+    def endings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The endings of the chosen distinct words, whole ones too: first character, length and hash."""
         sizes = self.sizes[chosen]
-        tops = np.cumsum(sizes + 1) - 1  # a word's 0
-        letters = np.zeros(int(tops[-1]) + 1 if len(tops) else 0, np.uint32)
-        filled = np.ones(len(letters), bool)
-        filled[tops] = False
-        letters[filled] = self.codes[np.repeat(self.begins[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-        return Lattice(pieces, letters, np.repeat(tops, sizes + 1)), tops - sizes
+        done = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at, left = np.repeat(self.begins[chosen], sizes) + done, np.repeat(sizes, sizes) - done
+        return at, left, self._hash(at, left)
 
 
 def _mix_int(x: int) -> int:
-    return int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    """mix of one number."""
+    x %= 1 << 64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ (x >> 31)
+
+
+def _uniform_int(x: int) -> float:
+    """uniform of one hash."""
+    return ((x >> 11) + 0.5) * 2.0**-53
 
 
 def _below(loc: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
@@ -392,7 +443,7 @@ class _Text:
     def __init__(self, key: int, first_unit: int, n_units: int):
         self.key, self.first_unit, self.n_units = key, first_unit, n_units
         self.queue: list[tuple] = []
-        self.leaves: list[tuple[np.ndarray, float, float]] = []  # edges, log p, perturbed value
+        self.leaves: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []  # edges, their log shares and sums of these, perturbed value
 
 
 def sample_chunk(pieces: Pieces, how: Sampling, keys: list[int], texts: list[str], board: Board | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -404,17 +455,18 @@ def sample_chunk(pieces: Pieces, how: Sampling, keys: list[int], texts: list[str
     # the first leaves
     for s in states:
         s.key = _mix_int(s.key * 0x9E3779B97F4A7C15 + how.seed)
-    wanted = [(s, -math.log(-math.log(uniform(np.array([_mix_int(s.key)], np.uint64))[0])), np.zeros(0, np.int64), 0, None) for s in states]
+    wanted = [(s, -math.log(-math.log(_uniform_int(_mix_int(s.key)))), None, 0, None) for s in states]
     for leaf in range(how.k):
         _extend(lattice, how, wanted, unit, word_start, leaf)
         if leaf + 1 == how.k:
             break
-        wanted = [x for x in (_open(lattice, s, leaf + 1, unit, word_start) for s in states) if x is not None]
+        wanted = [x for x in (_open(lattice, s, leaf + 1) for s in states) if x is not None]
     out = []
     for s in states:
         threshold = -s.queue[0][0] if s.queue else -math.inf
         own = []
-        for edges, log_p, value in s.leaves:
+        for edges, _, sums, value in s.leaves:
+            log_p = float(sums[-1]) if len(sums) else 0.0
             x = log_p - threshold
             log_inclusion = 0.0 if x == math.inf or x > 30 else (x - math.exp(x) / 2 if x < -20 else math.log(-math.expm1(-math.exp(x))))
             own.append((_ids(lattice, edges), log_p, value, log_inclusion))
@@ -430,7 +482,9 @@ def _ids(lattice: Board, edges: np.ndarray) -> np.ndarray:
 
 
 def _extend(lattice: Board, how: Sampling, wanted: list[tuple], unit: np.ndarray, word_start: np.ndarray, leaf: int) -> None:
-    """Draw the rest of each path: (text, value, edges so far, words passed, place in the next word or None), and queue the groups beside it."""
+    """Draw the rest of each path: (text, value, (leaf, edges taken of it, next edge) or None, words passed, place in the next word or None), and queue the groups beside it."""
+    if not wanted:
+        return
     spans = np.array([s.n_units - done for s, _, _, done, _ in wanted], np.int64)
     heads = np.cumsum(spans) - spans
     passed = np.arange(int(spans.sum())) + np.repeat(np.array([done for _, _, _, done, _ in wanted], np.int64) - heads, spans)
@@ -440,72 +494,73 @@ def _extend(lattice: Board, how: Sampling, wanted: list[tuple], unit: np.ndarray
             starts[heads[n]] = place
     own = np.array([(s.key + (leaf + 1) * 0xE7037ED1A0B428DB) % (1 << 64) for s, *_ in wanted], np.uint64)
     edges, counts = lattice.draw(mix(np.repeat(own, spans) + passed.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)), starts)
-    ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *spans])]
-    for n, (s, value, prefix, _, _) in enumerate(wanted):
-        suffix = edges[ends[n] : ends[n + 1]]
-        path = np.concatenate([prefix, suffix]) if len(prefix) else suffix
-        log_p = np.cumsum(lattice.log_share[path])
-        s.leaves.append((path, float(log_p[-1]) if len(path) else 0.0, value))
-        need = how.k + 1 - len(s.leaves)  # leaves or thresholds that are still to come
-        _queue(lattice, s, value, path, len(prefix), log_p, need, leaf)
-
-
-def _queue(lattice: Board, s: _Text, value: float, path: np.ndarray, fresh: int, log_p: np.ndarray, need: int, leaf: int) -> None:
-    """Queue the `need` best groups beside the path's edges from number `fresh` on."""
-    size = len(path) if len(path) - fresh <= 1500 else 64  # a long path is first looked at where values are large
-    at = fresh
-    best: list[tuple[float, int]] = []
-    while at < len(path):
-        before = log_p[at - 1] if at else 0.0
-        if len(best) >= need and before + MOST_NOISE < best[need - 1][0]:
-            break  # no later group can have a larger value
-        some = path[at : at + size]
-        loc = log_p[at : at + size] - lattice.log_share[some] + lattice.log_rest[some]
-        u = uniform(mix(np.uint64((s.key + (leaf + 1) * 0x589965CC75374CC3) % (1 << 64)) + np.arange(at, at + len(some), dtype=np.uint64) * np.uint64(0x1D8E4E27C47D124F)))
-        if len(best) >= need:
-            # a value above the best needs -log u < exp(loc - best), so u > 1 - exp(loc - best)
-            near = np.flatnonzero(u > 1.0 - np.exp(np.minimum(loc - best[need - 1][0], 0.0)))
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *spans])].tolist()
+    # all texts' new edges, one after the other: the next edge of an opened group, and what was drawn behind it
+    parts, sizes = [], []
+    for n, (_, _, opened, _, _) in enumerate(wanted):
+        if opened is not None:
+            parts.append(np.array([opened[2]], np.int64))
+        parts.append(edges[ends[n] : ends[n + 1]])
+        sizes.append(ends[n + 1] - ends[n] + (opened is not None))
+    fresh = np.concatenate(parts)
+    share, sums = lattice.log_share[fresh], np.empty(len(fresh))
+    a = 0
+    for (s, value, opened, _, _), size in zip(wanted, sizes, strict=True):
+        b = a + size
+        if opened is None or not opened[1]:
+            np.cumsum(share[a:b], out=sums[a:b])
+            s.leaves.append((fresh[a:b], share[a:b], sums[a:b], value))
         else:
-            near = np.flatnonzero(loc > -np.inf)
-        if len(near):
-            got = _below(loc[near], value, u[near])
-            if len(got) > need:
-                top = np.argpartition(got, len(got) - need)[-need:]
-                got, near = got[top], near[top]
-            best = sorted([*best, *zip(got.tolist(), (near + at).tolist(), strict=True)], reverse=True)[:need]
-        at += size
-        size = 1 << 14
-    for v, k in best:
-        heappush(s.queue, (-v, len(s.leaves) - 1, k, (int(path[k]),)))
-
-
-def _open(lattice: Board, s: _Text, leaf: int, unit: np.ndarray, word_start: np.ndarray) -> tuple | None:
+            of, k, _ = opened
+            path, shares, upto, _ = s.leaves[of]
+            sums[a:b] = np.cumsum(np.concatenate([upto[k - 1 : k], share[a:b]]))[1:]
+            s.leaves.append((np.concatenate([path[:k], fresh[a:b]]), np.concatenate([shares[:k], share[a:b]]), np.concatenate([upto[:k], sums[a:b]]), value))
+        a = b
+    _queue(lattice, how, wanted, fresh, np.array(sizes, np.int64), sums - share + lattice.log_rest[fresh], leaf)
+
+
+def _queue(lattice: Board, how: Sampling, wanted: list[tuple], fresh: np.ndarray, sizes: np.ndarray, loc: np.ndarray, leaf: int) -> None:
+    """Queue the best groups beside each text's new edges, as many as leaves or thresholds are still to come; loc: a group's log p."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    begins = np.array([opened[1] if opened is not None else 0 for _, _, opened, _, _ in wanted], np.int64)  # of the new edges in their paths
+    at = np.arange(len(fresh)) + np.repeat(begins - bounds[:-1], sizes)
+    own = np.array([(s.key + (leaf + 1) * 0x589965CC75374CC3) % (1 << 64) for s, *_ in wanted], np.uint64)
+    u = uniform(mix(np.repeat(own, sizes) + at.astype(np.uint64) * np.uint64(0x1D8E4E27C47D124F)))
+    got = _below(loc, np.repeat(np.array([value for _, value, *_ in wanted]), sizes), u)
+    got[bounds[:-1][[opened is not None for _, _, opened, _, _ in wanted]]] = -np.inf  # what is beside an opened group's edge is queued already
+    for (s, *_), begin, a, b in zip(wanted, begins.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        need = how.k + 1 - len(s.leaves)
+        some = got[a:b]
+        top = np.argpartition(some, len(some) - need)[-need:] if len(some) > need else np.arange(len(some))
+        for v, k in sorted(zip(some[top].tolist(), top.tolist(), strict=True), reverse=True):
+            if v > -math.inf:
+                heappush(s.queue, (-v, len(s.leaves) - 1, begin + k, (int(fresh[a + k]),)))
+
+
+def _open(lattice: Board, s: _Text, leaf: int) -> tuple | None:
     """Open the best group: its new child, and the smaller group that is left."""
     if not s.queue:
         return None
     low, of, k, shut = heappop(s.queue)
     value = -low
-    path = s.leaves[of][0]
-    prefix = path[:k]
+    path, path_shares = s.leaves[of][:2]
     place = int(lattice.src[path[k]])
     edges = [e for e in range(int(lattice.first[place]), int(lattice.first[place + 1])) if e not in shut]
     shares = np.exp(lattice.log_share[edges])
     upto = np.cumsum(shares)
-    u = uniform(np.array([_mix_int(s.key + (leaf + 1) * 0x2D358DCCAA6C78A5 + k)], np.uint64))[0] * upto[-1]
+    u = _uniform_int(_mix_int(s.key + (leaf + 1) * 0x2D358DCCAA6C78A5 + k)) * upto[-1]
     pick = min(int(np.searchsorted(upto, u, "right")), len(edges) - 1)
     chosen = edges[pick]
     rest = float(upto[-1] - shares[pick]) if len(edges) > 1 else 0.0
-    before = float(lattice.log_share[prefix].sum())
     if rest > 0:
-        loc = before + math.log(rest)
-        u = uniform(np.array([_mix_int(s.key + (leaf + 1) * 0x8BB84B93962EACC9 + k + 1)], np.uint64))
-        heappush(s.queue, (-float(_below(np.array([loc]), value, u)[0]), of, k, (*shut, chosen)))
-    # words passed: each word's path ends at its end
-    passed = int(np.count_nonzero(lattice.dst[prefix] == lattice.ends[lattice.src[prefix]])) if k else 0
+        loc = float(path_shares[:k].sum()) + math.log(rest)
+        u = _uniform_int(_mix_int(s.key + (leaf + 1) * 0x8BB84B93962EACC9 + k + 1))
+        heappush(s.queue, (-float(_below(np.array([loc]), value, np.array([u]))[0]), of, k, (*shut, chosen)))
+    passed = int(np.count_nonzero(lattice.closing[path[:k]]))  # words: each word's path ends at its end
     target = int(lattice.dst[chosen])
-    if target == int(lattice.ends[place]):
-        return s, value, np.append(prefix, chosen), passed + 1, None
-    return s, value, np.append(prefix, chosen), passed, target
+    if target == END:
+        return s, value, (of, k, chosen), passed + 1, None
+    return s, value, (of, k, chosen), passed, target
 
 
 def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, decoded: bool = False) -> DataFrame:
@@ -520,12 +575,9 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
     kind = docs.schema[id_col].dataType
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(held.value, how)
-        board = None
+        pieces = pieces_of(held.value, how)
+        board = Board(pieces)
         for batch in batches:
-            if board is None:
-                board = Board(pieces)
-                board.keep(Words(pieces, _first_texts(pieces, batch.column(2))))
             ids, keys, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             first, size, own = 0, 0, []
             for n in range(len(texts)):
@@ -550,7 +602,7 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
             columns.append(pa.array([x[0].astype(np.int32) for x in flat], pa.list_(pa.int32())))
             names.append("ids")
         if decoded:
-            columns.append(pa.array([pieces.decodes(x[0], text) for text, leaves in zip(texts, sampled, strict=True) for x in leaves], pa.bool_()))
+            columns.append(pa.array(pieces.decodes([x[0] for x in flat], [texts[n] for n in at]), pa.bool_()))
             names.append("decodes")
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -558,17 +610,6 @@ def sample_segmentations(docs: DataFrame, model: bytes, how: Sampling = Sampling
     return docs.select(F.col(id_col), F.xxhash64(id_col).alias("__key"), F.col(text_col)).mapInArrow(sample, schema)
 
 
-def _first_texts(pieces: Pieces, texts: pa.Array) -> list[str]:
-    """Texts of a batch, LOOK_AHEAD characters or one text."""
-    out, size = [], 0
-    for t in texts:
-        out.append(pieces.normal(t.as_py() or ""))
-        size += len(out[-1])
-        if size >= LOOK_AHEAD:
-            break
-    return out
-
-
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """`rows` with the column decoded: the text of the pieces in `ids_col` (null: null)."""
     ship(rows.sparkSession)

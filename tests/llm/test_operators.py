@@ -124,6 +124,35 @@ def test_query_returns_pieces_that_decode_to_the_text(spark):
         assert processor.decode(r["ids"]) == processor.decode(processor.encode(texts[r["doc_id"]] or ""))
 
 
+def test_endings_are_shared_and_a_full_board_begins_anew(monkeypatch):
+    how = piece_sampling.Sampling(k=3)
+    pieces = piece_sampling.pieces_of(piece_model(), how)
+    assert piece_sampling.pieces_of(piece_model(), how) is pieces  # later tasks of a worker take the same table
+    board = piece_sampling.Board(pieces)
+    board.lay(piece_sampling.Words(pieces, [pieces.normal("sinking drinking")]))
+    assert board.places - 1 == len({w[n:] for w in ("▁sinking", "▁drinking") for n in range(len(w))})
+    texts = [pieces.normal(t) for t in ["naïve 漢字 🙂 sinking\n", "drinking thinking", "x" * 300, "漢字 thinking 🙂🙂"] * 3]
+    alone = [piece_sampling.sample_chunk(pieces, how, [n], [t])[0] for n, t in enumerate(texts)]
+    for most in (600_000, 20):
+        monkeypatch.setattr(piece_sampling, "REMEMBERED", most)
+        board = piece_sampling.Board(pieces)
+        for a in range(0, len(texts), 2):
+            for n, got in enumerate(piece_sampling.sample_chunk(pieces, how, [a, a + 1], texts[a : a + 2], board), a):
+                assert [(x[0].tolist(), *x[1:]) for x in got] == [(x[0].tolist(), *x[1:]) for x in alone[n]]
+
+
+def test_decodes_compares_whole_texts():
+    pieces = piece_sampling.pieces_of(piece_model(), piece_sampling.Sampling())
+    texts = ["", "a\nb", "naïve 漢字 🙂", "nul\x00here", "  two", "▁▁x", "plain words"]
+    normals = [pieces.normal(t) for t in texts]
+    ids = [np.array(pieces.processor.encode(t), np.uint32) for t in texts]
+    want = [pieces.processor.decode(i.tolist()) == n.replace("▁", " ").removeprefix(" ") for i, n in zip(ids, normals, strict=True)]
+    assert pieces.decodes(ids, normals) == want and want[1] and want[2] and want[6]
+    assert pieces.decodes(ids[1:], normals[:-1]) == [False] * 6
+    assert pieces.decodes([np.append(i, i[-1:]) for i in ids[1:]], normals[1:]) == [False] * 6
+    assert pieces.decodes([np.append(ids[6], pieces.unknown).astype(np.uint32)], normals[6:]) == [False]
+
+
 # 2
 
 
