@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +43,8 @@ class Spans:
 #: Whatever repeats of two sentences and 10 words, so all runs of three sentences and 10 words and of two and 20 too.
 PRODUCTION = Spans(least_words=10, both_ways=True)
 
-#: Nothing is tried twice: closing marks are looked at from their first one, a line end from its line feed.
-_END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'»”)\]]*+(?:\s+|$)|\n\s*")
+#: A search skips to a mark or line feed; nothing is tried twice: closing marks are looked at from their first one, a line end from its line feed.
+_END = re.compile(r"[.!?…。！？\n](?:(?<=\n)\s*|(?<![.!?…。！？][.!?…。！？])[.!?…。！？]*+[\"'»”)\]]*+(?:\s+|$))")
 _COMMA = re.compile(r"[,;:]\s+")
 #: Full-width marks, and what is cut in texts that have some: behind them no blank is needed.
 _WIDE = re.compile(r"[。！？｡，、；：]")
@@ -61,12 +62,57 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 REMEMBERED = 300_000
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
+#: White space, as str.split and \s have it; the last is that of all higher characters.
+_BLANK = np.array([*(chr(c).isspace() for c in range(0x3001)), False])
+
+
+class _Marks(dict):
+    """Whether a long sentence is cut behind a word."""
+
+    def __init__(self, cut_every: int):
+        super().__init__()
+        self.cut_every = cut_every
+
+    def __missing__(self, word: str) -> bool:
         n = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        marked = n % self.cut_every == 0
         if len(self) < REMEMBERED:
-            self[word] = n
-        return n
+            self[word] = marked
+        return marked
+
+
+class _Spaced:
+    """A text whose words stand between blanks: its lower case, and where its words begin and end."""
+
+    def __init__(self, low: str):
+        self.low = low
+        self.codes = np.frombuffer(low.encode(), np.uint8) if low.isascii() else np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = np.ones(len(low) + 2, bool)
+        blank[1:-1] = _BLANK[self.codes if low.isascii() else np.minimum(self.codes, len(_BLANK) - 1)]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        self.begins, self.ends = edge[::2], edge[1::2]
+
+
+def _spaced(text: str) -> _Spaced | None:
+    """None if other scripts or marks are in the text, or if its lower case depends on what stands around a character or moves others."""
+    if not text.isascii() and (_UNSPACED_CHAR.search(text) or _WIDE.search(text) or "Σ" in text):
+        return None
+    low = text.lower()
+    return _Spaced(low) if len(low) == len(text) else None
+
+
+def _word_hashes(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of the `sizes` characters from `begins` on."""
+    n = len(codes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, n)[:n], out=sums[1:])
+    h = (sums[begins + sizes] - sums[begins]) * _powers(_INVERSE, n)[begins] + sizes.astype(np.uint64)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _unspaced(text: str) -> bool:
@@ -104,31 +150,60 @@ class Splitter:
 
     def __init__(self, how: Spans):
         self.how = how
-        self.words = _Words()
+        self.marks = _Marks(how.cut_every)
 
     def sentences(self, text: str) -> list[tuple[int, int]]:
         """Begin and end (with the white space behind) of every sentence; they cover the text without gaps."""
-        out = []
-        begin = 0
+        bounds = self._bounds(text, _spaced(text))
+        return list(zip(bounds, bounds[1:], strict=False))
+
+    def _bounds(self, text: str, spaced: _Spaced | None) -> list[int]:
+        """0 and the end of every sentence; spaced: _spaced of the text."""
+        wide = spaced is None and not text.isascii() and _WIDE.search(text) is not None
+        out = [0, *(m.end() for m in (_WIDE_END if wide else _END).finditer(text))]
+        if out[-1] < len(text):
+            out.append(len(text))
+        if spaced is not None:
+            return self._parted(text, out, spaced)
         unspaced = _unspaced(text)
-        wide = not text.isascii() and _WIDE.search(text) is not None
-        for m in (_WIDE_END if wide else _END).finditer(text):
-            if m.end() > begin:
-                out.append((begin, m.end()))
-                begin = m.end()
-        if begin < len(text):
-            out.append((begin, len(text)))
         limit = (1 if unspaced else 2) * self.how.long_words  # no sentence of fewer characters is long
-        if all(e - b <= limit for b, e in out):
-            return out
-        parted = []
-        for b, e in out:
+        parted = [0]
+        for b, e in zip(out, out[1:], strict=False):
             if e - b > limit and _n_words(text[b:e], unspaced) > self.how.long_words:
-                parted.extend(self._parts(text, b, e, unspaced, wide))
+                parted.extend(y for _, y in self._parts(text, b, e, unspaced, wide))
             else:
-                parted.append((b, e))
+                parted.append(e)
         return parted
 
+    def _parted(self, text: str, bounds: list[int], spaced: _Spaced) -> list[int]:
+        """Bounds with those inside long sentences; every bound is where a word begins or the text ends."""
+        most = self.how.long_words
+        words = np.searchsorted(spaced.begins, bounds)  # before each bound
+        long = np.flatnonzero(words[1:] - words[:-1] > most).tolist()
+        if not long:
+            return bounds
+        begins = spaced.begins.tolist()
+        marks = self.marks.__getitem__
+        out, done = [], 0
+        for n in long:
+            out += bounds[done : n + 1]
+            done = n + 1
+            x, e = bounds[n], bounds[n + 1]
+            i = int(words[n])
+            ends = [m.end() for m in _COMMA.finditer(text, x, e)]
+            if not ends or ends[-1] < e:
+                ends.append(e)
+            for y in ends:
+                j = bisect_left(begins, y, i)
+                if j - i > most:
+                    behind = [*begins[i + 1 : j], y]  # each word
+                    out += [place for place, marked in zip(behind, map(marks, spaced.low[x:y].split()), strict=True) if marked]
+                if out[-1] < y:
+                    out.append(y)
+                x, i = y, j
+            out.pop()  # the sentence's end, which comes with the bounds
+        return out + bounds[done:]
+
     def _parts(self, text: str, b: int, e: int, unspaced: bool, wide: bool) -> list[tuple[int, int]]:
         pieces, begin = [], b
         for m in (_WIDE_COMMA if wide else _COMMA).finditer(text, b, e):
@@ -143,7 +218,7 @@ class Splitter:
                 continue
             begin = x
             for m in (_SPACED_UNIT if unspaced else _SPACED).finditer(text[x:y]):
-                if self.words[m[0].strip().lower()] % self.how.cut_every == 0:
+                if self.marks[m[0].strip().lower()]:
                     out.append((begin, x + m.end()))
                     begin = x + m.end()
             if begin < y:
@@ -152,18 +227,22 @@ class Splitter:
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, first sentence and number of sentences of every span."""
-        parts = self.sentences(text)
+        spaced = _spaced(text)
+        bounds = self._bounds(text, spaced)
         run = self.how.run
-        if len(parts) < run:
+        if len(bounds) <= run:
             return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        unspaced = _unspaced(text)
-        counts, hashes = [], []
-        known = self.words
-        for b, e in parts:
-            words = _words(text[b:e], unspaced)
-            counts.append(len(words))
-            hashes.extend(map(known.__getitem__, words))
-        h = np.array(hashes, np.uint64)
+        if spaced is not None:
+            before = np.searchsorted(spaced.begins, bounds)
+            counts = before[1:] - before[:-1]
+            h = _word_hashes(spaced.codes, spaced.begins, spaced.ends - spaced.begins)
+        else:
+            unspaced = _unspaced(text)
+            own = [_words(text[b:e], unspaced) for b, e in zip(bounds, bounds[1:], strict=False)]
+            counts = np.array([len(x) for x in own], np.int64)
+            flat = [w for x in own for w in x]
+            sizes = np.array([len(w) for w in flat], np.int64)
+            h = _word_hashes(np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes, sizes)
         ends = np.cumsum(counts)
         begins = ends - counts
         powers = _powers(_FACTOR, len(h))
@@ -235,14 +314,22 @@ def remove_repeated_spans(docs: DataFrame, how: Spans = Spans(), id_col: str = "
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(how)
         for batch in batches:
-            texts, places = batch.column(1), batch.column(2).to_pylist()
+            texts, lists = batch.column(1), batch.column(2)
+            found = lists.is_valid().to_pylist()
+            bounds = lists.offsets.to_pylist()
+            places, sizes = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "size"))
             new, gone, stretches = [], [], []
             for n in range(len(texts)):
                 text = texts[n].as_py()
-                parts = splitter.sentences(text or "") if places[n] else []
-                dropped = np.zeros(len(parts), bool)
-                for p in places[n] or ():
-                    dropped[p["place"] : p["place"] + p["size"]] = True
+                if not found[n]:  # stays as it is
+                    new.append(text)
+                    gone.append(0)
+                    stretches.append([])
+                    continue
+                parts = splitter.sentences(text or "")
+                own = slice(bounds[n], bounds[n + 1])
+                steps = np.bincount(places[own], minlength=len(parts) + 1) - np.bincount(places[own] + sizes[own], minlength=len(parts) + 1)
+                dropped = np.cumsum(steps)[: len(parts)] > 0
                 runs = _runs(dropped)
                 spots = [(parts[a][0], parts[b - 1][1] - parts[a][0]) for a, b in runs]
                 if spots:

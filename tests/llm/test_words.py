@@ -355,3 +355,20 @@ def test_spans_share_tables_of_powers():
     table = substring_dedup._powers(substring_dedup._FACTOR, 5)
     assert table.tolist() == [pow(substring_dedup._FACTOR, i, 1 << 64) for i in range(6)]
     assert substring_dedup._n_words("İ A b c", False) == len(substring_dedup._words("İ A b c", False)) == 4
+
+
+def test_spans_by_places_of_words_equal_those_word_by_word(monkeypatch):
+    import random
+
+    from codeperil.llm import substring_dedup
+
+    draw = random.Random(7)
+    letters = list("aBcé   ,;.!?\n\t\x1f\xa0…'\")")
+    texts = ["", " ", "\n\n", "a. b", "Word " * 90, "... end.)\" \n next. " * 9, "İ A. b c. " * 9, "no end " * 30 + ",\n" + "q, " * 50]
+    texts += ["".join(draw.choices(letters, k=draw.randint(1, 900))) for _ in range(200)]
+    splitter = substring_dedup.Splitter(substring_dedup.PRODUCTION)
+    placed = [(splitter.sentences(t), [x.tolist() for x in splitter.spans(t)]) for t in texts]
+    assert substring_dedup._spaced(texts[3]) is not None
+    assert [substring_dedup._spaced(t) for t in ("İ a", "ΑΣ a", "漢 a", "a，b")] == [None] * 4
+    monkeypatch.setattr(substring_dedup, "_spaced", lambda text: None)
+    assert placed == [(splitter.sentences(t), [x.tolist() for x in splitter.spans(t)]) for t in texts]
